@@ -1,0 +1 @@
+"""No streaming operators: the job this library covers is batch and date-anchored."""
