@@ -111,7 +111,7 @@ def harvest_refs(texts: DataFrame, text_col: str, known_tables: list[str]) -> Da
         *others, F.col("r.table").alias("table"), F.col("r.column").alias("column")
     )
     bare = F.filter(
-        F.array(*[F.when(F.col(text_col).rlike(rf"(?i)\b{re.escape(t)}\b"), F.lit(t)) for t in known_tables]),
+        F.array(*[F.when(F.col(text_col).rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])"), F.lit(t)) for t in known_tables]),
         lambda t: t.isNotNull(),
     )
     named = texts.select(*others, F.explode(bare).alias("table")).withColumn("column", F.lit(None).cast("string"))
