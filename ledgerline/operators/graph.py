@@ -275,7 +275,9 @@ def graph_view(datasets: DataFrame, processes: DataFrame, edges: DataFrame) -> t
     return nodes, structural.select(from_id.alias("from_id"), to_id.alias("to_id"), "label")
 
 
-def resolve_to_base(refs: DataFrame, base_tables: DataFrame, max_depth: int = 64, **kw) -> DataFrame:
+def resolve_to_base(
+    refs: DataFrame, base_tables: DataFrame, max_depth: int = 64, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Target columns resolved through intermediate names to base-table columns.
 
     ``refs``: node, column, ref_node, ref_column, one row per reference of a
@@ -284,42 +286,51 @@ def resolve_to_base(refs: DataFrame, base_tables: DataFrame, max_depth: int = 64
     and a node that is neither known nor a base table is returned as it is.  A
     (start, node, column) seen before is not followed again.
     """
-    base = base_tables.select(F.col("name").alias("node")).distinct().withColumn("_base", F.lit(True))
-    star = refs.where(F.col("column") == "*").select("node", F.col("ref_node").alias("star_node"))
-    named = refs.where(F.col("column") != "*").select("node", "column", "ref_node", "ref_column")
-    inner = refs.select("node").distinct().withColumn("_inner", F.lit(True))
-    broadcast_rows = kw.get("broadcast_rows", BROADCAST_ROWS)
-
-    frontier = pin(
+    ends = (
+        base_tables.select(F.col("name").alias("ref_node"), F.lit("base").alias("_kind"))
+        .unionByName(refs.select(F.col("node").alias("ref_node"), F.lit("inner").alias("_kind")))
+        .groupBy("ref_node")
+        .agg(F.min("_kind").alias("_kind"))
+    )
+    # Each reference knows whether it ends at a leaf, so a level is one join.
+    marked = lookup_left_join(refs.distinct(), ends, ["ref_node"], ["_kind"], broadcast_rows=broadcast_rows)
+    steps = pin(marked.withColumn("leaf", F.coalesce(F.col("_kind") == "base", F.lit(True))).drop("_kind"))
+    named = steps.where(F.col("column") != "*")
+    star = steps.where(F.col("column") == "*").select("node", "ref_node", "leaf")
+    has_name = named.select("node", "column").distinct()
+    small = steps.count() <= broadcast_rows
+
+    def expand(rows: DataFrame) -> DataFrame:
+        if small:
+            by_name = rows.join(F.broadcast(named), ["node", "column"])
+            by_star = rows.join(F.broadcast(has_name), ["node", "column"], "left_anti").join(F.broadcast(star), "node")
+        else:
+            by_name = grid_join(rows, named, ["node", "column"], broadcast_rows=broadcast_rows)
+            unnamed = lookup_left_join(
+                rows, has_name.withColumn("_named", F.lit(True)), ["node", "column"], ["_named"], broadcast_rows=broadcast_rows
+            ).where(F.col("_named").isNull()).drop("_named")
+            by_star = grid_join(unnamed, star, ["node"], broadcast_rows=broadcast_rows)
+        start = ["target_node", "target_column"]
+        return by_name.select(
+            *start, F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf"
+        ).unionByName(by_star.select(*start, F.col("ref_node").alias("node"), "column", "leaf"))
+
+    reached = pin(
         named.select(
             F.col("node").alias("target_node"), F.col("column").alias("target_column"),
-            F.col("ref_node").alias("node"), F.col("ref_column").alias("column"),
+            F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf",
         ).distinct()
     )
-    start = ["target_node", "target_column"]
-    seen, done = frontier, []
+    seen = reached
     for _ in range(max_depth):
-        marked = lookup_left_join(frontier, base, ["node"], ["_base"], broadcast_rows=broadcast_rows)
-        marked = lookup_left_join(marked, inner, ["node"], ["_inner"], broadcast_rows=broadcast_rows)
-        leaf = F.coalesce("_base", F.lit(False)) | F.col("_inner").isNull()
-        done.append(
-            marked.where(leaf).select(*start, F.col("node").alias("source_table"), F.col("column").alias("source_column"))
-        )
-        open_rows = marked.where(~leaf).select(*start, "node", "column")
-        by_name = grid_join(open_rows, named, ["node", "column"]).select(
-            *start, F.col("ref_node").alias("node"), F.col("ref_column").alias("column")
-        )
-        matched = named.select("node", "column").distinct()
-        by_star = grid_join(open_rows.join(matched, ["node", "column"], "left_anti"), star, ["node"]).select(
-            *start, F.col("star_node").alias("node"), "column"
-        )
-        frontier = pin(
-            by_name.unionByName(by_star).distinct().join(seen, [*start, "node", "column"], "left_anti")
-        )
-        if frontier.isEmpty():
+        fresh = expand(reached.where(~F.col("leaf")).drop("leaf")).distinct()
+        reached = pin(fresh.join(seen, [*seen.columns], "left_anti"))
+        if reached.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return reduce(lambda a, b: a.unionByName(b), done).distinct()
+        seen = seen.unionByName(reached)
+    return seen.where("leaf").select(
+        "target_node", "target_column", F.col("node").alias("source_table"), F.col("column").alias("source_column")
+    )
 
 
 def flag_ambiguous(resolved: DataFrame, expressions: DataFrame, base_tables: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def impact_report(
     ).distinct()
     derives = edges.where(F.col("label") == "DERIVES_FROM")
     chain = downstream_chain(derives, changes.select("start"), max_hops, broadcast_rows=broadcast_rows)
-    paired = grid_join(chain, changes, ["start"])
+    paired = grid_join(chain, changes, ["start"], broadcast_rows=broadcast_rows)
     kept = paired.where((F.col("change_type") != "RENAME") | (F.col("hops") == 1))
     detail = columns.select(
         F.col("pk").alias("descendant"), F.col("dataset_name").alias("affected_table"),
@@ -71,7 +71,8 @@ def impact_report(
     )
     readers = readers_of_table(edges, processes).withColumnRenamed("dataset_name", "changed_table")
     by_process = grid_join(
-        changes.where(F.col("change_type") != "TYPE_CHANGE").drop("start"), readers, ["changed_table"]
+        readers, changes.where(F.col("change_type") != "TYPE_CHANGE").drop("start"), ["changed_table"],
+        broadcast_rows=broadcast_rows,
     ).select(
         "changed_table", "changed_column", "change_type", F.col("target_table").alias("affected_table"),
         none.alias("affected_column"), "stage", "run_id",

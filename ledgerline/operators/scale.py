@@ -86,18 +86,28 @@ def grid_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    left_hot: DataFrame | None = None,
     right_hot: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
     slots: int = HOT_SLOTS,
 ) -> DataFrame:
-    """Inner join in which a key that is hot on either side is cut into a grid.
+    """Inner join of many rows with many rows; ``right`` is the side likely to be small.
 
-    Rows of a hot key are dealt over ``a`` pieces on the left and ``b`` pieces on
-    the right; each left piece is paired with each right piece, so every match is
-    made exactly once and no task receives a whole hot key.
+    A right side counted within ``broadcast_rows`` is broadcast.  Beyond that a
+    key that is hot on either side is cut into a grid: its rows are dealt over
+    ``a`` pieces on the left and ``b`` pieces on the right, and each left piece
+    meets each right piece, so every match is made exactly once and no task
+    receives a whole hot key.
     """
-    lh = (left_hot if left_hot is not None else hot_keys(left, keys, slots)).withColumnRenamed("_pieces", "_a")
-    rh = (right_hot if right_hot is not None else hot_keys(right, keys, slots)).withColumnRenamed("_pieces", "_b")
+    from ledgerline.session import pin
+
+    if right_hot is None:
+        right = pin(right)
+        if right.count() <= broadcast_rows:
+            return left.join(F.broadcast(right), keys, "inner")
+        right_hot = hot_keys(right, keys, slots)
+    left = pin(left)
+    lh = hot_keys(left, keys, slots).withColumnRenamed("_pieces", "_a")
+    rh = right_hot.withColumnRenamed("_pieces", "_b")
     one = F.lit(1)
 
     def pieces(df: DataFrame) -> DataFrame:
