@@ -52,8 +52,8 @@ def usd_amount(amount: Column, rate: Column) -> Column:
 
 
 def zero_if(flag: Column, value: Column) -> Column:
-    """0 where the flag is true, NULL where the value is NULL."""
-    return F.round(value * F.when(flag, 0).otherwise(1), 2)
+    """0 where the flag is true, NULL where the value is NULL; keeps the value's type."""
+    return F.when(flag & value.isNotNull(), F.lit(0)).otherwise(value)
 
 
 def safe_ratio(part: Column, whole: Column) -> Column:

@@ -48,15 +48,13 @@ def _resolve_pairs(
 
 
 def _attach(left: DataFrame, resolved: DataFrame, left_key: str, left_ts: str, broadcast_rows: int) -> DataFrame:
-    resolved = pin(resolved.withColumnsRenamed({"_k": left_key, "_t": left_ts}))
+    """Answers looked up by (key, time); the number of pairs picks the join."""
+    pairs = resolved.count()
+    resolved = resolved.withColumnsRenamed({"_k": left_key, "_t": left_ts})
+    if pairs > broadcast_rows:
+        resolved = pin(resolved)
     return lookup_left_join(
-        left,
-        resolved,
-        [left_key, left_ts],
-        ["_asof", "_first"],
-        "_n",
-        lookup_rows=resolved.count(),
-        broadcast_rows=broadcast_rows,
+        left, resolved, [left_key, left_ts], ["_asof", "_first"], "_n", lookup_rows=pairs, broadcast_rows=broadcast_rows
     )
 
 

@@ -52,7 +52,10 @@ def _evidence(catalog: DataFrame, parsed: DataFrame, agent: DataFrame) -> DataFr
 
 
 def _decisions(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per edge: which origins have it.  Per target: which origin wins."""
+    """Per edge: which origins have it.  Per target: which origin wins.
+
+    Both aggregates keep flags and numbers only, so they stay hash aggregates.
+    """
     def is_from(name: str) -> Column:
         return F.col("_from") == name
 
@@ -62,10 +65,6 @@ def _decisions(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.bool_or(is_from("agent")).alias("in_agent"),
         F.bool_or(is_from("parsed") & F.col("ambiguous")).alias("ambiguous"),
         F.max(F.when(is_from("parsed"), F.col("confidence"))).alias("confidence"),
-        F.max(F.when(is_from("parsed"), F.col("expression"))).alias("parsed_expression"),
-        F.max(F.when(is_from("parsed"), F.col("sql_hash"))).alias("parsed_hash"),
-        F.min(F.when(is_from("catalog"), F.col("expression"))).alias("catalog_expression"),
-        F.min(F.when(is_from("catalog"), F.col("sql_hash"))).alias("catalog_hash"),
     )
     real = F.col("_real")
     per_target = per_edge.groupBy(*KEY).agg(
@@ -74,10 +73,6 @@ def _decisions(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.bool_or("in_agent").alias("has_agent"),
         F.bool_or("ambiguous").alias("ambiguous"),
         F.max("confidence").alias("confidence"),
-        F.max("parsed_expression").alias("parsed_expression"),
-        F.max("parsed_hash").alias("parsed_hash"),
-        F.min("catalog_expression").alias("catalog_expression"),
-        F.min("catalog_hash").alias("catalog_hash"),
         F.count_if(real & F.col("in_catalog")).alias("n_catalog"),
         F.count_if(real & F.col("in_parsed")).alias("n_parsed"),
         F.count_if(real & F.col("in_agent")).alias("n_agent"),
@@ -103,6 +98,18 @@ def _decisions(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_edge, decided.withColumn("winner", winner).withColumn("n_winner", n_winner)
 
 
+def _heads(evidence: DataFrame) -> DataFrame:
+    """Texts a target's catalog rows may have to borrow."""
+    def of(name: str, column: str) -> Column:
+        return F.when(F.col("_from") == name, F.col(column))
+
+    return evidence.where(F.col("_from") != "agent").groupBy(*KEY).agg(
+        F.max(of("parsed", "expression")).alias("parsed_expression"),
+        F.max(of("parsed", "sql_hash")).alias("parsed_hash"),
+        F.min(of("catalog", "sql_hash")).alias("catalog_hash"),
+    )
+
+
 DECISION = ["case", "winner", "n_winner", "parsed_expression", "parsed_hash", "catalog_hash"]
 
 
@@ -113,10 +120,11 @@ def merge_lineage(
 
     ``catalog`` rows count only when ratified.  ``parsed`` and ``agent`` carry the
     map's full_expression, ambiguous, confidence and sql_hash on every row.  The
-    source sets of catalog and parser are compared by counting common edges.
+    source sets of catalog and parser are compared by counting common edges.  Each
+    origin names a source of a target at most once.
     """
     evidence = _evidence(catalog, parsed, agent)
-    _, decided = _decisions(evidence)
+    decided = _decisions(evidence)[1].join(_heads(evidence), KEY, "left")
     joined = lookup_left_join(evidence, decided, KEY, DECISION, broadcast_rows=broadcast_rows)
     # A blank source stands for "no source known" and yields to any real one.
     won = joined.where((F.col("_from") == F.col("winner")) & (F.col("_real") | (F.col("n_winner") == 0)))
@@ -132,6 +140,7 @@ def merge_lineage(
         .otherwise(V.PARSED)
     )
     state = F.when(F.col("case").isin("agent", "pending"), V.PENDING).otherwise(V.RATIFIED)
+    own_hash = F.when(from_catalog, filled("parsed_hash", "catalog_hash")).otherwise(filled("sql_hash"))
     return won.select(
         *EDGE,
         F.when(from_catalog, filled("expression", "parsed_expression")).otherwise(F.col("expression")).alias("expression"),
@@ -139,12 +148,8 @@ def merge_lineage(
         F.when(from_catalog, F.lit(1.0)).otherwise(F.col("confidence")).alias("confidence"),
         source.alias("source"),
         state.alias("review_state"),
-        F.coalesce(
-            F.when(F.when(from_catalog, filled("parsed_hash", "catalog_hash")).otherwise(filled("sql_hash")) != "",
-                   F.when(from_catalog, filled("parsed_hash", "catalog_hash")).otherwise(filled("sql_hash"))),
-            F.lit(sql_hash),
-        ).alias("sql_hash"),
-    ).dropDuplicates(EDGE)
+        F.when(own_hash != "", own_hash).otherwise(F.lit(sql_hash)).alias("sql_hash"),
+    )
 
 
 def divergences(
@@ -154,8 +159,9 @@ def divergences(
 
     One row per source with the sides that name it, in place of two lists.
     """
-    per_edge, decided = _decisions(_evidence(catalog, parsed, parsed.limit(0)))
-    split = decided.where(F.col("case") == "diverged")
+    evidence = _evidence(catalog, parsed, parsed.limit(0))
+    per_edge, decided = _decisions(evidence)
+    split = decided.where(F.col("case") == "diverged").join(_heads(evidence), KEY)
     edges = lookup_left_join(
         per_edge.where("_real").select(*KEY, "_s", "_sc", "in_catalog", "in_parsed"),
         split.select(*KEY, "case", F.col("catalog_hash").alias("catalog_sql_hash")),

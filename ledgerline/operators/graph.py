@@ -35,11 +35,9 @@ class _Steps:
             moved = grid_join(frontier, self.steps, ["node"], right_hot=self.hot)
         return moved.drop("node").withColumnRenamed("next", "node")
 
-
-def _starts(edges: DataFrame, starts: DataFrame | None, reverse: bool) -> DataFrame:
-    if starts is not None:
-        return starts.select("start").distinct()
-    return edges.select(F.col("dst_id" if reverse else "src_id").alias("start")).distinct()
+    def starts(self, given: DataFrame | None) -> DataFrame:
+        """The given start nodes, else every node with a step."""
+        return self.steps.select(F.col("node").alias("start")).distinct() if given is None else given.select("start").distinct()
 
 
 def walk(
@@ -56,7 +54,7 @@ def walk(
     the plan of level k from repeating levels 1..k-1.
     """
     steps = _Steps(edges, reverse, broadcast_rows)
-    frontier = _starts(edges, starts, reverse).select(
+    frontier = steps.starts(starts).select(
         "start", F.col("start").alias("node"), F.lit(1).cast("bigint").alias("paths")
     )
     levels = []
@@ -81,14 +79,18 @@ def reach(
     ``max_hops`` it runs until a level finds nothing new.
     """
     steps = _Steps(edges, reverse, broadcast_rows)
-    frontier = _starts(edges, starts, reverse).select("start", F.col("start").alias("node"))
+    frontier = steps.starts(starts).select("start", F.col("start").alias("node"))
     seen, levels, hop = None, [], 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        found = steps.expand(frontier).distinct()
-        if seen is not None:
-            found = found.join(seen, ["start", "node"], "left_anti")
-        frontier = pin(found)
+        found = steps.expand(frontier)
+        if seen is None:
+            frontier = pin(found.distinct())
+        else:
+            # Deduplication and the test against earlier levels in one aggregate.
+            both = found.withColumn("_old", F.lit(False)).unionByName(seen.withColumn("_old", F.lit(True)))
+            marked = both.groupBy("start", "node").agg(F.bool_or("_old").alias("_old"))
+            frontier = pin(marked.where(~F.col("_old")).select("start", "node"))
         if hop > 1 and frontier.isEmpty():
             break
         levels.append(frontier.select("start", "node", F.lit(hop).alias("hops")))
@@ -127,7 +129,7 @@ def downstream_chain(edges: DataFrame, starts: DataFrame | None = None, max_hops
 
 def trace_path(edges: DataFrame, roots: DataFrame | None = None, **kw) -> DataFrame:
     """Everything up and down from each root, DEPENDS_ON edges ignored: root, node, direction."""
-    flow = edges.where(F.col("label") != "DEPENDS_ON")
+    flow = pin(edges.where(F.col("label") != "DEPENDS_ON").select("src_id", "dst_id").distinct())
     if roots is None:
         roots = flow.select(F.col("src_id").alias("start")).union(flow.select("dst_id")).distinct()
     up = reach(flow, roots, reverse=True, **kw).select("start", "node", F.lit("up").alias("direction"))

@@ -18,10 +18,12 @@ def percent_rank_global(
     values: they are counted map-side, range-partitioned, ranked inside their
     partition and shifted by the rows of the lower partitions.  The offsets are
     one row per partition.  A value shared by very many rows is one distinct row
-    here and a hot key of the lookup join at the end.
+    here and a hot key of the lookup join at the end.  ``df`` is read twice, so a
+    frame that is costly to compute should be pinned or written first.
     """
     value = F.col(order_col)
-    rows = df.withColumn("_isnull", value.isNull()).withColumn("_v", F.coalesce(value, F.lit(0).cast(df.schema[order_col].dataType)))
+    blank = F.lit(0).cast(df.schema[order_col].dataType)
+    rows = df.withColumn("_isnull", value.isNull()).withColumn("_v", F.coalesce(value, blank))
     counts = rows.groupBy("_isnull", "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranged = pin(counts.repartitionByRange("_isnull", "_v").withColumn("_part", F.spark_partition_id()))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import scalars as S
 from ledgerline.operators.rank import percent_rank_global
 from ledgerline.operators.scale import BROADCAST_ROWS
+from ledgerline.session import pin
 
 FACT_COLUMNS = [
     "customer_id", "as_of_date", "full_name", "age", "is_us_person", "kyc_status", "kyc_stale_flag",
@@ -79,14 +80,19 @@ def fct_risk_profile(
     as_of: dt.date,
     bounded: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
-    """18-column fact, one row per customer of the business date."""
-    ref = reference_date(stg_txn, as_of)
+    """18-column fact, one row per customer of the business date.
+
+    ``dates`` may name a cheaper frame that holds every transaction's txn_date.
+    """
+    ref = reference_date(stg_txn if dates is None else dates, as_of)
     base = filtered_aggs(stg_cust, stg_txn, src_account, ref, bounded)
     rated = base.withColumn(
         "international_txn_ratio", S.safe_ratio(F.col("intl_txn_count"), F.col("total_txn_count"))
     ).withColumn("reversal_rate", S.safe_ratio(F.col("reversal_txn_count"), F.col("total_txn_count")))
-    ranked = percent_rank_global(rated, "total_txn_volume_usd_90d", "volume_percentile", broadcast_rows)
+    # One row per customer by now; pinned because ranking reads it twice.
+    ranked = percent_rank_global(pin(rated), "total_txn_volume_usd_90d", "volume_percentile", broadcast_rows)
     score = S.risk_score(
         F.col("international_txn_ratio"), F.col("kyc_stale_flag"), F.col("volume_percentile"), F.col("reversal_rate")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.queries import Tables
+from ledgerline.session import scratch_path
 
 AS_OF = dt.date(2001, 6, 30)
 
@@ -199,7 +200,8 @@ def fact(t: Tables, txn: DataFrame | None = None, cust: DataFrame | None = None)
 
     txn = staged_txn(t) if txn is None else txn
     cust = staged_cust(t) if cust is None else cust
-    return fct_risk_profile(txn, cust, src_account(t), AS_OF).drop("computed_at")
+    fact = fct_risk_profile(txn, cust, src_account(t), AS_OF, dates=src_transaction(t))
+    return fact.drop("computed_at")
 
 
 # --------------------------------------------------------------------------
@@ -413,13 +415,22 @@ certs AS (
 # --------------------------------------------------------------------------
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a table: the catalog's tables are stored ones, read more than once."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def catalog_lineage(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(
-        F.expr("CASE WHEN MIN(l_linestatus) = 'F' THEN 'ratified' ELSE 'pending_review' END").alias("review_state"),
-        F.expr("CASE MIN(l_returnflag) WHEN 'A' THEN 'catalog' WHEN 'N' THEN 'sqlglot' ELSE 'agent_inferred' END").alias("source"),
+    # Flags and numbers keep this a hash aggregate.
+    flag = "char(MIN(ascii(l_returnflag)))"
+    lineage = t.lineitem.groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(
+        F.expr("CASE WHEN bool_or(l_linestatus = 'F') THEN 'ratified' ELSE 'pending_review' END").alias("review_state"),
+        F.expr(f"CASE {flag} WHEN 'A' THEN 'catalog' WHEN 'N' THEN 'sqlglot' ELSE 'agent_inferred' END").alias("source"),
         F.expr("CASE WHEN MIN(l_tax) > 0.04 THEN 'PASSTHROUGH' ELSE 'TRANSFORM' END").alias("transform_type"),
         F.expr("1 - MIN(l_discount)").alias("confidence"),
-        F.expr("concat('h', MIN(l_returnflag))").alias("sql_hash"),
+        F.expr(f"concat('h', {flag})").alias("sql_hash"),
         F.expr("CAST(CAST(MIN(l_shipdate) AS DATE) AS STRING)").alias("computed_at"),
     ).selectExpr(
         "'stg_orders' AS target_table", "concat('c', l_orderkey) AS target_column", "concat('src_', l_suppkey) AS source_table",
@@ -427,6 +438,7 @@ def catalog_lineage(t: Tables) -> DataFrame:
         "source", "review_state", "CASE WHEN review_state = 'ratified' THEN 'ana' ELSE '' END AS ratified_by",
         "CASE WHEN review_state = 'ratified' THEN computed_at ELSE '' END AS ratified_at", "sql_hash", "computed_at",
     )
+    return stored(lineage)
 
 
 def parsed_maps(t: Tables) -> DataFrame:
@@ -434,14 +446,14 @@ def parsed_maps(t: Tables) -> DataFrame:
     joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).where(
         "o_orderstatus <> 'P' AND l_discount <= 0.06"
     )
-    return joined.groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(
+    return stored(joined.groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(
         F.max("o_orderpriority").alias("prio"), F.max("o_totalprice").alias("price")
     ).selectExpr(
         "'STG_ORDERS' AS target_table", "concat('C', l_orderkey) AS target_column", "concat('SRC_', l_suppkey) AS source_table",
         "concat('P', l_partkey) AS source_column", "'TRANSFORM' AS transform_type", "concat('f', l_orderkey) AS full_expression",
         "prio = '1-URGENT' AS ambiguous", "CASE WHEN prio = '1-URGENT' THEN 0.5D WHEN price > 400000 THEN 0.9D ELSE 1.0D END AS confidence",
         "'hp' AS sql_hash",
-    )
+    ))
 
 
 def agent_maps(t: Tables) -> DataFrame:
@@ -449,11 +461,11 @@ def agent_maps(t: Tables) -> DataFrame:
     joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).where(
         "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
     )
-    return joined.select("l_orderkey", "l_partkey").distinct().selectExpr(
+    return stored(joined.select("l_orderkey", "l_partkey").distinct().selectExpr(
         "'stg_orders' AS target_table", "concat('c', l_orderkey) AS target_column", "'src_agent' AS source_table",
         "concat('p', l_partkey) AS source_column", "'TRANSFORM' AS transform_type", "concat('g', l_orderkey) AS full_expression",
         "FALSE AS ambiguous", "0.8D AS confidence", "'ha' AS sql_hash",
-    )
+    ))
 
 
 CATALOG = """

@@ -175,7 +175,7 @@ def _(t):
 )
 def _(t):
     txns = st.staged_txn(t)
-    return risk.filtered_aggs(st.staged_cust(t), txns, st.src_account(t), risk.reference_date(txns, st.AS_OF)).select(
+    return risk.filtered_aggs(st.staged_cust(t), txns, st.src_account(t), risk.reference_date(st.src_transaction(t), st.AS_OF)).select(
         "customer_id", "total_txn_count", "intl_txn_count", "reversal_txn_count", "txn_count_90d",
         "total_txn_volume_usd_90d", "avg_txn_amount_usd",
     )
