@@ -179,22 +179,30 @@ def _label(edges: DataFrame, label: str) -> DataFrame:
     return edges.where(F.col("label") == label)
 
 
-def edge_one_hop(edges: DataFrame, processes: DataFrame) -> DataFrame:
+def edge_one_hop(edges: DataFrame, processes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Dataset to dataset through the process between them."""
     reads = _label(edges, "INPUT_TO").select(F.col("src_id").alias("upstream_table"), F.col("dst_id").alias("pk"))
     writes = _label(edges, "PRODUCES").select(F.col("src_id").alias("pk"), F.col("dst_id").alias("downstream_table"))
     # Reads and writes of one process pair up; a process writes one table.
-    paired = grid_join(reads, writes, ["pk"])
-    return paired.join(processes.select("pk", F.col("stage").alias("via_process"), "transform_type"), "pk").select(
-        "upstream_table", "downstream_table", "via_process", "transform_type"
+    paired = grid_join(reads, writes, ["pk"], broadcast_rows=broadcast_rows)
+    named = lookup_left_join(
+        paired, processes.select("pk", F.col("stage").alias("via_process"), "transform_type", F.lit(True).alias("_known")),
+        ["pk"], ["via_process", "transform_type", "_known"], broadcast_rows=broadcast_rows,
     )
+    return named.where("_known").select("upstream_table", "downstream_table", "via_process", "transform_type")
 
 
-def readers_of_table(edges: DataFrame, processes: DataFrame, table: str | None = None) -> DataFrame:
+def readers_of_table(
+    edges: DataFrame, processes: DataFrame, table: str | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     reads = _label(edges, "INPUT_TO").select(F.col("src_id").alias("dataset_name"), F.col("dst_id").alias("pk"))
     if table is not None:
         reads = reads.where(F.col("dataset_name") == table)
-    return reads.join(processes.select("pk", "stage", "run_id", "transform_type", "target_table"), "pk").drop("pk")
+    cols = ["stage", "run_id", "transform_type", "target_table"]
+    named = lookup_left_join(
+        reads, processes.select("pk", *cols, F.lit(True).alias("_known")), ["pk"], [*cols, "_known"], broadcast_rows=broadcast_rows
+    )
+    return named.where("_known").drop("pk", "_known")
 
 
 def source_counts(columns: DataFrame, edges: DataFrame) -> DataFrame:
@@ -342,7 +350,7 @@ def flag_ambiguous(resolved: DataFrame, expressions: DataFrame, base_tables: Dat
     or more base tables is ambiguous, and so is a target none of whose references
     reached a base table.
     """
-    known = resolved.join(base_tables.select(F.col("name").alias("source_table")).distinct(), "source_table", "left_semi")
+    known = semi_whitelist(resolved, base_tables)
     per_table = known.groupBy("target_column", "source_table").agg(F.count(F.lit(1)).alias("_n"))
     per_target = per_table.groupBy("target_column").agg(
         F.count(F.lit(1)).alias("n_tables"), F.sum("_n").alias("n_sources")
@@ -358,9 +366,10 @@ def flag_ambiguous(resolved: DataFrame, expressions: DataFrame, base_tables: Dat
     )
 
 
-def semi_whitelist(edges: DataFrame, base_tables: DataFrame) -> DataFrame:
-    """Edges whose source table is a known base table."""
-    return edges.join(base_tables.select(F.col("name").alias("source_table")).distinct(), "source_table", "left_semi")
+def semi_whitelist(edges: DataFrame, base_tables: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Edges whose source table is a known base table; a hot table is a hot key of the lookup."""
+    base = base_tables.select(F.col("name").alias("source_table")).distinct().withColumn("_known", F.lit(True))
+    return lookup_left_join(edges, base, ["source_table"], ["_known"], broadcast_rows=broadcast_rows).where("_known").drop("_known")
 
 
 def with_layer(columns: DataFrame) -> DataFrame:

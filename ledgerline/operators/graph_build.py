@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
 from ledgerline.functions.text import column_refs, infer_layer
+from ledgerline.operators.scale import lookup_left_join
 from ledgerline.operators.upsert import keep_old, upsert
 
 EMPTY = {
@@ -161,8 +162,9 @@ def column_pk(table: Column, column: Column) -> Column:
 
 def missing_dependency(depends: DataFrame, processes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges to known processes, rows whose process is missing)."""
-    known = processes.select(F.col("pk").alias("dst_id"))
-    return depends.join(known, "dst_id", "left_semi"), depends.join(known, "dst_id", "left_anti")
+    known = processes.select(F.col("pk").alias("dst_id"), F.lit(True).alias("_known"))
+    marked = lookup_left_join(depends, known, ["dst_id"], ["_known"])
+    return marked.where("_known").drop("_known"), marked.where("_known IS NULL").drop("_known")
 
 
 def derivation_edges(manifests: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ def percent_rank_global(
     ranged = pin(counts.repartitionByRange("_isnull", "_v").withColumn("_part", F.spark_partition_id()))
 
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    # One row per partition, so this unpartitioned window is small by construction.
     below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_part").orderBy("_isnull", "_v").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.asof import asof_backfill
-from ledgerline.operators.scale import BROADCAST_ROWS
+from ledgerline.operators.scale import BROADCAST_ROWS, lookup_left_join
 
 
 def stg_fx(src_fx_rate: DataFrame, base: str = "USD") -> DataFrame:
@@ -47,14 +47,20 @@ def stg_transactions(
     )
 
 
-def stg_customers(src_customer: DataFrame, src_branch: DataFrame, as_of: dt.date) -> DataFrame:
+def stg_customers(
+    src_customer: DataFrame, src_branch: DataFrame, as_of: dt.date, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Customers with age, US-person and KYC flags and their branch's region.
 
-    The branch side carries no hint: Spark broadcasts it when its size allows.
+    Branches are counted to pick the join; a branch with very many customers is a
+    hot key of the lookup.
     """
     at = F.lit(as_of)
     branches = src_branch.select("branch_id", F.col("region").alias("branch_region"))
-    return src_customer.join(branches, "branch_id", "left").select(
+    joined = lookup_left_join(
+        src_customer, branches, ["branch_id"], ["branch_region"], lookup_rows=branches.count(), broadcast_rows=broadcast_rows
+    )
+    return joined.select(
         "customer_id",
         "kyc_status",
         "kyc_reviewed_at",

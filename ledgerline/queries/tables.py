@@ -11,6 +11,7 @@ from ledgerline.operators.asof import asof_backfill, asof_left_join
 from ledgerline.operators.fingerprint import table_fingerprint
 from ledgerline.operators.graph import count_by_label, first_seen_dedup
 from ledgerline.operators.rank import percent_rank_global
+from ledgerline.operators.scale import lookup_left_join
 from ledgerline.plans import risk
 from ledgerline.plans.staging import stg_fx
 from ledgerline.queries import query
@@ -54,12 +55,18 @@ def _(t):
 
 @query("left_join_using", st.with_bank("SELECT customer_id, branch_id, region FROM src_customer LEFT JOIN src_branch USING (branch_id)"))
 def _(t):
-    return st.src_customer(t).join(st.src_branch(t), "branch_id", "left").select("customer_id", "branch_id", "region")
+    branches = st.src_branch(t).select("branch_id", "region")
+    joined = lookup_left_join(st.src_customer(t), branches, ["branch_id"], ["region"], lookup_rows=branches.count())
+    return joined.select("customer_id", "branch_id", "region")
 
 
 @query("inner_join_eq", st.with_bank("SELECT t.txn_id, a.customer_id FROM src_transaction t JOIN src_account a ON a.account_id = t.account_id"))
 def _(t):
-    return st.src_transaction(t).join(st.src_account(t), "account_id").select("txn_id", "customer_id")
+    accounts = st.src_account(t).withColumn("known", F.lit(True))
+    joined = lookup_left_join(
+        st.src_transaction(t).select("txn_id", "account_id"), accounts, ["account_id"], ["customer_id", "known"], lookup_rows=t.orders.count()
+    )
+    return joined.where("known").select("txn_id", "customer_id")
 
 
 @query(
@@ -247,7 +254,7 @@ def _(t):
     SELECT md5(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS fingerprint FROM l2""",
 )
 def _(t):
-    return table_fingerprint(t.customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)")), exclude=())
+    return table_fingerprint(t.customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)")), exclude=(), depth=4)
 
 
 # --------------------------------------------------------------------------

@@ -35,7 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     an error there.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir", None)
+        or sc.getCheckpointDir()
+    )
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
