@@ -31,11 +31,8 @@ def hot_keys(df: DataFrame, keys: list[str], slots: int = HOT_SLOTS) -> DataFram
 
 def split_counts(counts: DataFrame, keys: list[str], weight: str, slots: int = HOT_SLOTS) -> DataFrame:
     total = counts.agg(F.sum(weight)).scalar()
-    return (
-        counts.where(F.col(weight) * slots > total)
-        .where(~_any_null(keys))
-        .select(*keys, F.ceil(F.col(weight) * slots / total).cast("int").alias("_pieces"))
-    )
+    shares = counts.where(~_any_null(keys)).withColumn("_share", F.col(weight) * slots / total)
+    return shares.where(F.col("_share") > 1).select(*keys, F.ceil("_share").cast("int").alias("_pieces"))
 
 
 def lookup_left_join(

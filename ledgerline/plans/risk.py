@@ -33,9 +33,10 @@ def account_partials(txns: DataFrame, ref: Column, key: str = "account_id", boun
     The 90-day window has no upper bound unless ``bounded``; reversals count as
     0 in the volume and are left out of the 90-day count and the average.
     """
-    recent = S.within_days(F.col("txn_date"), ref)
     if bounded:
         txns = txns.where(F.col("txn_date") <= ref)
+    txns = txns.withColumn("_recent", S.within_days(F.col("txn_date"), ref))
+    recent = F.col("_recent")
     kept = F.col("is_reversal") == F.lit(False)
     net = F.col("net_amount_usd")
     return txns.groupBy(key).agg(

@@ -289,9 +289,6 @@ def _(t):
     return G.dedupe_process_by_stage(st.processes(t), "s_suppkey").select("stage", "pk", "run_id", "target_table")
 
 
-FIRST = "(SELECT pk FROM procs ORDER BY s_suppkey LIMIT 1)"
-
-
 @query(
     "process_detail",
     st.with_graph(

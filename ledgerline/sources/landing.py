@@ -269,7 +269,7 @@ def export_landing(
     entity: str,
     date_col: str | None = None,
     override: str | None = None,
-    records_per_file: int = 5_000_000,
+    records_per_file: int = 1_000_000,
 ) -> DataFrame:
     """Write a partition with its manifest and return the manifest row."""
     spark = df.sparkSession
