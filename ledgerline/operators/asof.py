@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.scale import BROADCAST_ROWS, lookup_left_join, running_last
-from ledgerline.session import pin
 
 
 def _resolve_pairs(
@@ -24,6 +23,7 @@ def _resolve_pairs(
     right_ts: str,
     right_cols: list[str],
     tie: str | None,
+    small_rows: int,
 ) -> DataFrame:
     """One row per distinct (key, time) of ``left``: count, as-of hit, earliest hit."""
     payload = F.struct(*right_cols)
@@ -43,18 +43,19 @@ def _resolve_pairs(
     )
     # Side 0 sorts first, so an equal time counts as "at or before".
     timeline = dims.unionByName(pairs, allowMissingColumns=True)
-    resolved = running_last(timeline, ["_k"], ["_t", "_side"], "_payload", "_asof", first_out="_first")
+    resolved = running_last(timeline, ["_k"], ["_t", "_side"], "_payload", "_asof", first_out="_first", small_rows=small_rows)
     return resolved.where(F.col("_side") == 1).select("_k", "_t", "_n", "_asof", "_first")
 
 
 def _attach(left: DataFrame, resolved: DataFrame, left_key: str, left_ts: str, broadcast_rows: int) -> DataFrame:
     """Answers looked up by (key, time); the number of pairs picks the join."""
-    pairs = resolved.count()
-    resolved = resolved.withColumnsRenamed({"_k": left_key, "_t": left_ts})
-    if pairs > broadcast_rows:
-        resolved = pin(resolved)
     return lookup_left_join(
-        left, resolved, [left_key, left_ts], ["_asof", "_first"], "_n", lookup_rows=pairs, broadcast_rows=broadcast_rows
+        left,
+        resolved.withColumnsRenamed({"_k": left_key, "_t": left_ts}),
+        [left_key, left_ts],
+        ["_asof", "_first"],
+        "_n",
+        broadcast_rows=broadcast_rows,
     )
 
 
@@ -75,7 +76,7 @@ def asof_left_join(
     NULLs.  Rows of ``right`` that share key and time are settled by the largest
     ``tie`` (by the largest payload if none is named).
     """
-    resolved = _resolve_pairs(left, right, left_key, right_key, left_ts, right_ts, list(right_cols), tie)
+    resolved = _resolve_pairs(left, right, left_key, right_key, left_ts, right_ts, list(right_cols), tie, broadcast_rows)
     joined = _attach(left, resolved, left_key, left_ts, broadcast_rows)
     return joined.select(*left.columns, *[F.col("_asof")[c].alias(o) for c, o in right_cols.items()])
 
@@ -107,7 +108,7 @@ def asof_backfill(
     a currency without rates gets NULL for both.
     """
     dtype = rates.schema[rate].dataType.simpleString()
-    resolved = _resolve_pairs(tx, rates, key, rate_key, tx_date, rate_date, [rate, source], tie)
+    resolved = _resolve_pairs(tx, rates, key, rate_key, tx_date, rate_date, [rate, source], tie, broadcast_rows)
     joined = _attach(tx, resolved, key, tx_date, broadcast_rows)
     asof, first = F.col("_asof"), F.col("_first")
     label = (

@@ -279,7 +279,7 @@ def apply_review(
     )
     gone = batch.groupBy(*on).agg(F.min(F.when(F.col("action") == "reject", F.col("seq"))).alias("rejected_at"))
     keyed = gone.join(before, on, "left")
-    ordered = running_last(batch, on, ["seq"], "to_state", "_prev", strict=True)
+    ordered = running_last(batch, on, ["seq"], "to_state", "_prev", strict=True, small_rows=broadcast_rows)
     known = lookup_left_join(ordered, keyed, on, ["initial", "rejected_at"], broadcast_rows=broadcast_rows)
     absent = F.col("initial").isNull() | (F.col("rejected_at") < F.col("seq"))
     from_state = F.when(absent, V.ABSENT).otherwise(F.coalesce("_prev", "initial"))

@@ -27,23 +27,31 @@ def percent_rank_global(
     counts = rows.groupBy("_isnull", "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranged = pin(counts.repartitionByRange("_isnull", "_v").withColumn("_part", F.spark_partition_id()))
 
-    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_rows"))
-    # One row per partition, so this unpartitioned window is small by construction.
-    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy("_isnull", "_v").rowsBetween(Window.unboundedPreceding, -1)
-    n = ranged.agg(F.sum("_n")).scalar()
-    ranked = (
-        ranged.withColumn("_lower", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(offsets, "_part")
-        .withColumn(
-            out_col,
-            F.when(n > 1, (F.col("_lower") + F.col("_offset")) / (n - 1).cast("double")).otherwise(F.lit(0.0)),
+    distinct = ranged.count()
+    before = Window.unboundedPreceding, -1
+    if distinct <= broadcast_rows:
+        # Counted: few enough distinct values for one task.
+        lower = F.sum("_n").over(Window.orderBy("_isnull", "_v").rowsBetween(*before))
+        placed = ranged.withColumn("_lower", F.coalesce(lower, F.lit(0)))
+    else:
+        totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+        # One row per partition, so this unpartitioned window is small by construction.
+        shift = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(*before)), F.lit(0))
+        inside = Window.partitionBy("_part").orderBy("_isnull", "_v").rowsBetween(*before)
+        placed = (
+            ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+            .join(totals.select("_part", shift.alias("_shift")), "_part")
+            .withColumn("_lower", F.col("_inside") + F.col("_shift"))
         )
-        .select("_isnull", "_v", "_n", out_col)
+    n = ranged.agg(F.sum("_n")).scalar()
+    ranked = placed.withColumn("_all", n).select(
+        "_isnull",
+        "_v",
+        "_n",
+        F.when(F.col("_all") > 1, F.col("_lower") / (F.col("_all") - 1).cast("double")).otherwise(F.lit(0.0)).alias(out_col),
     )
     joined = lookup_left_join(
         rows, ranked, ["_isnull", "_v"], [out_col], "_n",
-        lookup_rows=ranged.count(), broadcast_rows=broadcast_rows,
+        lookup_rows=distinct, broadcast_rows=broadcast_rows,
     )
     return joined.select(*df.columns, out_col)

@@ -130,6 +130,7 @@ def running_last(
     out: str,
     strict: bool = False,
     first_out: str | None = None,
+    small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per key, the last non-NULL ``value`` up to each row in ``order``.
 
@@ -138,11 +139,24 @@ def running_last(
     ``keys + order``, so a hot key spans many partitions; what a partition needs
     from the earlier ones is one value per (key, partition), at most
     ``keys + partitions`` rows.  The range-partitioned frame is pinned because
-    its partition id must not change on recomputation.
+    its partition id must not change on recomputation.  A frame counted within
+    ``small_rows`` takes plain windows per key.
     """
     from ledgerline.session import pin
 
     ranged = pin(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    stop = -1 if strict else Window.currentRow
+    keep = [*df.columns, out] + ([first_out] if first_out else [])
+    if ranged.count() <= small_rows:
+        per_key = Window.partitionBy(*keys).orderBy(*order)
+        whole = per_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        result = ranged.withColumn(
+            out, F.last(value, ignorenulls=True).over(per_key.rowsBetween(Window.unboundedPreceding, stop))
+        )
+        if first_out:
+            result = result.withColumn(first_out, F.first(value, ignorenulls=True).over(whole))
+        return result.select(*keep)
+
     seen = F.col(value).isNotNull()
     pos = F.struct(*order)
     ends = ranged.groupBy("_part", *keys).agg(
@@ -158,12 +172,10 @@ def running_last(
             by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ),
     )
-    stop = -1 if strict else Window.currentRow
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
     local = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
     joined = local.join(ends.select("_part", *keys, "_carry", "_first"), ["_part", *keys], "left")
     result = joined.withColumn(out, F.coalesce("_local", "_carry"))
     if first_out:
         result = result.withColumn(first_out, F.col("_first"))
-    keep = [*df.columns, out] + ([first_out] if first_out else [])
     return result.select(*keep)

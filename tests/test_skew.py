@@ -122,14 +122,15 @@ def test_lookup_join_keeps_null_and_unknown_keys(spark, limit):
     assert rows(got) == Counter((a, k, values.get(k)) for a, k in left)
 
 
+@pytest.mark.parametrize("small_rows", [0, 500_000])
 @pytest.mark.parametrize("strict", [False, True])
-def test_running_last_across_partitions(spark, strict):
+def test_running_last_across_partitions(spark, strict, small_rows):
     rng = random.Random(3)
     data = [("h" if i % 3 else f"k{i % 7}", i, rng.choice([None, i])) for i in range(900)]
     df = spark.createDataFrame(data, "k string, t int, v int").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = running_last(df, ["k"], ["t"], "v", "last", strict=strict, first_out="first")
+        got = running_last(df, ["k"], ["t"], "v", "last", strict=strict, first_out="first", small_rows=small_rows)
         result = rows(got.select("k", "t", "last", "first"))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
