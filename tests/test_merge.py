@@ -38,9 +38,9 @@ def mapped(col, table, source, ambiguous=False, conf=1.0, target="stg"):
     return (target, col, table, source, "PASSTHROUGH", "expr", ambiguous, conf, "HASH")
 
 
-@pytest.fixture(params=[0, 500_000])
-def case(spark, request):
-    return lambda **kw: Case(spark, limit=request.param, **kw)
+@pytest.fixture
+def case(spark):
+    return lambda **kw: Case(spark, **kw)
 
 
 def test_catalog_alone_wins(case):
@@ -100,3 +100,17 @@ def test_empty_side_is_no_divergence(case):
 
 def test_agent_alone_is_not_a_target(case):
     assert case(agent=[mapped("c", "a", "x")]).resolved() == []
+
+
+def test_the_shuffled_joins_agree_with_the_broadcast_ones(case):
+    """One target with most of the sources, beside every kind of outcome."""
+    hot = [("hot", "src", f"s{i}") for i in range(60)]
+    data = dict(
+        catalog=[cat(*e) for e in hot] + [cat("d", "a", "x"), cat("k", "a", "x")],
+        parsed=[mapped(*e) for e in hot[:40]] + [mapped("d", "b", "y"), mapped("p", "a", "x"), mapped("u", "", "", True, 0.5)]
+        + [mapped("g", "a", "x", True, 0.5)],
+        agent=[mapped("g", "z", "z", conf=0.8)],
+    )
+    small, shuffled = case(**data), case(**data, limit=0)
+    assert small.resolved() == shuffled.resolved() and len(small.resolved()) == 45
+    assert small.diverged() == shuffled.diverged() and len(small.diverged()) == 62
