@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, hyperdimensional, mixing
+from ledgerline.llm import decontaminate, hyperdimensional, mixing, substring
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     prototypes = hyperdimensional.train_prototypes(docs.where(~held_out))
     found = hyperdimensional.predict_language(docs.select("doc_id", "text"), prototypes)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+OP6_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS MATERIALIZED (SELECT id, p, md5(array_to_string(list_slice(ws, p, p + 34), ' ')) AS win FROM (SELECT id, ws, unnest(range(1, len(ws) - 33)) AS p FROM d WHERE len(ws) >= 35)),
+hit AS (SELECT id, p FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)),
+gone AS MATERIALIZED (SELECT DISTINCT id, unnest(range(p, p + 35)) AS q FROM hit),
+kept AS (
+  SELECT w.id, string_agg(w.word, ' ' ORDER BY w.q) AS rest FROM (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM d) w
+  ANTI JOIN gone g ON w.id = g.id AND w.q = g.q GROUP BY w.id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT id, count(*) AS n FROM gone GROUP BY id) USING (id) LEFT JOIN kept USING (id)"""
+
+
+@query("op6_substring_dedup", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
