@@ -20,15 +20,20 @@ _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
-#: The same white space for ``bytes.split``, which knows exactly these six.
+
 def space_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, unchanged, as UTF-8."""
+    """Words between ASCII white space, unchanged, as UTF-8; ``bytes.split`` knows exactly the six characters."""
     return [] if text is None else text.encode("utf-8").split()
 
 
+def folded(text: str | None) -> bytes:
+    """UTF-8 of a text in lower case, with spaces for ASCII other than letters and digits."""
+    return b"" if text is None else text.encode("utf-8").translate(_FOLD)
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """Lower-cased runs of ASCII letters, digits and non-ASCII characters, as UTF-8."""
-    return [] if text is None else text.encode("utf-8").translate(_FOLD).split()
+    return folded(text).split()
 
 
 def word_count(text: Column) -> Column:

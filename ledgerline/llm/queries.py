@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, hyperdimensional, mixing, substring
+from ledgerline.llm import dartminhash, decontaminate, hyperdimensional, mixing, substring
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op7_dartminhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return dartminhash.class_ids(table(spark, folder, "documents"))
+
+
 @query("op8_language")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")

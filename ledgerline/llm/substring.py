@@ -30,7 +30,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
@@ -43,9 +44,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | bytes | None) -> np.ndarray:
     """A 64-bit hash per space-separated word."""
-    data = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8")
+    data = np.frombuffer(raw, dtype=np.uint8)
     solid = ~_SPACE[data]
     if not solid.any():
         return np.empty(0, dtype=np.uint64)
@@ -54,13 +56,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     place = np.arange(len(data)) - starts[np.maximum(np.cumsum(begins) - 1, 0)]
     weights = _powers(_WORD_BASE, int(place[solid].max()) + 1)
     value = np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * weights[np.where(solid, place, 0)], np.uint64(0))
-    return _mix(np.add.reduceat(value, starts))
+    return mix(np.add.reduceat(value, starts))
 
 
-class _Windows:
-    """Window hashes of one text, for any length."""
+class Windows:
+    """Hashes of a text's windows of consecutive words, for any length."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | bytes | None):
         words = word_hashes(text)
         self.n = len(words)
         powers = _powers(_BASE, self.n)
@@ -70,7 +72,7 @@ class _Windows:
     def hashes(self, length: int) -> np.ndarray:
         if self.n < length:
             return np.empty(0, dtype=np.uint64)
-        return _mix((self.sums[length:] - self.sums[:-length]) * self.inverse[: self.n - length + 1])
+        return mix((self.sums[length:] - self.sums[:-length]) * self.inverse[: self.n - length + 1])
 
 
 def _sliding(values: np.ndarray, width: int, better) -> np.ndarray:
@@ -83,7 +85,7 @@ def _sliding(values: np.ndarray, width: int, better) -> np.ndarray:
     return values
 
 
-def _anchors(windows: _Windows, length: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(windows: Windows, length: int, full: int) -> tuple[np.ndarray, np.ndarray]:
     """(short hashes, smallest short hash inside each full window)."""
     short = windows.hashes(length)
     return short, _sliding(short, full - length + 1, np.minimum)
@@ -97,7 +99,7 @@ def _levels(length: int) -> list[int]:
     return out[:-1]
 
 
-def _live(windows: _Windows, alive: dict[int, np.ndarray], full: int) -> np.ndarray:
+def _live(windows: Windows, alive: dict[int, np.ndarray], full: int) -> np.ndarray:
     """Which full windows still have a repeated anchor at every level so far."""
     keep = np.ones(max(0, windows.n - full + 1), dtype=bool)
     for length, values in alive.items():
@@ -120,7 +122,7 @@ def _sparse_level(texts: DataFrame, done: list[int], length: int, full: int) ->
         for batch in batches:
             keys, columns = batch.column(0).to_pylist(), [batch.column(2 + k).to_pylist() for k in range(len(done))]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                windows = _Windows(text)
+                windows = Windows(text)
                 if windows.n < full:
                     continue
                 short, least = _anchors(windows, length, full)
@@ -152,7 +154,7 @@ def _full_windows(levels: list[int], full: int):
         for batch in batches:
             key, columns = batch.column(0).to_pylist(), [batch.column(2 + k).to_pylist() for k in range(len(levels))]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                windows = _Windows(text)
+                windows = Windows(text)
                 at = np.flatnonzero(_live(windows, _alive(levels, columns, i), full))
                 if len(at):
                     keys.append(np.full(len(at), key[i], dtype=np.int64))
@@ -166,7 +168,7 @@ def _full_windows(levels: list[int], full: int):
         twice = n[place] > 1
         sent = np.concatenate((first, np.flatnonzero(twice)))
         sure = np.concatenate((n > 1, np.ones(len(sent) - len(first), dtype=bool)))
-        route = np.concatenate((code[first], _mix(code[twice] + np.arange(twice.sum(), dtype=np.uint64))))
+        route = np.concatenate((code[first], mix(code[twice] + np.arange(twice.sum(), dtype=np.uint64))))
         for a in range(0, len(sent), 100_000):
             b = slice(a, a + 100_000)
             yield _batch(
