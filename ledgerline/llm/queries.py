@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, hyperdimensional, mixing, substring
+from ledgerline.llm import dartminhash, decontaminate, hyperdimensional, mcd_rules, mixing, substring
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,10 @@ FROM d LEFT JOIN (SELECT id, count(*) AS n FROM gone GROUP BY id) USING (id) LEF
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_mcd_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    judged = mcd_rules.apply_rules(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "distance")
