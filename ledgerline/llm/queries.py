@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, hyperdimensional, mcd_rules, mixing, substring
+from ledgerline.llm import dartminhash, decontaminate, disclosure, hyperdimensional, mcd_rules, mixing, substring
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = mcd_rules.apply_rules(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", "kept", "distance")
+
+
+@query("op9_disclosure")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.expr(f"filter(base, x -> x.k = {k})")).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(disclosure.KINDS[:4])
+    ]
+    texts = [F.sha2(disclosure.spans_text("base"), 256).alias("base_sha256"), disclosure.spans_text("spans").alias("spans")]
+    return found.select("doc_id", *counts, *texts)
