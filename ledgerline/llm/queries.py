@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, disclosure, hyperdimensional, mcd_rules, mixing, substring
+from ledgerline.llm import dartminhash, decontaminate, disclosure, hyperdimensional, mcd_rules, mil_quality, mixing, substring
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_mil_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    model = mil_quality.train(docs, labels.where(~held_out))
+    found = mil_quality.score_quality(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 OP4_SQL = r"""
 WITH dw AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
