@@ -107,89 +107,99 @@ def _live(windows: Windows, alive: dict[int, np.ndarray], full: int) -> np.ndarr
     return keep
 
 
-def _alive(levels: list[int], columns: list, i: int) -> dict[int, np.ndarray]:
-    return {m: np.asarray(c[i] or (), dtype=np.int64).view(np.uint64) for m, c in zip(levels, columns, strict=True)}
+def _send(keys: list, items: list, codes: list, rebuilt: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (route, key, item, kind) that bring equal codes to one place.
+
+    Kind 0 is a code that the task holds once; kind 1 one that it holds more
+    often, sent once; kind 2 is each of the latter's items, which are known to
+    repeat and go to an arbitrary place.  So a code that fills the corpus sends
+    one row per task.  ``rebuilt``: the item is the code and left out of kinds 0
+    and 1.  Rows keep their order, in which neighbours compress well.
+    """
+    if not keys:
+        return
+    key, item, code = np.concatenate(keys), np.concatenate(items), np.concatenate(codes)
+    _, first, place, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(n[place] > 1)
+    sent = np.concatenate((first, twice))
+    kind = np.concatenate(((n > 1).astype(np.int8), np.full(len(twice), 2, dtype=np.int8)))
+    route = np.concatenate((code[first], mix(code[twice] + np.arange(len(twice), dtype=np.uint64))))
+    order = np.argsort(sent, kind="stable")
+    sent, kind, route = sent[order], kind[order], route[order]
+    item = np.where(kind < 2, 0, item[sent]) if rebuilt else item[sent]
+    for a in range(0, len(sent), 100_000):
+        b = slice(a, a + 100_000)
+        columns = [route[b].view(np.int64), key[sent[b]], item[b], kind[b]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["route", "key", "item", "kind"])
+
+
+def _met(rebuilt: bool):
+    """Task over routed rows: the (key, item) pairs whose code came from two places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] for batch in batches]
+        if not held:
+            return
+        route, key, item, kind = (np.concatenate(c) for c in zip(*held, strict=True))
+        _, place, n = np.unique(route, return_inverse=True, return_counts=True)
+        marked = np.bincount(place, weights=kind == 1) > 0
+        kept = np.flatnonzero((kind == 2) | ((kind == 0) & ((n > 1) | marked)[place]))
+        if rebuilt:
+            item = np.where(kind == 2, item, route)
+        for a in range(0, len(kept), 100_000):
+            b = kept[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[b]), pa.array(item[b])], ["key", "item"])
+
+    return run
+
+
+_ROUTED = "route long, key long, item long, kind byte"
 
 
-def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
+def _texts(batches: Iterator[pa.RecordBatch], levels: list[int]):
+    """(key, windows, surviving hashes per level) of every text."""
+    for batch in batches:
+        columns = [batch.column(f"v{m}").to_pylist() for m in levels]
+        for i, (key, text) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            alive = {m: np.asarray(c[i] or (), dtype=np.int64).view(np.uint64) for m, c in zip(levels, columns, strict=True)}
+            yield key, Windows(text), alive
 
 
-def _sparse_level(texts: DataFrame, done: list[int], length: int, full: int) -> DataFrame:
-    """(key, v<length>): the text's anchor hashes that occur twice or more in the corpus."""
+def _sparse_level(found: DataFrame, done: list[int], length: int, full: int) -> DataFrame:
+    """(_key, v<length>): the text's anchor hashes that occur twice or more in the corpus."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, columns = batch.column(0).to_pylist(), [batch.column(2 + k).to_pylist() for k in range(len(done))]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                windows = Windows(text)
-                if windows.n < full:
-                    continue
-                short, least = _anchors(windows, length, full)
-                live = _live(windows, _alive(done, columns, i), full)
-                # An anchor is the smallest of some live window around it.
-                margin = np.zeros(full - length, np.uint64)
-                reach = np.concatenate((margin, np.where(live, least, np.uint64(0)), margin))
-                values = short[_sliding(reach, full - length + 1, np.maximum) == short].view(np.int64)
-                if len(values):
-                    yield _batch(key=np.full(len(values), keys[i], dtype=np.int64), value=values)
-
-    rows = stored(texts.mapInArrow(emit, "key long, value long"), f"windows-{length}")
-    repeated = rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    # Copies of a text have its key: from here on one entry per key and value is enough.
-    found = rows.distinct().join(repeated, "value").groupBy("key").agg(F.collect_list("value").alias(f"v{length}"))
-    return stored(found, f"repeated-{length}")
-
-
-def _full_windows(levels: list[int], full: int):
-    """Task that sends each live window once per task to the place of its hash.
-
-    A window that the task itself holds twice is known to repeat: it goes along
-    once, marked, and each of its starts is sent as ``sure`` to an arbitrary
-    place.  So a hash that fills the corpus sends one row per task.
-    """
+        keys, codes = [], []
+        for key, windows, alive in _texts(batches, done):
+            if windows.n < full:
+                continue
+            short, least = _anchors(windows, length, full)
+            live = _live(windows, alive, full)
+            # An anchor is the smallest of some live window around it.
+            margin = np.zeros(full - length, np.uint64)
+            reach = np.concatenate((margin, np.where(live, least, np.uint64(0)), margin))
+            values = short[_sliding(reach, full - length + 1, np.maximum) == short]
+            keys.append(np.full(len(values), key, dtype=np.int64))
+            codes.append(values)
+        yield from _send(keys, [c.view(np.int64) for c in codes], codes, rebuilt=True)
+
+    met = found.mapInArrow(emit, _ROUTED).repartition("route").mapInArrow(_met(True), "key long, item long")
+    return met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("item").alias(f"v{length}"))
+
+
+def _full_level(found: DataFrame, levels: list[int], full: int) -> DataFrame:
+    """(key, item): starts of the full windows that occur twice or more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, starts, codes = [], [], []
-        for batch in batches:
-            key, columns = batch.column(0).to_pylist(), [batch.column(2 + k).to_pylist() for k in range(len(levels))]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                windows = Windows(text)
-                at = np.flatnonzero(_live(windows, _alive(levels, columns, i), full))
-                if len(at):
-                    keys.append(np.full(len(at), key[i], dtype=np.int64))
-                    starts.append(at.astype(np.int32))
-                    codes.append(windows.hashes(full)[at])
-        if not keys:
-            return
-        key, start, code = np.concatenate(keys), np.concatenate(starts), np.concatenate(codes)
-        del keys, starts, codes
-        _, first, place, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        twice = n[place] > 1
-        sent = np.concatenate((first, np.flatnonzero(twice)))
-        sure = np.concatenate((n > 1, np.ones(len(sent) - len(first), dtype=bool)))
-        route = np.concatenate((code[first], mix(code[twice] + np.arange(twice.sum(), dtype=np.uint64))))
-        for a in range(0, len(sent), 100_000):
-            b = slice(a, a + 100_000)
-            yield _batch(
-                route=route[b].view(np.int64), key=key[sent[b]], start=start[sent[b]], sure=sure[b]
-            )
-
-    return emit
+        for key, windows, alive in _texts(batches, levels):
+            at = np.flatnonzero(_live(windows, alive, full))
+            keys.append(np.full(len(at), key, dtype=np.int64))
+            starts.append(at.astype(np.int64))
+            codes.append(windows.hashes(full)[at])
+        yield from _send(keys, starts, codes, rebuilt=False)
 
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the windows that are sure or whose hash came twice."""
-    held = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] for batch in batches]
-    if not held:
-        return
-    route, key, start, sure = (np.concatenate(c) for c in zip(*held, strict=True))
-    _, place, n = np.unique(route, return_inverse=True, return_counts=True)
-    marked = np.bincount(place, weights=sure) > 0
-    kept = np.flatnonzero(sure | (n > 1)[place] | marked[place])
-    for a in range(0, len(kept), 100_000):
-        b = kept[a : a + 100_000]
-        yield _batch(key=key[b], start=start[b])
+    return found.mapInArrow(emit, _ROUTED).repartition("route").mapInArrow(_met(False), "key long, item long")
 
 
 def _cover(full: int):
@@ -221,21 +231,20 @@ def _cover(full: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans) of ``texts`` (key, text): word spans covered by windows that occur twice or more.
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, spans) of ``docs`` (_key, text, ...): word spans covered by windows that occur twice or more.
 
-    ``key`` is a hash of the text; rows of one text count as copies of each other.
+    ``_key`` is a hash of the text; rows of one text count as copies of each
+    other.  The first level is written; later ones join on the key with all
+    columns of ``docs``, so that they and the caller share one exchange of it.
     """
     levels = _levels(length)
-    found = texts
+    found = docs
     for i, m in enumerate(levels):
-        found = found.join(_sparse_level(found, levels[:i], m, length), "key")
-    rows = found.select("key", "text", *[f"v{m}" for m in levels]).mapInArrow(
-        _full_windows(levels, length), "route long, key long, start int, sure boolean"
-    )
-    windows = rows.repartition("route").mapInArrow(_resolve, "key long, start int")
-    ordered = windows.repartition("key").sortWithinPartitions("key", "start")
-    return ordered.mapInArrow(_cover(length), "key long, spans array<int>")
+        part = _sparse_level(found, levels[:i], m, length)
+        found = found.join(stored(part, f"repeated-{m}") if i == 0 else part, "_key")
+    windows = _full_level(found, levels, length).repartition("key").sortWithinPartitions("key", "item")
+    return windows.mapInArrow(_cover(length), "key long, spans array<int>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -259,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ("kept_text", T.StringType()),
     ]
     docs = without(docs, [n for n, _ in results]).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = repeated_spans(docs.select(F.col("_key").alias("key"), "text"), length)
+    spans = repeated_spans(docs, length)
     joined = docs.join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").drop("_key")
 
     def make():
