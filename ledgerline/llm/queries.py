@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, disclosure, hyperdimensional, mcd_rules, mil_quality, mixing, substring
+from ledgerline.llm import dartminhash, decontaminate, disclosure, hyperdimensional, mcd_rules, mil_quality, mixing, substring, warc
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,23 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT page_id, octet_length(encode(body)) AS n, hex, min(page_id) OVER (PARTITION BY hex, octet_length(encode(body))) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, ((5 * k) // 4 + 1)::INT, 2))::INT >> (3 - (5 * k) % 4)::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP4_SQL = r"""
 WITH dw AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
