@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, disclosure, hyperdimensional, mcd_rules, mil_quality, mixing, substring, warc
+from ledgerline.llm import dartminhash, decontaminate, disclosure, host_suffix, hyperdimensional, mcd_rules, mil_quality, mixing, substring, warc
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op2_host_suffix_array")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return host_suffix.extract_text(table(spark, folder, "pages"))
+
+
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
 f AS (SELECT page_id, octet_length(encode(body)) AS n, hex, min(page_id) OVER (PARTITION BY hex, octet_length(encode(body))) AS first FROM p)
