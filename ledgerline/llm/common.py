@@ -15,6 +15,9 @@ from ledgerline.session import scratch_path
 #: A word of the space-separated kind: everything but the six ASCII white-space characters.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that are Python values at a time.
+SLICE = 1000
+
 #: A-Z to lower case, ASCII other than letters and digits to a space; bytes of non-ASCII characters stay.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -68,7 +71,7 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, max(1, whole.num_rows), SLICE)):
             made = compute(*[batch.column(read.index(c)).to_pylist() for c in inputs])
             arrays = [batch.column(read.index(c)) for c in carried]
             arrays += [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]

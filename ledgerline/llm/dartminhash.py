@@ -167,65 +167,65 @@ def components(edges: DataFrame) -> DataFrame:
     known among them, then halves paths; rounds end when nothing changes.  Rows
     are edges only, so a large component is never one row or one task.
     """
-    edges = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    roots = stored(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    edges = stored(edges.select(both).select("x.a", "x.b"), "edges")
+    first = edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("root"))
+    roots = stored(first.select("key", F.least("key", "root").alias("root")), "roots")
     while True:
-        seen = edges.join(roots, F.col("b") == F.col("key")).select(F.col("a").alias("key"), "root").union(roots)
-        least = seen.groupBy("key").agg(F.min("root").alias("root"))
+        heard = edges.join(roots, F.col("b") == F.col("key")).select(F.col("a").alias("key"), "root", F.lit(None).cast("binary").alias("old"))
+        every = heard.union(roots.select("key", "root", F.col("root").alias("old")))
+        least = every.groupBy("key").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         far = roots.select(F.col("key").alias("mid"), F.col("root").alias("far"))
         jumped = least.join(far, F.col("root") == F.col("mid"), "left")
-        jumped = jumped.select("key", F.least("root", F.coalesce("far", "root")).alias("root"))
-        new = stored(jumped, "roots")
-        moved = new.join(roots.withColumnRenamed("root", "old"), "key").where("root <> old").limit(1).count()
-        roots = new
-        if not moved:
+        new = stored(jumped.select("key", F.least("root", F.coalesce("far", "root")).alias("root"), "old"), "roots")
+        roots = new.select("key", "root")
+        if not new.where("root <> old").limit(1).count():
             return roots
 
 
-def _bucket_pairs(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Candidate pairs of a round: members (bucket, key) of buckets that still hold several components."""
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """All pairs inside the buckets of at most ``SMALL`` members."""
+    listed = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("key").alias("ks"))
+    pairs = F.expr(
+        "flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))"
+    )
+    return listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def _star_pairs(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of each larger bucket's members with one drawn head, where bucket and pair span several components."""
+    members = members.where(F.col("n") > SMALL).select("bucket", "key")
     if roots is not None:
         members = members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     else:
         members = members.withColumn("root", F.col("key"))
     lot = F.xxhash64("key", F.lit(turn), "bucket")
     heads = members.groupBy("bucket").agg(
-        F.count("*").alias("n"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-        F.min_by("key", lot).alias("head"),
-        F.min_by("root", lot).alias("head_root"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "root"), lot).alias("head")
     )
-    heads = heads.where("low <> high").select("bucket", "n", "head", "head_root")
-    open_ = members.join(heads, "bucket")
-    star = open_.where(F.col("root") != F.col("head_root")).select("key", F.col("head").alias("other"))
-    small = open_.where(F.col("n") <= SMALL).select("bucket", "key", "root")
-    twin = small.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
-    full = small.join(twin, "bucket").where("key < other AND root <> other_root").select("key", "other")
-    pairs = star.union(full) if turn == 0 else star
-    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    heads = heads.where("low <> high").select("bucket", "head")
+    pairs = members.join(heads, "bucket").where("root <> head.root")
+    return pairs.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"))
 
 
 def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
     """(key, root) for the texts of ``keyed`` (key, text) that have a near-duplicate with another key."""
     signatures = _signatures(keyed, weighting)
     members = signatures.select("key", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = stored(members.join(shared, "bucket").select("bucket", "key"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(shared, "bucket").select("bucket", "key", "n"), "buckets")
+    sets = _sets(keyed, members)
     least = min(ESTIMATE, threshold - 0.15)
-    near = None
-    roots = None
-    tested = None
-    sets = None
+    near = roots = tested = None
     turn = 0
     while True:
-        pairs = _bucket_pairs(members, roots, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(_agreeing(stored(pairs, "candidates"), signatures, least), "agreeing")
+        pairs = _star_pairs(members, roots, turn)
+        if turn == 0:
+            pairs = pairs.union(_small_pairs(members)).distinct()
+        else:
+            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = stored(_agreeing(pairs, signatures, least), "agreeing")
         tested = pairs if tested is None else tested.union(pairs)
-        if sets is None:
-            sets = _sets(keyed, members)
         found = stored(_similar(pairs, sets, threshold), "near")
         if not found.limit(1).count():
             break
@@ -253,33 +253,37 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
     are copies whatever their case and punctuation.  ``weighting="count"``
     draws signatures from shingle counts instead of sets.  Texts without words,
     null ones included, are copies of each other; shorter texts are one
-    shingle.  An empty table gives an empty result.  Columns named like a
-    result are replaced.
+    shingle.  An empty table gives an empty result.  A column named class_key is
+    replaced.
 
     Copies meet in their key before any pair is made.  Small buckets compare
     all members; large ones compare each member with one drawn head a round,
-    and rounds go on, with new heads, among buckets that still hold several
-    components, until a round finds nothing.  Only pairs with agreeing
+    and rounds go on, with new heads, among large buckets that still hold
+    several components, until a round finds nothing.  Only pairs with agreeing
     signatures fetch their shingle sets for the exact check.
     """
-    docs = _keys(without(docs, ["class_key", "key"]))
-    roots = near_duplicate_keys(docs.select("key", "text"), threshold, weighting)
-    joined = docs.join(roots, "key", "left")
-    return joined.withColumn("class_key", F.hex(F.coalesce("root", "key"))).drop("key", "root")
+    docs = without(docs, ["class_key"])
+    return _classed(docs, docs.columns, threshold, weighting).select("row.*", "class_key")
+
+
+def _classed(docs: DataFrame, kept: list[str], threshold: float, weighting: str = "set") -> DataFrame:
+    """(row, class_key) per row of ``docs``; row holds the ``kept`` columns, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    keyed = _keys(docs.select(row, "text"))
+    roots = near_duplicate_keys(keyed.select("key", "text"), threshold, weighting)
+    joined = keyed.select("row", "key").join(roots, "key", "left")
+    return joined.select("row", F.hex(F.coalesce("root", "key")).alias("class_key"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of each near-duplicate class with the smallest id, one row a class."""
-    columns = docs.columns
-    classed = near_duplicate_classes(docs, threshold)
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    kept = classed.groupBy("class_key").agg(F.min_by(row, rank).alias("row"))
-    return kept.select("row.*")
+    """The document with the smallest id of each near-duplicate class; one row a class, with the columns of ``docs``."""
+    classed = _classed(docs, docs.columns, threshold)
+    rank = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"))
+    return classed.groupBy("class_key").agg(F.min_by("row", rank).alias("row")).select("row.*")
 
 
 def class_ids(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and class_rows: the smallest id and the number of rows of the document's class."""
-    classed = stored(near_duplicate_classes(docs.select("doc_id", "text"), threshold).select("doc_id", "class_key"), "classes")
+    classed = stored(_classed(docs, ["doc_id"], threshold).select("row.doc_id", "class_key"), "classes")
     heads = classed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     return classed.join(heads, "class_key").select("doc_id", "class_id", "class_rows")
