@@ -172,7 +172,8 @@ def apply_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     result.  Columns named like a result are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
-    rows = stored(_grouped(base_counts(without(docs, [*made, "grp", *STATS])).drop("text")), "rules")
+    counts = stored(base_counts(without(docs, [*made, "grp", *STATS])).drop("text"), "counts")
+    rows = stored(_grouped(counts), "rules")
     counted = rows.where("NOT base_failed").select("grp", *STATS)
     enough = counted.groupBy("grp").count().where(F.col("count") >= MIN_GROUP).select("grp")
     estimate = mcd_estimates(counted.join(enough, "grp"))
