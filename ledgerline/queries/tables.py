@@ -43,10 +43,11 @@ def _(t):
 
 @query(
     "asof_backfill",
-    f"""WITH {QUOTES}, fb AS (SELECT k, FIRST(rate ORDER BY ts) r, FIRST(source ORDER BY ts) s FROM quotes GROUP BY k)
-    SELECT event_id, CASE WHEN hit.k = '7' THEN 1.0 WHEN asof_rate IS NOT NULL THEN asof_rate ELSE r END AS fx_rate_used,
-    CASE WHEN hit.k = '7' THEN NULL WHEN asof_rate IS NOT NULL THEN asof_source ELSE s || '_BACKFILL' END AS fx_rate_source
-    FROM hit LEFT JOIN fb ON hit.k = fb.k""",
+    f"""WITH {QUOTES}
+    SELECT event_id, 1::DOUBLE AS fx_rate_used, NULL AS fx_rate_source FROM tx WHERE k = '7'
+    UNION ALL SELECT event_id, asof_rate, asof_source FROM hit WHERE k <> '7' AND asof_source IS NOT NULL
+    UNION ALL SELECT event_id, rate, source || '_BACKFILL' FROM hit LEFT JOIN quotes q
+      ON q.k = hit.k AND NOT EXISTS (SELECT 1 FROM quotes e WHERE e.k = q.k AND e.ts < q.ts) WHERE hit.k <> '7' AND asof_source IS NULL""",
 )
 def _(t):
     tx, quotes = _quotes(t)
@@ -107,8 +108,7 @@ def _(t):
 @query(
     "first_by_order",
     st.with_staged(
-        """SELECT from_currency, CAST(FIRST(rate ORDER BY rate_date) AS DOUBLE) AS first_rate, FIRST(rate_source ORDER BY rate_date) AS first_rate_source,
-        MIN(rate_date) AS first_rate_date FROM stg_fx GROUP BY from_currency"""
+        "SELECT from_currency, CAST(rate AS DOUBLE) AS first_rate, rate_source AS first_rate_source, rate_date AS first_rate_date FROM opening"
     ),
 )
 def _(t):
@@ -176,8 +176,8 @@ def _(t):
 @query(
     "filtered_aggs",
     st.with_fact(
-        """SELECT customer_id, n_all AS total_txn_count, n_intl AS intl_txn_count, n_rev AS reversal_txn_count, txn_count_90d,
-        total_txn_volume_usd_90d, CAST(COALESCE(avg_kept, 0) AS DOUBLE) AS avg_txn_amount_usd FROM per_customer"""
+        """SELECT customer_id, all_n AS total_txn_count, all_foreign_n AS intl_txn_count, all_back_n AS reversal_txn_count, txn_count_90d,
+        total_txn_volume_usd_90d, avg_txn_amount_usd FROM activity"""
     ),
 )
 def _(t):

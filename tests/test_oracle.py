@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from ledgerline import queries as registry
 from oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
