@@ -60,16 +60,18 @@ def truncate_text(text: Column, limit: int) -> Column:
 def transform_shape(expression: Column, alias: Column, n_tables: Column | None = None) -> Column:
     """Transform type of a projection text (``expr AS alias``), first rule wins.
 
-    Literals and CURRENT_* are constants whatever else holds; a CASE or COALESCE
-    over two or more base tables is ambiguous whatever its shape; then come
-    aggregates, windows, bare columns and the rest.
+    An expression without a column is a constant, whatever it calls; a CASE or
+    COALESCE over two or more base tables is ambiguous whatever its shape; then
+    come aggregates, windows, bare columns and the rest.  String literals are
+    blanked first, so what they say counts for nothing.
     """
-    body = F.trim(expression)
+    body = F.regexp_replace(F.trim(expression), r"'(?:[^']|'')*'", "''")
     low = F.lower(body)
-    constant = low.rlike(
-        r"^(\d+(\.\d+)?|'[^']*'|true|false|null|interval\s+.*|(date|timestamp)\s+'[^']*'|"
-        r"current_date(\(\))?|current_timestamp(\(\))?|current_time|now\(\))$"
-    )
+    # What is left after numbers, called names and reserved words are taken out is a column.
+    typed = r"\binterval\s+(?:''|\d+)\s+[a-z]+|\b(?:date|time|timestamp|interval)\s+''|\bas\s+[a-z]\w*"
+    names = F.regexp_replace(F.regexp_replace(low, typed, " "), r"\b\d+(\.\d+)?\b|\b[a-z_]\w*\s*(?=\()", " ")
+    names = F.regexp_replace(names, r"(?<!\.)\b(" + "|".join(V.RESERVED) + r")\b(?!\.)", " ")
+    constant = ~names.rlike(r"[a-z_]")
     many = (n_tables >= 2) if n_tables is not None else F.lit(False)
     ambiguous = low.rlike(r"\bcase\b|\bcoalesce\s*\(") & many
     aggregate = low.rlike(r"\b(" + "|".join(V.AGGREGATES) + r")\s*\(")

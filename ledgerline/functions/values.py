@@ -19,7 +19,10 @@ LAYER_PREFIXES = [("src_", "layer_0"), ("stg_", "layer_1"), ("fct_", "layer_2"),
 TYPE_SENSITIVE = ["||", "concat", "date_diff", "age", "extract", "interval", "round", "cast", " + ", " - ", " * ", " / "]
 
 # Aggregate function names.
-AGGREGATES = ["sum", "count", "avg", "min", "max", "mode", "string_agg", "list", "median", "stddev", "variance", "first", "last", "any_value"]
+AGGREGATES = ["sum", "count", "avg", "min", "max", "mode", "string_agg", "list", "median", "stddev", "variance", "first", "last", "any_value",
+    "stddev_samp", "stddev_pop", "var_samp", "var_pop", "array_agg", "count_if", "bool_or", "bool_and", "approx_count_distinct", "percentile_cont",
+    "percentile_disc", "corr", "covar_samp", "covar_pop", "group_concat", "listagg", "arg_min", "arg_max", "min_by", "max_by", "first_value",
+    "last_value", "lag", "lead"]
 
 # Keys every landing manifest must carry.
 MANIFEST_KEYS = ["sor", "entity", "business_date", "row_count", "sha256", "produced_at", "schema_version"]
@@ -33,6 +36,13 @@ FEEDS = [
     ("fx_vendor", "fx_rate", "src_fx_rate"),
 ]
 
+# Words of SQL expressions that name no column.
+RESERVED = [
+    "and", "array", "asc", "between", "by", "case", "current", "current_date", "current_time", "current_timestamp", "desc", "distinct",
+    "else", "end", "escape", "exists", "false", "filter", "following", "from", "in", "is", "like", "not", "null", "nulls", "or", "order",
+    "over", "partition", "preceding", "range", "rows", "select", "similar", "then", "to", "true", "unbounded", "when", "where", "within",
+]
+
 # Node and edge labels of the lineage graph.
 NODE_LABELS = ["DataSet", "Column", "Process", "Owner", "Tag"]
 EDGE_LABELS = ["INPUT_TO", "PRODUCES", "DERIVES_FROM", "DEPENDS_ON", "OWNED_BY", "CLASSIFIED_AS"]

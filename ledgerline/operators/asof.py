@@ -1,9 +1,9 @@
 """As-of joins with optional back-fill from the earliest known row.
 
-The facts are never sorted.  Their distinct (key, time) pairs are resolved
+The facts are never sorted by time.  Their distinct (key, time) pairs are resolved
 against the dimension, and the answer is looked up by equality.  With day-grained
-times the pairs are few whatever the number of facts, the lookup is broadcast
-after being counted, and the facts are not even shuffled.
+times the pairs are few whatever the number of facts, and adaptive execution can
+broadcast them by their size.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.scale import BROADCAST_ROWS, lookup_left_join, running_last
+from ledgerline.operators.scale import lookup_left_join, running_last
 
 
 def _resolve_pairs(
@@ -23,9 +23,8 @@ def _resolve_pairs(
     right_ts: str,
     right_cols: list[str],
     tie: str | None,
-    small_rows: int,
 ) -> DataFrame:
-    """One row per distinct (key, time) of ``left``: count, as-of hit, earliest hit."""
+    """One row per distinct (key, time) of ``left``: as-of hit, earliest hit."""
     payload = F.struct(*right_cols)
     # One right row per (key, time); equal times are settled by the tie column.
     dims = (
@@ -33,29 +32,26 @@ def _resolve_pairs(
         .groupBy(F.col(right_key).alias("_k"), F.col(right_ts).alias("_t"))
         .agg(F.max_by(payload, F.col(tie) if tie else payload).alias("_payload"))
         .withColumn("_side", F.lit(0))
-        .withColumn("_n", F.lit(None).cast("bigint"))
     )
     pairs = (
         left.where(F.col(left_key).isNotNull() & F.col(left_ts).isNotNull())
-        .groupBy(F.col(left_key).alias("_k"), F.col(left_ts).alias("_t"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(F.col(left_key).alias("_k"), F.col(left_ts).alias("_t"))
+        .distinct()
         .withColumn("_side", F.lit(1))
     )
     # Side 0 sorts first, so an equal time counts as "at or before".
     timeline = dims.unionByName(pairs, allowMissingColumns=True)
-    resolved = running_last(timeline, ["_k"], ["_t", "_side"], "_payload", "_asof", first_out="_first", small_rows=small_rows)
-    return resolved.where(F.col("_side") == 1).select("_k", "_t", "_n", "_asof", "_first")
+    resolved = running_last(timeline, ["_k"], ["_t", "_side"], "_payload", "_asof", first_out="_first")
+    return resolved.where(F.col("_side") == 1).select("_k", "_t", "_asof", "_first")
 
 
-def _attach(left: DataFrame, resolved: DataFrame, left_key: str, left_ts: str, broadcast_rows: int) -> DataFrame:
+def _attach(left: DataFrame, resolved: DataFrame, left_key: str, left_ts: str) -> DataFrame:
     """Answers looked up by (key, time); the number of pairs picks the join."""
     return lookup_left_join(
         left,
         resolved.withColumnsRenamed({"_k": left_key, "_t": left_ts}),
         [left_key, left_ts],
         ["_asof", "_first"],
-        "_n",
-        broadcast_rows=broadcast_rows,
     )
 
 
@@ -67,8 +63,7 @@ def asof_left_join(
     left_ts: str,
     right_ts: str,
     right_cols: dict[str, str],
-    tie: str | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    tie: str | None = None
 ) -> DataFrame:
     """Latest ``right`` row of the same key at or before each left row.
 
@@ -76,8 +71,8 @@ def asof_left_join(
     NULLs.  Rows of ``right`` that share key and time are settled by the largest
     ``tie`` (by the largest payload if none is named).
     """
-    resolved = _resolve_pairs(left, right, left_key, right_key, left_ts, right_ts, list(right_cols), tie, broadcast_rows)
-    joined = _attach(left, resolved, left_key, left_ts, broadcast_rows)
+    resolved = _resolve_pairs(left, right, left_key, right_key, left_ts, right_ts, list(right_cols), tie)
+    joined = _attach(left, resolved, left_key, left_ts)
     return joined.select(*left.columns, *[F.col("_asof")[c].alias(o) for c, o in right_cols.items()])
 
 
@@ -98,8 +93,7 @@ def asof_backfill(
     rate: str,
     source: str,
     base_key: str,
-    tie: str | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    tie: str | None = None
 ) -> DataFrame:
     """Add ``fx_rate_used`` and ``fx_rate_source`` to every transaction.
 
@@ -108,8 +102,8 @@ def asof_backfill(
     a currency without rates gets NULL for both.
     """
     dtype = rates.schema[rate].dataType.simpleString()
-    resolved = _resolve_pairs(tx, rates, key, rate_key, tx_date, rate_date, [rate, source], tie, broadcast_rows)
-    joined = _attach(tx, resolved, key, tx_date, broadcast_rows)
+    resolved = _resolve_pairs(tx, rates, key, rate_key, tx_date, rate_date, [rate, source], tie)
+    joined = _attach(tx, resolved, key, tx_date)
     asof, first = F.col("_asof"), F.col("_first")
     label = (
         F.when(F.col(key) == base_key, F.lit(None).cast("string"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
-from ledgerline.operators.scale import BROADCAST_ROWS, lookup_left_join, running_last
+from ledgerline.operators.scale import lookup_left_join, running_last
 from ledgerline.operators.upsert import keep_old, upsert
 
 TARGET = ["target_table", "target_column"]
@@ -114,7 +114,7 @@ DECISION = ["case", "winner", "n_winner", "parsed_expression", "parsed_hash", "c
 
 
 def merge_lineage(
-    catalog: DataFrame, parsed: DataFrame, agent: DataFrame, sql_hash: str, broadcast_rows: int = BROADCAST_ROWS
+    catalog: DataFrame, parsed: DataFrame, agent: DataFrame, sql_hash: str
 ) -> DataFrame:
     """One winning origin per target column, one row per winning source.
 
@@ -125,7 +125,7 @@ def merge_lineage(
     """
     evidence = _evidence(catalog, parsed, agent)
     decided = _decisions(evidence)[1].join(_heads(evidence), KEY, "left")
-    joined = lookup_left_join(evidence, decided, KEY, DECISION, broadcast_rows=broadcast_rows)
+    joined = lookup_left_join(evidence, decided, KEY, DECISION)
     # A blank source stands for "no source known" and yields to any real one.
     won = joined.where((F.col("_from") == F.col("winner")) & (F.col("_real") | (F.col("n_winner") == 0)))
     from_catalog = F.col("winner") == "catalog"
@@ -153,7 +153,7 @@ def merge_lineage(
 
 
 def divergences(
-    catalog: DataFrame, parsed: DataFrame, sql_hash: str, broadcast_rows: int = BROADCAST_ROWS
+    catalog: DataFrame, parsed: DataFrame, sql_hash: str
 ) -> DataFrame:
     """Sources of every target on which a ratified catalog and a clear parse differ.
 
@@ -165,7 +165,7 @@ def divergences(
     edges = lookup_left_join(
         per_edge.where("_real").select(*KEY, "_s", "_sc", "in_catalog", "in_parsed"),
         split.select(*KEY, "case", F.col("catalog_hash").alias("catalog_sql_hash")),
-        KEY, ["case", "catalog_sql_hash"], broadcast_rows=broadcast_rows,
+        KEY, ["case", "catalog_sql_hash"],
     )
     return edges.where(F.col("case").isNotNull()).select(
         F.col("_t").alias("target_table"),
@@ -255,7 +255,7 @@ def review_states(lineage: DataFrame) -> DataFrame:
 
 
 def apply_review(
-    lineage: DataFrame, actions: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    lineage: DataFrame, actions: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Ratify, downgrade and reject a batch: (new lineage, audit rows).
 
@@ -279,8 +279,8 @@ def apply_review(
     )
     gone = batch.groupBy(*on).agg(F.min(F.when(F.col("action") == "reject", F.col("seq"))).alias("rejected_at"))
     keyed = gone.join(before, on, "left")
-    ordered = running_last(batch, on, ["seq"], "to_state", "_prev", strict=True, small_rows=broadcast_rows)
-    known = lookup_left_join(ordered, keyed, on, ["initial", "rejected_at"], broadcast_rows=broadcast_rows)
+    ordered = running_last(batch, on, ["seq"], "to_state", "_prev", strict=True)
+    known = lookup_left_join(ordered, keyed, on, ["initial", "rejected_at"])
     absent = F.col("initial").isNull() | (F.col("rejected_at") < F.col("seq"))
     from_state = F.when(absent, V.ABSENT).otherwise(F.coalesce("_prev", "initial"))
     reason = F.when(
@@ -295,7 +295,7 @@ def apply_review(
     ).select(
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "_last", "_rejected"
     )
-    marked = lookup_left_join(lineage, final, TARGET, ["_last", "_rejected"], broadcast_rows=broadcast_rows)
+    marked = lookup_left_join(lineage, final, TARGET, ["_last", "_rejected"])
     kept = marked.where(~F.coalesce("_rejected", F.lit(False)))
     ratified = F.col("_last.to_state") == V.RATIFIED
     hit = F.col("_last").isNotNull()
@@ -307,14 +307,14 @@ def apply_review(
     return kept.withColumns(changed).select(*lineage.columns), log
 
 
-def set_review_state(lineage, actions, broadcast_rows: int = BROADCAST_ROWS):
+def set_review_state(lineage, actions):
     """Ratify and downgrade actions; see ``apply_review``."""
-    return apply_review(lineage, actions.where(F.col("action").isin("ratify", "downgrade")), broadcast_rows)
+    return apply_review(lineage, actions.where(F.col("action").isin("ratify", "downgrade")))
 
 
-def reject(lineage, actions, broadcast_rows: int = BROADCAST_ROWS):
+def reject(lineage, actions):
     """Reject actions: the target's edges go, the audit row stays."""
-    return apply_review(lineage, actions.where(F.col("action") == "reject"), broadcast_rows)
+    return apply_review(lineage, actions.where(F.col("action") == "reject"))
 
 
 def downgrade_diverged(diverged: DataFrame, ts: str) -> DataFrame:
@@ -346,7 +346,7 @@ def certification(certs: DataFrame, table: str) -> DataFrame:
     return certs.where(F.col("table_name") == table).select("table_name", "profile")
 
 
-def pending_sources(lineage: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def pending_sources(lineage: DataFrame) -> DataFrame:
     """Pending targets with their sources, one row per source.
 
     Header fields come from the target's first row in source order; a target
@@ -360,7 +360,6 @@ def pending_sources(lineage: DataFrame, broadcast_rows: int = BROADCAST_ROWS) ->
     )
     rows = lookup_left_join(
         pending.select(*EDGE, "transform_type", real.alias("_real")), header, TARGET, ["_h", "source_count"],
-        broadcast_rows=broadcast_rows,
     )
 
     def shown(c: str) -> Column:

@@ -13,52 +13,43 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
 from ledgerline.functions.text import infer_layer
-from ledgerline.operators.scale import BROADCAST_ROWS, grid_join, hot_keys, lookup_left_join
+from ledgerline.operators.scale import lookup_left_join
 from ledgerline.session import pin
 
 
 class _Steps:
-    """Distinct one-hop steps, counted once and joined at every level."""
+    """Distinct one-hop steps, written once and joined at every level."""
 
-    def __init__(self, edges: DataFrame, reverse: bool, broadcast_rows: int):
+    def __init__(self, edges: DataFrame, reverse: bool):
         a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
         steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node IS NOT NULL AND next IS NOT NULL")
         self.steps = pin(steps.distinct())
-        self.small = self.steps.count() <= broadcast_rows
-        self.hot = None if self.small else pin(hot_keys(self.steps, ["node"]))
 
     def expand(self, frontier: DataFrame) -> DataFrame:
-        """Frontier rows moved one hop; both sides may hold a hot node."""
-        if self.small:
-            moved = frontier.join(F.broadcast(self.steps), "node")
-        else:
-            moved = grid_join(frontier, self.steps, ["node"], right_hot=self.hot)
-        return moved.drop("node").withColumnRenamed("next", "node")
-
-    def starts(self, given: DataFrame | None) -> DataFrame:
-        """The given start nodes, else every node with a step."""
-        return self.steps.select(F.col("node").alias("start")).distinct() if given is None else given.select("start").distinct()
-
-
-def walk(
-    edges: DataFrame,
-    starts: DataFrame | None = None,
-    max_hops: int = 10,
-    reverse: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Every node reached in 1..max_hops hops: start, node, hops, paths.
+        """Frontier rows moved one hop; adaptive execution cuts a node that is hot on either side."""
+        return frontier.join(self.steps, "node").drop("node").withColumnRenamed("next", "node")
+
+
+def _hops(max_hops: int) -> int:
+    """The asked number of hops; anything but a positive whole number is an error."""
+    if not isinstance(max_hops, int) or isinstance(max_hops, bool) or max_hops < 1:
+        raise ValueError(f"hops must be a positive whole number, not {max_hops!r}")
+    return max_hops
+
+
+def walk(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool = False) -> DataFrame:
+    """Every node reached from ``starts`` (start) in 1..max_hops hops: start, node, hops, paths.
 
     Paths are counted, not listed: each level is one row per (start, node), so
     diamonds and cycles never multiply the rows.  Levels are pinned, which keeps
     the plan of level k from repeating levels 1..k-1.
     """
-    steps = _Steps(edges, reverse, broadcast_rows)
-    frontier = steps.starts(starts).select(
+    steps = _Steps(edges, reverse)
+    frontier = starts.select("start").distinct().select(
         "start", F.col("start").alias("node"), F.lit(1).cast("bigint").alias("paths")
     )
     levels = []
-    for hop in range(1, max_hops + 1):
+    for hop in range(1, _hops(max_hops) + 1):
         frontier = pin(steps.expand(frontier).groupBy("start", "node").agg(F.sum("paths").alias("paths")))
         if hop > 1 and frontier.isEmpty():
             break
@@ -66,75 +57,67 @@ def walk(
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
-def reach(
-    edges: DataFrame,
-    starts: DataFrame | None = None,
-    max_hops: int | None = None,
-    reverse: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Every reachable node once, with its smallest hop count: start, node, hops.
+def reach(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, reverse: bool = False) -> DataFrame:
+    """Every node reachable from ``starts`` (start) once, with its smallest hop count: start, node, hops.
 
     Only newly seen pairs are expanded, so the walk also ends on cycles; without
-    ``max_hops`` it runs until a level finds nothing new.
+    ``max_hops`` it runs until a level finds nothing new.  What was seen is one
+    pinned table, so a level reads it once however many levels it holds.
     """
-    steps = _Steps(edges, reverse, broadcast_rows)
-    frontier = steps.starts(starts).select("start", F.col("start").alias("node"))
-    seen, levels, hop = None, [], 0
-    while max_hops is None or hop < max_hops:
+    steps = _Steps(edges, reverse)
+    limit = None if max_hops is None else _hops(max_hops)
+    frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"))
+    seen, hop = None, 0
+    while limit is None or hop < limit:
         hop += 1
-        found = steps.expand(frontier)
-        if seen is None:
-            frontier = pin(found.distinct())
-        else:
-            # Deduplication and the test against earlier levels in one aggregate.
-            both = found.withColumn("_old", F.lit(False)).unionByName(seen.withColumn("_old", F.lit(True)))
-            marked = both.groupBy("start", "node").agg(F.bool_or("_old").alias("_old"))
-            frontier = pin(marked.where(~F.col("_old")).select("start", "node"))
-        if hop > 1 and frontier.isEmpty():
+        found = steps.expand(frontier).withColumn("hops", F.lit(hop))
+        every = found if seen is None else seen.unionByName(found)
+        seen = pin(every.groupBy("start", "node").agg(F.min("hops").alias("hops")))
+        frontier = seen.where(F.col("hops") == hop).select("start", "node")
+        if frontier.isEmpty():
             break
-        levels.append(frontier.select("start", "node", F.lit(hop).alias("hops")))
-        seen = frontier if seen is None else seen.unionByName(frontier)
-    return reduce(lambda a, b: a.unionByName(b), levels)
+    return seen
 
 
-def column_ancestors(edges: DataFrame, starts: DataFrame | None = None, max_hops: int = 10, **kw) -> DataFrame:
+def column_ancestors(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     """Upstream columns per hop with the number of paths that lead there."""
-    return walk(edges, starts, max_hops, **kw).withColumnRenamed("node", "ancestor")
+    return walk(edges, starts, max_hops).withColumnRenamed("node", "ancestor")
 
 
-def column_chain(edges: DataFrame, starts: DataFrame | None = None, max_hops: int = 10, **kw) -> DataFrame:
+def column_chain(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     """Upstream columns, one row per (column, hop)."""
-    return column_ancestors(edges, starts, max_hops, **kw).select("start", "ancestor", "hops")
+    return column_ancestors(edges, starts, max_hops).select("start", "ancestor", "hops")
 
 
 def upstream_one_hop(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src_id").alias("start"), F.col("dst_id").alias("ancestor")).distinct()
 
 
-def upstream_3hop(edges: DataFrame, starts: DataFrame | None = None, **kw) -> DataFrame:
+def upstream_3hop(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Upstream columns within three hops, each once at its smallest hop."""
-    return reach(edges, starts, 3, **kw).withColumnRenamed("node", "ancestor")
+    return reach(edges, starts, 3).withColumnRenamed("node", "ancestor")
 
 
 def downstream_direct(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst_id").alias("start"), F.col("src_id").alias("descendant")).distinct()
 
 
-def downstream_chain(edges: DataFrame, starts: DataFrame | None = None, max_hops: int = 10, **kw) -> DataFrame:
-    """Every descendant once, at its smallest hop; max_hops is held to 1..25."""
-    hops = max(1, min(int(max_hops), 25))
-    return reach(edges, starts, hops, reverse=True, **kw).withColumnRenamed("node", "descendant")
+def downstream_chain(edges: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame:
+    """Every descendant once, at its smallest hop; None follows the chain to its end."""
+    return reach(edges, starts, max_hops, reverse=True).withColumnRenamed("node", "descendant")
 
 
-def trace_path(edges: DataFrame, roots: DataFrame | None = None, **kw) -> DataFrame:
-    """Everything up and down from each root, DEPENDS_ON edges ignored: root, node, direction."""
-    flow = pin(edges.where(F.col("label") != "DEPENDS_ON").select("src_id", "dst_id").distinct())
-    if roots is None:
-        roots = flow.select(F.col("src_id").alias("start")).union(flow.select("dst_id")).distinct()
-    up = reach(flow, roots, reverse=True, **kw).select("start", "node", F.lit("up").alias("direction"))
-    down = reach(flow, roots, **kw).select("start", "node", F.lit("down").alias("direction"))
-    return up.unionByName(down).withColumnRenamed("start", "root")
+def trace_path(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each of ``roots`` (start) itself and everything up and down from it: root, node, direction.
+
+    DEPENDS_ON edges are no flow.  A root that lies on a cycle is its own ancestor
+    and descendant besides.
+    """
+    flow = edges.where(F.col("label") != "DEPENDS_ON").select("src_id", "dst_id").distinct()
+    up = reach(flow, roots, reverse=True).select("start", "node", F.lit("up").alias("direction"))
+    down = reach(flow, roots).select("start", "node", F.lit("down").alias("direction"))
+    own = roots.select("start").distinct().select("start", F.col("start").alias("node"), F.lit("root").alias("direction"))
+    return own.unionByName(up).unionByName(down).withColumnRenamed("start", "root")
 
 
 def first_seen_dedup(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -148,12 +131,12 @@ def p1_tables(certs: DataFrame) -> DataFrame:
     return certs.where(F.upper("profile") == "P1").select(F.col("table_name").alias("dataset_name")).distinct()
 
 
-def _blocked(columns: DataFrame, certs: DataFrame, broadcast_rows: int) -> DataFrame:
+def _blocked(columns: DataFrame, certs: DataFrame) -> DataFrame:
     """Pending columns that live in P1 tables (``fct_`` tables if none is certified)."""
     pending = columns.where(F.col("review_state") == V.PENDING).select("pk", "dataset_name")
     p1 = p1_tables(certs).withColumn("_p1", F.lit(True))
     any_p1 = p1.agg(F.count(F.lit(1)) > 0).scalar()
-    marked = lookup_left_join(pending, p1, ["dataset_name"], ["_p1"], broadcast_rows=broadcast_rows)
+    marked = lookup_left_join(pending, p1, ["dataset_name"], ["_p1"])
     is_p1 = F.when(any_p1, F.coalesce("_p1", F.lit(False))).otherwise(F.col("dataset_name").startswith("fct_"))
     return marked.where(is_p1).select(F.col("pk").alias("descendant"), F.lit(True).alias("_blocked"))
 
@@ -162,14 +145,13 @@ def gate_unratified(
     chain: DataFrame,
     columns: DataFrame,
     certs: DataFrame,
-    include_unratified: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    include_unratified: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Chain without unreviewed columns of P1 tables, and the number left out."""
     if include_unratified:
         return chain, chain.limit(0).agg(F.count(F.lit(1)).alias("filtered"))
     marked = lookup_left_join(
-        chain, _blocked(columns, certs, broadcast_rows), ["descendant"], ["_blocked"], broadcast_rows=broadcast_rows
+        chain, _blocked(columns, certs), ["descendant"], ["_blocked"]
     )
     hit = F.coalesce("_blocked", F.lit(False))
     return marked.where(~hit).drop("_blocked"), marked.agg(F.count_if(hit).alias("filtered"))
@@ -179,28 +161,28 @@ def _label(edges: DataFrame, label: str) -> DataFrame:
     return edges.where(F.col("label") == label)
 
 
-def edge_one_hop(edges: DataFrame, processes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def edge_one_hop(edges: DataFrame, processes: DataFrame) -> DataFrame:
     """Dataset to dataset through the process between them."""
     reads = _label(edges, "INPUT_TO").select(F.col("src_id").alias("upstream_table"), F.col("dst_id").alias("pk"))
     writes = _label(edges, "PRODUCES").select(F.col("src_id").alias("pk"), F.col("dst_id").alias("downstream_table"))
     # Reads and writes of one process pair up; a process writes one table.
-    paired = grid_join(reads, writes, ["pk"], broadcast_rows=broadcast_rows)
+    paired = reads.join(writes, "pk")
     named = lookup_left_join(
         paired, processes.select("pk", F.col("stage").alias("via_process"), "transform_type", F.lit(True).alias("_known")),
-        ["pk"], ["via_process", "transform_type", "_known"], broadcast_rows=broadcast_rows,
+        ["pk"], ["via_process", "transform_type", "_known"],
     )
     return named.where("_known").select("upstream_table", "downstream_table", "via_process", "transform_type")
 
 
 def readers_of_table(
-    edges: DataFrame, processes: DataFrame, table: str | None = None, broadcast_rows: int = BROADCAST_ROWS
+    edges: DataFrame, processes: DataFrame, table: str | None = None
 ) -> DataFrame:
     reads = _label(edges, "INPUT_TO").select(F.col("src_id").alias("dataset_name"), F.col("dst_id").alias("pk"))
     if table is not None:
         reads = reads.where(F.col("dataset_name") == table)
-    cols = ["stage", "run_id", "transform_type", "target_table"]
+    cols = ["stage", "run_id", "transform_type", "target_table", *[c for c in ("sql_text",) if c in processes.columns]]
     named = lookup_left_join(
-        reads, processes.select("pk", *cols, F.lit(True).alias("_known")), ["pk"], [*cols, "_known"], broadcast_rows=broadcast_rows
+        reads, processes.select("pk", *cols, F.lit(True).alias("_known")), ["pk"], [*cols, "_known"]
     )
     return named.where("_known").drop("pk", "_known")
 
@@ -286,7 +268,7 @@ def graph_view(datasets: DataFrame, processes: DataFrame, edges: DataFrame) -> t
 
 
 def resolve_to_base(
-    refs: DataFrame, base_tables: DataFrame, max_depth: int = 64, broadcast_rows: int = BROADCAST_ROWS
+    refs: DataFrame, base_tables: DataFrame
 ) -> DataFrame:
     """Target columns resolved through intermediate names to base-table columns.
 
@@ -294,7 +276,8 @@ def resolve_to_base(
     projection (``column`` and ``ref_column`` are ``*`` for a star).  A node of
     ``base_tables`` (name) ends the walk, a constant simply has no reference row,
     and a node that is neither known nor a base table is returned as it is.  A
-    (start, node, column) seen before is not followed again.
+    (start, node, column) seen before is not followed again, so the walk ends by
+    itself, however long the chain.
     """
     ends = (
         base_tables.select(F.col("name").alias("ref_node"), F.lit("base").alias("_kind"))
@@ -303,41 +286,33 @@ def resolve_to_base(
         .agg(F.min("_kind").alias("_kind"))
     )
     # Each reference knows whether it ends at a leaf, so a level is one join.
-    marked = lookup_left_join(refs.distinct(), ends, ["ref_node"], ["_kind"], broadcast_rows=broadcast_rows)
+    marked = lookup_left_join(refs.distinct(), ends, ["ref_node"], ["_kind"])
     steps = pin(marked.withColumn("leaf", F.coalesce(F.col("_kind") == "base", F.lit(True))).drop("_kind"))
     named = steps.where(F.col("column") != "*")
     star = steps.where(F.col("column") == "*").select("node", "ref_node", "leaf")
     has_name = named.select("node", "column").distinct()
-    small = steps.count() <= broadcast_rows
-
     def expand(rows: DataFrame) -> DataFrame:
-        if small:
-            by_name = rows.join(F.broadcast(named), ["node", "column"])
-            by_star = rows.join(F.broadcast(has_name), ["node", "column"], "left_anti").join(F.broadcast(star), "node")
-        else:
-            by_name = grid_join(rows, named, ["node", "column"], broadcast_rows=broadcast_rows)
-            unnamed = lookup_left_join(
-                rows, has_name.withColumn("_named", F.lit(True)), ["node", "column"], ["_named"], broadcast_rows=broadcast_rows
-            ).where(F.col("_named").isNull()).drop("_named")
-            by_star = grid_join(unnamed, star, ["node"], broadcast_rows=broadcast_rows)
+        by_name = rows.join(named, ["node", "column"])
+        by_star = rows.join(has_name, ["node", "column"], "left_anti").join(star, "node")
         start = ["target_node", "target_column"]
         return by_name.select(
             *start, F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf"
         ).unionByName(by_star.select(*start, F.col("ref_node").alias("node"), "column", "leaf"))
 
-    reached = pin(
-        named.select(
-            F.col("node").alias("target_node"), F.col("column").alias("target_column"),
-            F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf",
-        ).distinct()
+    place = ["target_node", "target_column", "node", "column", "leaf"]
+    first = named.select(
+        F.col("node").alias("target_node"), F.col("column").alias("target_column"),
+        F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf",
     )
-    seen = reached
-    for _ in range(max_depth):
-        fresh = expand(reached.where(~F.col("leaf")).drop("leaf")).distinct()
-        reached = pin(fresh.join(seen, [*seen.columns], "left_anti"))
-        if reached.isEmpty():
+    seen = pin(first.distinct().withColumn("level", F.lit(0)))
+    level = 0
+    while True:
+        reached = seen.where((F.col("level") == level) & ~F.col("leaf")).drop("leaf", "level")
+        level += 1
+        fresh = expand(reached).withColumn("level", F.lit(level))
+        seen = pin(seen.unionByName(fresh).groupBy(*place).agg(F.min("level").alias("level")))
+        if seen.where(F.col("level") == level).isEmpty():
             break
-        seen = seen.unionByName(reached)
     return seen.where("leaf").select(
         "target_node", "target_column", F.col("node").alias("source_table"), F.col("column").alias("source_column")
     )
@@ -366,10 +341,10 @@ def flag_ambiguous(resolved: DataFrame, expressions: DataFrame, base_tables: Dat
     )
 
 
-def semi_whitelist(edges: DataFrame, base_tables: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def semi_whitelist(edges: DataFrame, base_tables: DataFrame) -> DataFrame:
     """Edges whose source table is a known base table; a hot table is a hot key of the lookup."""
     base = base_tables.select(F.col("name").alias("source_table")).distinct().withColumn("_known", F.lit(True))
-    return lookup_left_join(edges, base, ["source_table"], ["_known"], broadcast_rows=broadcast_rows).where("_known").drop("_known")
+    return lookup_left_join(edges, base, ["source_table"], ["_known"]).where("_known").drop("_known")
 
 
 def with_layer(columns: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.scale import BROADCAST_ROWS, lookup_left_join
+from ledgerline.operators.scale import lookup_left_join
 from ledgerline.session import pin
 
 
 def percent_rank_global(
-    df: DataFrame, order_col: str, out_col: str, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, order_col: str, out_col: str
 ) -> DataFrame:
     """``PERCENT_RANK() OVER (ORDER BY order_col)`` over the whole frame.
 
@@ -27,31 +27,21 @@ def percent_rank_global(
     counts = rows.groupBy("_isnull", "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranged = pin(counts.repartitionByRange("_isnull", "_v").withColumn("_part", F.spark_partition_id()))
 
-    distinct = ranged.count()
     before = Window.unboundedPreceding, -1
-    if distinct <= broadcast_rows:
-        # Counted: few enough distinct values for one task.
-        lower = F.sum("_n").over(Window.orderBy("_isnull", "_v").rowsBetween(*before))
-        placed = ranged.withColumn("_lower", F.coalesce(lower, F.lit(0)))
-    else:
-        totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_rows"))
-        # One row per partition, so this unpartitioned window is small by construction.
-        shift = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(*before)), F.lit(0))
-        inside = Window.partitionBy("_part").orderBy("_isnull", "_v").rowsBetween(*before)
-        placed = (
-            ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .join(totals.select("_part", shift.alias("_shift")), "_part")
-            .withColumn("_lower", F.col("_inside") + F.col("_shift"))
-        )
+    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    # One row per partition, so this unpartitioned window is small by construction.
+    shift = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(*before)), F.lit(0))
+    inside = Window.partitionBy("_part").orderBy("_isnull", "_v").rowsBetween(*before)
+    placed = (
+        ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(totals.select("_part", shift.alias("_shift")), "_part")
+        .withColumn("_lower", F.col("_inside") + F.col("_shift"))
+    )
     n = ranged.agg(F.sum("_n")).scalar()
     ranked = placed.withColumn("_all", n).select(
         "_isnull",
         "_v",
-        "_n",
         F.when(F.col("_all") > 1, F.col("_lower") / (F.col("_all") - 1).cast("double")).otherwise(F.lit(0.0)).alias(out_col),
     )
-    joined = lookup_left_join(
-        rows, ranked, ["_isnull", "_v"], [out_col], "_n",
-        lookup_rows=distinct, broadcast_rows=broadcast_rows,
-    )
+    joined = lookup_left_join(rows, ranked, ["_isnull", "_v"], [out_col])
     return joined.select(*df.columns, out_col)

@@ -1,125 +1,22 @@
-"""Building blocks that keep a hot key from becoming one task.
+"""Building blocks of joins and ordered look-backs.
 
 ``lookup_left_join``  many rows against one row per key
-``grid_join``         many rows against many rows
 ``running_last``      "latest value so far" over an ordered key, split by range
+
+Joins are left to adaptive execution: it broadcasts a side once its bytes are
+known and cuts partitions that hot or NULL keys fill, on either side.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SLOTS of all rows, so at most
-# HOT_SLOTS keys can be hot: that bounds every broadcast of hot keys.
-HOT_SLOTS = 1000
-# Largest row count of a narrow frame that is broadcast after being counted.
-BROADCAST_ROWS = 500_000
-
-
-def _any_null(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-
-
-def hot_keys(df: DataFrame, keys: list[str], slots: int = HOT_SLOTS) -> DataFrame:
-    """Keys holding more than 1/slots of the rows, with the pieces to cut them into."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return split_counts(counts, keys, "_n", slots)
-
-
-def split_counts(counts: DataFrame, keys: list[str], weight: str, slots: int = HOT_SLOTS) -> DataFrame:
-    total = counts.agg(F.sum(weight)).scalar()
-    shares = counts.where(~_any_null(keys)).withColumn("_share", F.col(weight) * slots / total)
-    return shares.where(F.col("_share") > 1).select(*keys, F.ceil("_share").cast("int").alias("_pieces"))
-
-
-def lookup_left_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    cols: list[str],
-    weight: str | None = None,
-    lookup_rows: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-    slots: int = HOT_SLOTS,
-) -> DataFrame:
-    """``left`` left-joined to a lookup with one row per key.
-
-    A lookup whose counted size is within ``broadcast_rows`` is broadcast and the
-    left side is not shuffled.  Beyond that, hot keys (at most ``slots``) are
-    answered by a broadcast of their rows, and they and NULL keys are spread
-    over the partitions of the shuffle join that answers the rest.  ``weight``
-    names the lookup column with the left rows per key; without it they are
-    counted.
-    """
-    from ledgerline.session import pin
-
-    if lookup_rows is None:
-        lookup = pin(lookup.select(*keys, *cols, *([weight] if weight else [])))
-        lookup_rows = lookup.count()
-    hit = lookup.select(*keys, F.struct(*cols).alias("_hit"))
-    if lookup_rows <= broadcast_rows:
-        joined = left.join(F.broadcast(hit), keys, "left")
-        return joined.select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in cols])
-
-    if weight:
-        total = lookup.agg(F.sum(weight)).scalar()
-        hot = hit.join(lookup.where(F.col(weight) * slots > total).select(*keys), keys, "left_semi")
-    else:
-        hot = hit.join(hot_keys(left, keys, slots).select(*keys), keys, "left_semi")
-    hot = hot.withColumnRenamed("_hit", "_hot")
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(slots)).cast("int") + 1
-    marked = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_slot", F.when(F.col("_hot").isNotNull() | _any_null(keys), spread).otherwise(0)
-    )
-    joined = marked.join(hit.withColumn("_slot", F.lit(0)), keys + ["_slot"], "left")
-    value = F.coalesce("_hot", "_hit")
-    return joined.select(*left.columns, *[value[c].alias(c) for c in cols])
-
 
-def grid_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    right_hot: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-    slots: int = HOT_SLOTS,
-) -> DataFrame:
-    """Inner join of many rows with many rows; ``right`` is the side likely to be small.
-
-    A right side counted within ``broadcast_rows`` is broadcast.  Beyond that a
-    key that is hot on either side is cut into a grid: its rows are dealt over
-    ``a`` pieces on the left and ``b`` pieces on the right, and each left piece
-    meets each right piece, so every match is made exactly once and no task
-    receives a whole hot key.
-    """
-    from ledgerline.session import pin
-
-    if right_hot is None:
-        right = pin(right)
-        if right.count() <= broadcast_rows:
-            return left.join(F.broadcast(right), keys, "inner")
-        right_hot = hot_keys(right, keys, slots)
-    left = pin(left)
-    lh = hot_keys(left, keys, slots).withColumnRenamed("_pieces", "_a")
-    rh = right_hot.withColumnRenamed("_pieces", "_b")
-    one = F.lit(1)
-
-    def pieces(df: DataFrame) -> DataFrame:
-        both = df.join(F.broadcast(lh), keys, "left").join(F.broadcast(rh), keys, "left")
-        return both.withColumn("_a", F.coalesce("_a", one)).withColumn("_b", F.coalesce("_b", one))
-
-    def deal(df: DataFrame, pieces_col: str) -> Column:
-        return F.pmod(F.xxhash64(*df.columns), F.col(pieces_col)).cast("int")
-
-    def fan(pieces_col: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(pieces_col) - 1))
-
-    l = pieces(left).withColumn("_i", deal(left, "_a")).withColumn("_j", fan("_b")).drop("_a", "_b")
-    r = pieces(right).withColumn("_j", deal(right, "_b")).withColumn("_i", fan("_a")).drop("_a", "_b")
-    return l.join(r, keys + ["_i", "_j"], "inner").drop("_i", "_j")
+def lookup_left_join(left: DataFrame, lookup: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """``left`` left-joined to a lookup with one row per key; ``cols`` are added."""
+    joined = left.join(lookup.select(*keys, F.struct(*cols).alias("_hit")), keys, "left")
+    return joined.select(*left.columns, *[F.col("_hit")[c].alias(c) for c in cols])
 
 
 def running_last(
@@ -130,7 +27,6 @@ def running_last(
     out: str,
     strict: bool = False,
     first_out: str | None = None,
-    small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per key, the last non-NULL ``value`` up to each row in ``order``.
 
@@ -139,24 +35,13 @@ def running_last(
     ``keys + order``, so a hot key spans many partitions; what a partition needs
     from the earlier ones is one value per (key, partition), at most
     ``keys + partitions`` rows.  The range-partitioned frame is pinned because
-    its partition id must not change on recomputation.  A frame counted within
-    ``small_rows`` takes plain windows per key.
+    its partition id must not change on recomputation.
     """
     from ledgerline.session import pin
 
     ranged = pin(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     stop = -1 if strict else Window.currentRow
     keep = [*df.columns, out] + ([first_out] if first_out else [])
-    if ranged.count() <= small_rows:
-        per_key = Window.partitionBy(*keys).orderBy(*order)
-        whole = per_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        result = ranged.withColumn(
-            out, F.last(value, ignorenulls=True).over(per_key.rowsBetween(Window.unboundedPreceding, stop))
-        )
-        if first_out:
-            result = result.withColumn(first_out, F.first(value, ignorenulls=True).over(whole))
-        return result.select(*keep)
-
     seen = F.col(value).isNotNull()
     pos = F.struct(*order)
     ends = ranged.groupBy("_part", *keys).agg(

@@ -110,12 +110,12 @@ def harvest_refs(texts: DataFrame, text_col: str, known_tables: list[str]) -> Da
     quoted = texts.select(*others, F.explode(quoted_refs(F.col(text_col))).alias("r")).select(
         *others, F.col("r.table").alias("table"), F.col("r.column").alias("column")
     )
-    bare = F.filter(
-        F.array(*[F.when(F.col(text_col).rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])"), F.lit(t)) for t in known_tables]),
-        lambda t: t.isNotNull(),
-    )
-    named = texts.select(*others, F.explode(bare).alias("table")).withColumn("column", F.lit(None).cast("string"))
-    return quoted.unionByName(named).distinct().withColumn("layer", infer_layer(F.col("table")))
+    # One pass over the text: its words meet the known names in a join, however many there are.
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"([a-z0-9_]+)")))
+    known = texts.sparkSession.createDataFrame([(t.lower(), t) for t in known_tables], "_word string, table string")
+    named = texts.select(*others, F.explode(words).alias("_word")).join(known, "_word").drop("_word")
+    found = quoted.unionByName(named.withColumn("column", F.lit(None).cast("string"))).distinct()
+    return found.withColumn("layer", F.when(F.lower("table").isin([t.lower() for t in known_tables]), infer_layer(F.col("table"))).otherwise(""))
 
 
 def describe_sources(columns: DataFrame, curated: DataFrame) -> DataFrame:

@@ -28,8 +28,10 @@ def upsert(
     rules: dict[str, Rule] | None = None,
     on_insert: dict[str, Rule] | None = None,
 ) -> DataFrame:
-    """``old`` after the batch ``new``; both have at most one row per key.
+    """``old``, one row per key, after the batch ``new``.
 
+    A key that the batch repeats takes one of its rows: the one with the largest
+    ``computed_at`` if the batch has that column, equal ones by the largest row.
     A matched row takes each column's new value unless ``rules`` says otherwise;
     rules see the old row as ``o.<column>`` and the new one as ``n.<column>``.
     ``on_insert`` does the same for rows that are only in ``new``.
@@ -37,7 +39,8 @@ def upsert(
     rules, on_insert = rules or {}, on_insert or {}
     rest = [c for c in old.columns if c not in keys]
     o = old.select(*keys, F.struct(*rest).alias("o"), F.lit(True).alias("_in_old"))
-    n = new.select(*keys, F.struct(*rest).alias("n"), F.lit(True).alias("_in_new"))
+    order = F.struct(*[c for c in ("computed_at",) if c in rest], *rest)
+    n = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("n")).withColumn("_in_new", F.lit(True))
     joined = o.join(n, keys, "full_outer")
 
     def value(name: str) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.rank import percent_rank_global
-from ledgerline.operators.scale import BROADCAST_ROWS
 from ledgerline.session import pin
 
 FACT_COLUMNS = [
@@ -80,7 +79,6 @@ def fct_risk_profile(
     src_account: DataFrame,
     as_of: dt.date,
     bounded: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
     dates: DataFrame | None = None,
 ) -> DataFrame:
     """18-column fact, one row per customer of the business date.
@@ -93,7 +91,7 @@ def fct_risk_profile(
         "international_txn_ratio", S.safe_ratio(F.col("intl_txn_count"), F.col("total_txn_count"))
     ).withColumn("reversal_rate", S.safe_ratio(F.col("reversal_txn_count"), F.col("total_txn_count")))
     # One row per customer by now; pinned because ranking reads it twice.
-    ranked = percent_rank_global(pin(rated), "total_txn_volume_usd_90d", "volume_percentile", broadcast_rows)
+    ranked = percent_rank_global(pin(rated), "total_txn_volume_usd_90d", "volume_percentile")
     score = S.risk_score(
         F.col("international_txn_ratio"), F.col("kyc_stale_flag"), F.col("volume_percentile"), F.col("reversal_rate")
     )

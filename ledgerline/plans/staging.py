@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.asof import asof_backfill
-from ledgerline.operators.scale import BROADCAST_ROWS, lookup_left_join
+from ledgerline.operators.scale import lookup_left_join
 
 
 def stg_fx(src_fx_rate: DataFrame, base: str = "USD") -> DataFrame:
@@ -20,12 +20,11 @@ def stg_fx(src_fx_rate: DataFrame, base: str = "USD") -> DataFrame:
 
 
 def stg_transactions(
-    src_transaction: DataFrame, fx: DataFrame, base: str = "USD", broadcast_rows: int = BROADCAST_ROWS
+    src_transaction: DataFrame, fx: DataFrame, base: str = "USD"
 ) -> DataFrame:
     """Every transaction with its USD amount, net of reversals, and the rate used."""
     rated = asof_backfill(
         src_transaction, fx, "currency", "from_currency", "txn_date", "rate_date", "rate", "rate_source", base,
-        broadcast_rows=broadcast_rows,
     )
     reversal = S.is_flag(F.col("reversal_flag"))
     gross = S.usd_amount(F.col("amount"), F.col("fx_rate_used"))
@@ -48,7 +47,7 @@ def stg_transactions(
 
 
 def stg_customers(
-    src_customer: DataFrame, src_branch: DataFrame, as_of: dt.date, broadcast_rows: int = BROADCAST_ROWS
+    src_customer: DataFrame, src_branch: DataFrame, as_of: dt.date
 ) -> DataFrame:
     """Customers with age, US-person and KYC flags and their branch's region.
 
@@ -58,7 +57,7 @@ def stg_customers(
     at = F.lit(as_of)
     branches = src_branch.select("branch_id", F.col("region").alias("branch_region"))
     joined = lookup_left_join(
-        src_customer, branches, ["branch_id"], ["branch_region"], lookup_rows=branches.count(), broadcast_rows=broadcast_rows
+        src_customer, branches, ["branch_id"], ["branch_region"]
     )
     return joined.select(
         "customer_id",

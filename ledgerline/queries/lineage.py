@@ -47,7 +47,7 @@ def _(t):
     ),
 )
 def _(t):
-    return G.readers_of_table(st.structural_edges(t), st.processes(t))
+    return G.readers_of_table(st.structural_edges(t), st.processes(t)).drop("sql_text")
 
 
 @query(
@@ -74,28 +74,36 @@ def _(t):
 # Walks
 # --------------------------------------------------------------------------
 
-UP = """
+# Walks start at the columns of one table, as a user asks from one card: upstream from the regulatory table, downstream from a source.
+TOP, BOTTOM = "fct_customer_risk_profile", "src_economy"
+
+
+def _columns_of(t, table):
+    return st.graph_columns(t).where(F.col("dataset_name") == table).select(F.col("pk").alias("start"))
+
+
+UP = f"""
 hops AS (
-  SELECT src_id AS "start", dst_id node, 1 AS h FROM derives
+  SELECT src_id AS "start", dst_id node, 1 AS h FROM derives WHERE starts_with(src_id, '{TOP}::')
   UNION SELECT w."start", d.dst_id, w.h + 1 FROM hops w JOIN derives d ON d.src_id = w.node WHERE w.h < 10)"""
 
 
 @query(
     "column_ancestors",
     st.recursive_graph(
-        """walks AS (
-          SELECT src_id AS "start", dst_id node, 1 AS h FROM derives
+        f"""walks AS (
+          SELECT src_id AS "start", dst_id node, 1 AS h FROM derives WHERE starts_with(src_id, '{TOP}::')
           UNION ALL SELECT w."start", d.dst_id, w.h + 1 FROM walks w JOIN derives d ON d.src_id = w.node WHERE w.h < 10)""",
         'SELECT "start", node AS ancestor, h AS hops, COUNT(*) AS paths FROM walks GROUP BY ALL',
     ),
 )
 def _(t):
-    return G.column_ancestors(st.derives_edges(t))
+    return G.column_ancestors(st.derives_edges(t), _columns_of(t, TOP), 10)
 
 
 @query("column_chain", st.recursive_graph(UP, 'SELECT "start", node AS ancestor, h AS hops FROM hops'))
 def _(t):
-    return G.column_chain(st.derives_edges(t))
+    return G.column_chain(st.derives_edges(t), _columns_of(t, TOP), 10)
 
 
 @query("upstream_one_hop", st.with_graph('SELECT DISTINCT src_id AS "start", dst_id AS ancestor FROM derives'))
@@ -108,7 +116,7 @@ def _(t):
     st.recursive_graph(UP.replace("w.h < 10", "w.h < 3"), 'SELECT "start", node AS ancestor, MIN(h) AS hops FROM hops GROUP BY ALL'),
 )
 def _(t):
-    return G.upstream_3hop(st.derives_edges(t))
+    return G.upstream_3hop(st.derives_edges(t), _columns_of(t, TOP))
 
 
 @query("downstream_direct", st.with_graph('SELECT DISTINCT dst_id AS "start", src_id AS descendant FROM derives'))
@@ -116,16 +124,17 @@ def _(t):
     return G.downstream_direct(st.derives_edges(t))
 
 
-DOWN = """
+# Without a bound on hops a pair is kept at every length it is reached by; the longest chain of halves has fewer than 64.
+DOWN = f"""
 hops AS (
-  SELECT dst_id AS "start", src_id node, 1 AS h FROM derives
+  SELECT dst_id AS "start", src_id node, 1 AS h FROM derives WHERE starts_with(dst_id, '{BOTTOM}::')
   UNION SELECT w."start", d.src_id, w.h + 1 FROM hops w JOIN derives d ON d.dst_id = w.node WHERE w.h < 10),
 chain AS (SELECT "start", node AS descendant, MIN(h) AS hops FROM hops GROUP BY ALL)"""
 
 
 @query("downstream_chain", st.recursive_graph(DOWN, 'SELECT "start", descendant, hops FROM chain'))
 def _(t):
-    return G.downstream_chain(st.derives_edges(t))
+    return G.downstream_chain(st.derives_edges(t), _columns_of(t, BOTTOM), 10)
 
 
 BLOCKED = DOWN + f""", {st.CERTS.strip()},
@@ -137,7 +146,7 @@ marked AS (
 
 
 def _gated(t):
-    chain = G.downstream_chain(st.derives_edges(t))
+    chain = G.downstream_chain(st.derives_edges(t), _columns_of(t, BOTTOM), 10)
     return G.gate_unratified(chain, st.graph_columns(t), st.certifications(t))
 
 
@@ -154,14 +163,16 @@ def _(t):
 @query(
     "trace_path",
     st.recursive_graph(
-        """flow AS (SELECT src_id, dst_id FROM derives UNION SELECT src_id, dst_id FROM struct_edges WHERE label <> 'DEPENDS_ON'),
-        down AS (SELECT src_id AS root, dst_id AS node FROM flow UNION SELECT w.root, f.dst_id FROM down w JOIN flow f ON f.src_id = w.node),
-        up AS (SELECT dst_id AS root, src_id AS node FROM flow UNION SELECT w.root, f.src_id FROM up w JOIN flow f ON f.dst_id = w.node)""",
-        "SELECT root, node, 'down' AS direction FROM down UNION ALL SELECT root, node, 'up' FROM up",
+        f"""flow AS (SELECT src_id, dst_id FROM derives UNION SELECT src_id, dst_id FROM struct_edges WHERE label <> 'DEPENDS_ON'),
+        roots AS (SELECT pk AS root FROM cols WHERE dataset_name = '{TOP}' UNION ALL SELECT '{TOP}'),
+        down AS (SELECT root, dst_id AS node FROM roots JOIN flow ON src_id = root UNION SELECT w.root, f.dst_id FROM down w JOIN flow f ON f.src_id = w.node),
+        up AS (SELECT root, src_id AS node FROM roots JOIN flow ON dst_id = root UNION SELECT w.root, f.src_id FROM up w JOIN flow f ON f.dst_id = w.node)""",
+        "SELECT root, node, 'down' AS direction FROM down UNION ALL SELECT root, node, 'up' FROM up UNION ALL SELECT root, root, 'root' FROM roots",
     ),
 )
 def _(t):
-    return G.trace_path(st.derives_edges(t).unionByName(st.structural_edges(t)))
+    roots = _columns_of(t, TOP).union(t.spark.range(1).select(F.lit(TOP)))
+    return G.trace_path(st.derives_edges(t).unionByName(st.structural_edges(t)), roots)
 
 
 CHANGES = """
@@ -172,19 +183,25 @@ changes AS (SELECT dataset_name || '::' || column_name AS "start", dataset_name
 @query(
     "impact_report",
     st.recursive_graph(
-        DOWN + f""", {CHANGES.strip()},
+        f"""{CHANGES.strip()},
+        hops AS (
+          SELECT dst_id AS "start", src_id node, 1 AS h FROM derives WHERE dst_id IN (SELECT "start" FROM changes)
+          UNION SELECT w."start", d.src_id, w.h + 1 FROM hops w JOIN derives d ON d.dst_id = w.node WHERE w.h < 64),
+        chain AS (SELECT "start", node AS descendant, MIN(h) AS hops FROM hops GROUP BY ALL),
         hit AS (
           SELECT ct, cc, k, c.* FROM changes JOIN chain USING ("start") JOIN cols c ON c.pk = descendant
           WHERE (k <> 'RENAME' OR hops = 1) AND (k <> 'TYPE_CHANGE' OR transform_type NOT IN ('PASSTHROUGH', 'RENAME')))""",
-        """SELECT ct AS changed_table, cc AS changed_column, k AS change_type, dataset_name AS affected_table, column_name AS affected_column,
+        """SELECT *, COUNT(*) OVER (PARTITION BY changed_table, changed_column, change_type) AS total_affected FROM (
+        SELECT ct AS changed_table, cc AS changed_column, k AS change_type, dataset_name AS affected_table, column_name AS affected_column,
           NULL AS stage, NULL AS run_id, CASE WHEN dataset_name = 'fct_customer_risk_profile' THEN 'CRITICAL'
           WHEN starts_with(dataset_name, 'stg_') THEN 'HIGH' ELSE 'LOW' END AS severity, expression,
           CASE WHEN k = 'DROP' THEN 'source column dropped' WHEN k = 'RENAME' THEN 'reads the old name' WHEN transform_type = 'AMBIGUOUS' THEN 'ambiguous sources'
             WHEN contains(expression, 'round') OR contains(expression, '||') THEN 'type-sensitive expression' ELSE 'type-sensitivity unverified' END AS reason FROM hit
         UNION ALL
         SELECT ct, cc, k, p.target_table, NULL, p.stage, p.run_id,
-          CASE WHEN p.target_table = 'fct_customer_risk_profile' OR starts_with(p.target_table, 'stg_') THEN 'HIGH' ELSE 'LOW' END, NULL, 'process reads the table'
-        FROM changes JOIN struct_edges e ON e.label = 'INPUT_TO' AND e.src_id = ct JOIN procs p ON p.pk = e.dst_id WHERE k <> 'TYPE_CHANGE'""",
+          CASE WHEN p.target_table = 'fct_customer_risk_profile' OR starts_with(p.target_table, 'stg_') THEN 'HIGH' ELSE 'LOW' END, NULL, 'process reads the column'
+        FROM changes JOIN struct_edges e ON e.label = 'INPUT_TO' AND e.src_id = ct JOIN procs p ON p.pk = e.dst_id
+        WHERE k <> 'TYPE_CHANGE' AND regexp_matches(p.sql_text, '\\b' || cc || '\\b', 'i'))""",
     ),
 )
 def _(t):
@@ -328,13 +345,13 @@ def _(t):
 # Catalog
 # --------------------------------------------------------------------------
 
-MERGE = f"""WITH {st.CATALOG},
-cat AS (SELECT lower(target_table) t, lower(target_column) c, lower(source_table) s, lower(source_column) sc, * FROM lin WHERE review_state = 'ratified'),
-pp AS (SELECT lower(target_table) t, lower(target_column) c, lower(source_table) s, lower(source_column) sc, * FROM parsed),
-cset AS (SELECT t, c, list_sort(list(s || '.' || sc)) l, MIN(sql_hash) h FROM cat GROUP BY 1, 2),
-pset AS (SELECT t, c, list_sort(list(s || '.' || sc)) l, bool_or(ambiguous) amb, MAX(confidence) conf, MAX(sql_hash) h FROM pp GROUP BY 1, 2),
+MERGE = f"""WITH {st.CATALOG.replace(' AS (', ' AS MATERIALIZED (')},
+cat AS MATERIALIZED (SELECT lower(target_table) t, lower(target_column) c, lower(source_table) s, lower(source_column) sc, * FROM lin WHERE review_state = 'ratified'),
+pp AS MATERIALIZED (SELECT lower(target_table) t, lower(target_column) c, lower(source_table) s, lower(source_column) sc, * FROM parsed),
+cset AS MATERIALIZED (SELECT t, c, list_sort(list(s || '.' || sc)) l, MIN(sql_hash) h FROM cat GROUP BY 1, 2),
+pset AS MATERIALIZED (SELECT t, c, list_sort(list(s || '.' || sc)) l, bool_or(ambiguous) amb, MAX(confidence) conf, MAX(sql_hash) h FROM pp GROUP BY 1, 2),
 aset AS (SELECT DISTINCT target_table t, target_column c FROM agent),
-decided AS (
+decided AS MATERIALIZED (
   SELECT t, c, CASE WHEN cset.l IS NOT NULL THEN CASE WHEN NOT COALESCE(amb, TRUE) AND cset.l <> pset.l THEN 'diverged' ELSE 'catalog' END
       WHEN NOT amb AND conf >= 0.999 THEN 'parsed' WHEN a IS NOT NULL THEN 'agent' ELSE 'pending' END k,
     cset.h ch, pset.h ph

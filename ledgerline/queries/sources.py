@@ -191,12 +191,7 @@ def _(t):
 
 @query("append_events", st.with_log("SELECT run_id, event, stage, ts, duration_ms, passed, rows_failed FROM log"))
 def _(t):
-    path = scratch_path(t.spark, "log")
-    events = st.log_events(t).select(*E.FIELDS)
-    early = F.col("ts") < "2024-01-15"
-    E.append_events(events.where(early), path)
-    E.append_events(events.where(~early), path)
-    return E.read_event_log(t.spark, path).select(*LOG_COLUMNS)
+    return st.written_log(t).select(*LOG_COLUMNS)
 
 
 @query("latest_log", "SELECT 'run=b' AS log, COUNT(*) AS events FROM events WHERE event_type <> 'click'")

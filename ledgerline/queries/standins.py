@@ -240,6 +240,18 @@ def log_events(t: Tables) -> DataFrame:
     return given.withColumns(none).withColumn("pos", F.struct("ts", "event_id"))
 
 
+def written_log(t: Tables) -> DataFrame:
+    """The events appended as files, twice per run, and read back."""
+    from ledgerline.sources.eventlog import FIELDS, append_events, read_event_log
+
+    path = scratch_path(t.spark, "log")
+    events = log_events(t).select(*FIELDS)
+    early = F.col("ts") < "2024-01-15"
+    append_events(events.where(early), path)
+    append_events(events.where(~early), path)
+    return read_event_log(t.spark, path)
+
+
 LOG = """
 log AS (
   SELECT event_id, CAST(ts AS VARCHAR) ts, CASE WHEN value < 50 THEN 'info' ELSE 'error' END AS level,
@@ -315,6 +327,7 @@ def processes(t: Tables) -> DataFrame:
         "ELSE concat('fct_', s_nationkey) END AS target_table",
         "CAST(floor(s_acctbal) AS BIGINT) AS duration_ms",
         "s_suppkey AS output_row_count",
+        "concat('SELECT C', s_suppkey % 12, ', max(x) FROM t') AS sql_text",
         "s_suppkey",
     )
 
@@ -363,7 +376,7 @@ procs AS (
     CASE WHEN s_acctbal < 5000 THEN 'FILTER' ELSE 'TRANSFORM_JOIN' END transform_type,
     CASE WHEN s_acctbal < 3000 THEN 'stg_' || s_nationkey WHEN s_acctbal < 6000 THEN 'fct_customer_risk_profile'
       ELSE 'fct_' || s_nationkey END target_table,
-    CAST(floor(s_acctbal) AS BIGINT) duration_ms, s_suppkey output_row_count, s_suppkey
+    CAST(floor(s_acctbal) AS BIGINT) duration_ms, s_suppkey output_row_count, 'SELECT C' || (s_suppkey % 12) || ', max(x) FROM t' sql_text, s_suppkey
   FROM supplier),
 struct_edges AS (
   SELECT DISTINCT 'INPUT_TO' AS label, c.dataset_name src_id, p.pk dst_id

@@ -57,7 +57,7 @@ def _(t):
 @query("left_join_using", st.with_bank("SELECT customer_id, branch_id, region FROM src_customer LEFT JOIN src_branch USING (branch_id)"))
 def _(t):
     branches = st.src_branch(t).select("branch_id", "region")
-    joined = lookup_left_join(st.src_customer(t), branches, ["branch_id"], ["region"], lookup_rows=branches.count())
+    joined = lookup_left_join(st.src_customer(t), branches, ["branch_id"], ["region"])
     return joined.select("customer_id", "branch_id", "region")
 
 
@@ -65,7 +65,7 @@ def _(t):
 def _(t):
     accounts = st.src_account(t).withColumn("known", F.lit(True))
     joined = lookup_left_join(
-        st.src_transaction(t).select("txn_id", "account_id"), accounts, ["account_id"], ["customer_id", "known"], lookup_rows=t.orders.count()
+        st.src_transaction(t).select("txn_id", "account_id"), accounts, ["account_id"], ["customer_id", "known"]
     )
     return joined.where("known").select("txn_id", "customer_id")
 
@@ -284,7 +284,7 @@ def _(t):
     ),
 )
 def _(t):
-    return R.last_event_wins(st.log_events(t)).select("run_id", "stage", "ts", "status", "duration_ms", "output_row_count")
+    return R.last_event_wins(st.written_log(t)).select("run_id", "stage", "ts", "status", "duration_ms", "output_row_count")
 
 
 # --------------------------------------------------------------------------
@@ -381,7 +381,7 @@ summary AS (
 
 @query("run_summary", f"WITH {st.LOG}, {SUMMARY} SELECT * FROM summary")
 def _(t):
-    return R.run_summary(st.log_events(t))
+    return R.run_summary(st.written_log(t))
 
 
 @query(
@@ -418,7 +418,7 @@ def _(t):
 def _(t):
     nodes = t.part.select(F.lit("Column").alias("label")).unionByName(t.supplier.select(F.lit("Process").alias("label")))
     edges = st.derives_edges(t).unionByName(st.structural_edges(t))
-    return R.dashboard_metrics(R.run_summary(st.log_events(t)), nodes, edges)
+    return R.dashboard_metrics(R.run_summary(st.written_log(t)), nodes, edges)
 
 
 @query(
@@ -433,7 +433,7 @@ def _(t):
     ),
 )
 def _(t):
-    return R.run_history(st.log_events(t))
+    return R.run_history(st.written_log(t))
 
 
 @query(

@@ -19,13 +19,19 @@ _RAW = ", ".join(f"{f} string" for f in FIELDS) + ", _corrupt_record string"
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed events of a frame of text lines; other columns are carried along.
 
-    Blank lines, broken JSON and lines that are not objects are dropped.
+    White space around a line is no part of it.  Blank lines, broken JSON, text
+    after the object and lines that are not objects are dropped.
     """
     others = [c for c in lines.columns if c != column]
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    strict = {"allowSingleQuotes": "false"}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", **strict}
+    stripped = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
+    # In brackets, a line is one element of a list, or the list cannot be read.
+    listed = F.from_json(F.concat(F.lit("["), "_line", F.lit("]")), "array<string>", strict)
     parsed = (
-        lines.where(F.trim(column).startswith("{"))
-        .withColumn("_e", F.from_json(column, _RAW, options))
+        lines.withColumn("_line", stripped)
+        .where(F.col("_line").startswith("{") & F.col("_line").endswith("}") & (F.size(listed) == 1))
+        .withColumn("_e", F.from_json("_line", _RAW, options))
         .where(F.col("_e._corrupt_record").isNull())
     )
     return parsed.select(*others, *[typed_field(f).alias(f) for f in FIELDS])
@@ -43,8 +49,9 @@ def typed_field(name: str) -> Column:
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of one or many log files.
 
-    ``log_file`` names the file; ``pos`` orders the lines of one file (start of the
-    split, then the row within it).
+    ``log_file`` names the file; ``pos`` orders lines by time, then file, then place
+    in the file (start of the split, then the row within it), so it does not
+    depend on how files are packed into tasks.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true")
@@ -52,12 +59,12 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
         .select(
             "value",
             F.col("_metadata.file_path").alias("log_file"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-            ).alias("pos"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
-    return parse_lines(lines)
+    events = parse_lines(lines)
+    return events.withColumn("pos", F.struct("ts", "log_file", "_block", "_row")).drop("_block", "_row")
 
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -76,8 +83,12 @@ def latest_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append event rows as JSON lines, one folder per run; NULL fields are left out."""
-    events.withColumn("run", F.col("run_id")).write.mode("append").partitionBy("run").json(path)
+    """Append event rows as JSON lines, one folder per run; NULL fields are left out.
+
+    Rows meet by run before they are written, in partitions that adaptive
+    execution cuts to size, so a run gets few files and a large one no single task.
+    """
+    events.withColumn("run", F.col("run_id")).hint("rebalance", F.col("run")).write.mode("append").partitionBy("run").json(path)
 
 
 MANIFEST_KEYS = ["stage", "run_id", "ts", "target_table", "source_tables", "depends_on_stages", "transform_type", "derived_columns"]

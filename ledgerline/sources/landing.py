@@ -115,14 +115,22 @@ def read_manifests(
         directory = resolve_partition(spark, root, sor, entity, as_of)
         names = _names(spark, directory) if directory else []
         text = _read_text(spark, f"{directory}/_manifest.json") if "_manifest.json" in names else None
-        rows.append((sor, entity, table, directory, "data.parquet" in names, text))
+        rows.append((sor, entity, table, directory, "data.parquet" in names, text, _manifest_keys(text)))
     raw = spark.createDataFrame(
-        rows, "sor string, entity string, src_table string, directory string, has_data boolean, manifest_text string"
+        rows,
+        "sor string, entity string, src_table string, directory string, has_data boolean, manifest_text string, keys array<string>",
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return raw.withColumn("m", F.from_json("manifest_text", MANIFEST_SCHEMA, options)).withColumn(
-        "keys", F.json_object_keys("manifest_text")
-    )
+    return raw.withColumn("m", F.from_json("manifest_text", MANIFEST_SCHEMA, options))
+
+
+def _manifest_keys(text: str | None) -> list[str] | None:
+    """Keys of a manifest that is one whole JSON object, else None."""
+    try:
+        found = json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+    return list(found) if isinstance(found, dict) else None
 
 
 def validate_manifest(
@@ -186,7 +194,8 @@ def reconcile_row_counts(spark: SparkSession, checked: DataFrame) -> DataFrame:
         .select(F.lit(s).alias("sor"), F.lit(e).alias("entity"), "actual")
         for s, e, d in feeds
     ]
-    actual = reduce(lambda a, b: a.unionByName(b), counts)
+    none = checked.limit(0).select("sor", "entity", F.lit(0).cast("bigint").alias("actual"))
+    actual = reduce(lambda a, b: a.unionByName(b), counts, none)
     return checked.join(actual, ["sor", "entity"], "left").select(
         "sor",
         "entity",

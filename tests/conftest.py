@@ -26,3 +26,21 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(params=["broadcast", "shuffle"])
+def joins(spark, request):
+    """Runs a test with broadcast joins, and with shuffled ones whose skewed partitions are cut."""
+    shuffle = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    chosen = shuffle if request.param == "shuffle" else {}
+    for key, value in chosen.items():
+        spark.conf.set(key, value)
+    yield
+    for key in chosen:
+        spark.conf.unset(key)

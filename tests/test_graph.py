@@ -10,7 +10,6 @@ from ledgerline.operators import graph_build as B
 from ledgerline.operators.fingerprint import table_fingerprint
 from ledgerline.operators.impact import impact_report, sort_report
 
-BOTH = pytest.mark.parametrize("limit", [0, 500_000])
 
 SHAPES = {
     "chain": [(f"n{i}", f"n{i + 1}") for i in range(14)],
@@ -27,6 +26,11 @@ def frame(spark):
     return spark.createDataFrame([("DERIVES_FROM", a, b) for a, b in EDGES], "label string, src_id string, dst_id string")
 
 
+def every(spark):
+    """All nodes as start nodes."""
+    return spark.createDataFrame(sorted({(n,) for e in EDGES for n in e}), "start string")
+
+
 def brute(max_hops, reverse=False):
     """(start, node, hop) -> number of paths."""
     steps = {}
@@ -53,41 +57,42 @@ def shortest(max_hops, reverse=False):
     return best
 
 
-@BOTH
-def test_ancestors_count_paths(spark, limit):
-    got = G.column_ancestors(frame(spark), broadcast_rows=limit)
+def test_ancestors_count_paths(spark, joins):
+    got = G.column_ancestors(frame(spark), every(spark), 10)
     assert {(r["start"], r["ancestor"], r["hops"]): r["paths"] for r in got.collect()} == dict(brute(10))
 
 
 def test_chain_keeps_each_hop(spark):
-    got = G.column_chain(frame(spark))
+    got = G.column_chain(frame(spark), every(spark), 10)
     assert {tuple(r) for r in got.collect()} == set(brute(10))
 
 
-@BOTH
-def test_downstream_keeps_the_smallest_hop(spark, limit):
-    got = G.downstream_chain(frame(spark), broadcast_rows=limit)
+def test_downstream_keeps_the_smallest_hop(spark, joins):
+    got = G.downstream_chain(frame(spark), every(spark), 10)
     assert {(r["start"], r["descendant"]): r["hops"] for r in got.collect()} == shortest(10, reverse=True)
 
 
-def test_downstream_hops_are_clamped(spark):
-    few = G.downstream_chain(frame(spark), max_hops=0)
-    assert {r["hops"] for r in few.collect()} == {1}
-    assert G.downstream_chain(frame(spark), max_hops=99).agg(F.max("hops")).first()[0] == 14
+def test_hops_are_taken_as_asked_or_refused(spark):
+    for bad in (0, -1, 2.5, True):
+        with pytest.raises(ValueError):
+            G.downstream_chain(frame(spark), every(spark), bad)
+    assert {r["hops"] for r in G.downstream_chain(frame(spark), every(spark), 1).collect()} == {1}
+    for far in (99, None):
+        assert G.downstream_chain(frame(spark), every(spark), far).agg(F.max("hops")).first()[0] == 14
 
 
 def test_start_without_edges_gives_nothing(spark):
     starts = spark.createDataFrame([("nowhere",)], "start string")
-    assert G.column_chain(frame(spark), starts).count() == 0
+    assert G.column_chain(frame(spark), starts, 10).count() == 0
 
 
-@BOTH
-def test_trace_reaches_everything(spark, limit):
+def test_trace_reaches_everything(spark, joins):
     edges = frame(spark).unionByName(
         spark.createDataFrame([("DEPENDS_ON", "root", "n0")], "label string, src_id string, dst_id string")
     )
-    got = {tuple(r) for r in G.trace_path(edges, broadcast_rows=limit).collect()}
+    got = {tuple(r) for r in G.trace_path(edges, every(spark)).collect()}
     want = {(a, b, "down") for a, b in shortest(40)} | {(a, b, "up") for a, b in shortest(40, reverse=True)}
+    want |= {(n, n, "root") for e in EDGES for n in e}
     assert got == want
 
 
@@ -121,17 +126,20 @@ def test_impact_rules(spark):
     edges = spark.createDataFrame(
         [
             ("DERIVES_FROM", "stg_b::same", "src_a::k"), ("DERIVES_FROM", "stg_b::sum", "src_a::k"),
-            ("DERIVES_FROM", "fct_customer_risk_profile::risk_score", "stg_b::sum"), ("INPUT_TO", "src_a", "p::1"),
+            ("DERIVES_FROM", "fct_customer_risk_profile::risk_score", "stg_b::sum"), ("INPUT_TO", "src_a", "p::1"), ("INPUT_TO", "src_a", "p::2"),
         ],
         "label string, src_id string, dst_id string",
     )
     processes = spark.createDataFrame(
-        [("p::1", "p", "1", "FILTER", "stg_b")], "pk string, stage string, run_id string, transform_type string, target_table string"
+        [("p::1", "p", "1", "FILTER", "stg_b", "select K from src_a"), ("p::2", "q", "2", "FILTER", "stg_b", "select kk, 'k1' from src_a")],
+        "pk string, stage string, run_id string, transform_type string, target_table string, sql_text string",
     )
 
     def report(kind):
         changes = spark.createDataFrame([("src_a", "k", kind)], "table string, column string, change_type string")
-        return [(r["affected_column"], r["severity"]) for r in sort_report(impact_report(columns, edges, processes, changes)).collect()]
+        rows = sort_report(impact_report(columns, edges, processes, changes)).collect()
+        assert {r["total_affected"] for r in rows} == {len(rows)}
+        return [(r["affected_column"], r["severity"]) for r in rows]
 
     assert report("RENAME") == [(None, "HIGH"), ("same", "HIGH"), ("sum", "HIGH")]
     assert report("TYPE_CHANGE") == [("risk_score", "CRITICAL"), ("sum", "HIGH")]

@@ -1,4 +1,4 @@
-"""Hot keys, NULL keys and ties, with and without broadcast, against brute force."""
+"""Hot keys, NULL keys and ties, broadcast and shuffled, against brute force."""
 
 import random
 from collections import Counter
@@ -10,9 +10,8 @@ from ledgerline.operators.asof import asof_backfill, asof_left_join
 from ledgerline.operators.catalog import apply_review
 from ledgerline.operators.graph import resolve_to_base
 from ledgerline.operators.rank import percent_rank_global
-from ledgerline.operators.scale import grid_join, lookup_left_join, running_last
+from ledgerline.operators.scale import lookup_left_join, running_last
 
-BOTH = pytest.mark.parametrize("limit", [0, 500_000])
 
 
 def rows(df):
@@ -49,12 +48,11 @@ def first(rate_rows, key):
     return max((v, s) for _, t, v, s in hits if t == start)
 
 
-@BOTH
-def test_asof(spark, limit):
+def test_asof(spark, joins):
     fact_rows, rate_rows = facts(), rates()
     left = spark.createDataFrame(fact_rows, "id int, k string, t int")
     right = spark.createDataFrame(rate_rows, "k string, t int, rate double, src string")
-    got = asof_left_join(left, right, "k", "k", "t", "t", {"rate": "rate", "src": "src"}, broadcast_rows=limit)
+    got = asof_left_join(left, right, "k", "k", "t", "t", {"rate": "rate", "src": "src"})
     want = Counter()
     for i, k, t in fact_rows:
         hit = best(rate_rows, k, t)
@@ -62,12 +60,11 @@ def test_asof(spark, limit):
     assert rows(got) == want
 
 
-@BOTH
-def test_backfill(spark, limit):
+def test_backfill(spark, joins):
     fact_rows, rate_rows = facts(), rates()
     left = spark.createDataFrame(fact_rows, "id int, k string, t int")
     right = spark.createDataFrame(rate_rows, "k string, t int, rate double, src string")
-    got = asof_backfill(left, right, "k", "k", "t", "t", "rate", "src", "b", broadcast_rows=limit)
+    got = asof_backfill(left, right, "k", "k", "t", "t", "rate", "src", "b")
     want = Counter()
     for i, k, t in fact_rows:
         hit, start = best(rate_rows, k, t), first(rate_rows, k)
@@ -83,11 +80,10 @@ def test_backfill(spark, limit):
     assert rows(got) == want
 
 
-@BOTH
-def test_percent_rank(spark, limit):
+def test_percent_rank(spark, joins):
     values = [(i, 0.0 if i % 3 == 0 else (None if i % 7 == 0 else float(i % 400))) for i in range(2000)]
     df = spark.createDataFrame(values, "id int, v double").repartition(8)
-    got = {r["id"]: r["pr"] for r in percent_rank_global(df, "v", "pr", broadcast_rows=limit).collect()}
+    got = {r["id"]: r["pr"] for r in percent_rank_global(df, "v", "pr").collect()}
     order = lambda v: (v is None, v or 0.0)
     ranked = sorted(order(v) for _, v in values)
     lower = {}
@@ -101,36 +97,29 @@ def test_percent_rank_of_one_row(spark):
     assert percent_rank_global(df, "v", "pr").first()["pr"] == 0.0
 
 
-@BOTH
-def test_grid_join_with_hot_keys_on_both_sides(spark, limit):
-    left = [(i, "h" if i % 3 == 0 else f"k{i % 50}") for i in range(600)]
-    right = [(i, "h" if i % 4 == 0 else f"k{i % 40}") for i in range(400)]
-    l = spark.createDataFrame(left, "a int, k string")
-    r = spark.createDataFrame(right, "b int, k string")
-    got = grid_join(l, r, ["k"], broadcast_rows=limit, slots=10).select("k", "a", "b")
-    want = Counter((k, a, b) for a, k in left for b, k2 in right if k == k2)
-    assert rows(got) == want
-
-
-@BOTH
-def test_lookup_join_keeps_null_and_unknown_keys(spark, limit):
+def test_lookup_join_keeps_null_and_unknown_keys(spark, joins):
     left = [(i, None if i % 5 == 0 else ("h" if i % 2 else f"k{i % 11}")) for i in range(500)]
     l = spark.createDataFrame(left, "a int, k string")
     table = spark.createDataFrame([("h", 1), ("k2", 2), ("k4", 3)], "k string, v int")
-    got = lookup_left_join(l, table, ["k"], ["v"], broadcast_rows=limit, slots=10)
+    got = lookup_left_join(l, table, ["k"], ["v"])
     values = {"h": 1, "k2": 2, "k4": 3}
     assert rows(got) == Counter((a, k, values.get(k)) for a, k in left)
 
 
-@pytest.mark.parametrize("small_rows", [0, 500_000])
+def test_lookup_join_takes_maps_and_equal_rows(spark, joins):
+    left = spark.createDataFrame([("h" if i % 3 else None, {"a": 1}) for i in range(300)], "k string, m map<string,int>")
+    got = lookup_left_join(left, spark.createDataFrame([("h", 1)], "k string, v int"), ["k"], ["v"])
+    assert Counter(r["v"] for r in got.collect()) == {1: 200, None: 100}
+
+
 @pytest.mark.parametrize("strict", [False, True])
-def test_running_last_across_partitions(spark, strict, small_rows):
+def test_running_last_across_partitions(spark, strict):
     rng = random.Random(3)
     data = [("h" if i % 3 else f"k{i % 7}", i, rng.choice([None, i])) for i in range(900)]
     df = spark.createDataFrame(data, "k string, t int, v int").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = running_last(df, ["k"], ["t"], "v", "last", strict=strict, first_out="first", small_rows=small_rows)
+        got = running_last(df, ["k"], ["t"], "v", "last", strict=strict, first_out="first")
         result = rows(got.select("k", "t", "last", "first"))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -146,8 +135,7 @@ def test_running_last_across_partitions(spark, strict, small_rows):
     assert result == want
 
 
-@BOTH
-def test_review_actions_on_one_hot_column(spark, limit):
+def test_review_actions_on_one_hot_column(spark, joins):
     """Many actions on one column apply in order; nothing counts after a reject."""
     lineage = spark.createDataFrame(
         [("t", c, "s", f"s{i}", "pending_review", "", "") for c in ("hot", "cut", "calm") for i in range(3)],
@@ -159,7 +147,7 @@ def test_review_actions_on_one_hot_column(spark, limit):
     actions = spark.createDataFrame(
         acts, "seq int, ts string, action string, table_name string, column_name string, actor string, reason string"
     )
-    new, log = apply_review(lineage, actions, broadcast_rows=limit)
+    new, log = apply_review(lineage, actions)
     state = {(r["target_column"], r["source_column"]): (r["review_state"], r["ratified_by"]) for r in new.collect()}
     assert state == {
         **{("hot", f"s{i}"): ("ratified", "u59") for i in range(3)},
@@ -174,8 +162,7 @@ def test_review_actions_on_one_hot_column(spark, limit):
     assert entries[("none", "1")]["reason"] == "no lineage row to update"
 
 
-@BOTH
-def test_resolve_to_base(spark, limit):
+def test_resolve_to_base(spark, joins):
     """Stars, an unknown alias, a constant and a cycle."""
     refs = spark.createDataFrame(
         [
@@ -186,7 +173,15 @@ def test_resolve_to_base(spark, limit):
         "node string, column string, ref_node string, ref_column string",
     )
     base = spark.createDataFrame([("base",), ("other",)], "name string")
-    got = resolve_to_base(refs, base, broadcast_rows=limit).where(F.col("target_node") == "out")
+    got = resolve_to_base(refs, base).where(F.col("target_node") == "out")
     assert {(r["target_column"], r["source_table"], r["source_column"]) for r in got.collect()} == {
         ("x", "base", "a"), ("x", "other", "b"), ("y", "base", "why"), ("z", "mystery", "q"), ("loop", "base", "deep"),
     }
+
+
+@pytest.mark.parametrize("length", [70, 300])
+def test_resolve_follows_long_chains(spark, length):
+    links = [(f"n{i}", "v", f"n{i + 1}", "v") for i in range(length)] + [(f"n{length}", "v", "n5", "v"), (f"n{length}", "v", "base", "v")]
+    refs = spark.createDataFrame(links, "node string, column string, ref_node string, ref_column string")
+    got = resolve_to_base(refs, spark.createDataFrame([("base",)], "name string"))
+    assert {(r["target_node"], r["source_table"]) for r in got.collect()} == {(f"n{i}", "base") for i in range(length + 1)}
