@@ -107,23 +107,34 @@ def _live(windows: Windows, alive: dict[int, np.ndarray], full: int) -> np.ndarr
     return keep
 
 
+def _first_of_each(key: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Positions of the first row of every (key, item)."""
+    order = np.lexsort((item, key))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(item[order]) != 0)
+    return order[fresh]
+
+
 def _send(keys: list, items: list, codes: list, rebuilt: bool) -> Iterator[pa.RecordBatch]:
     """Rows (route, key, item, kind) that bring equal codes to one place.
 
     Kind 0 is a code that the task holds once; kind 1 one that it holds more
     often, sent once; kind 2 is each of the latter's items, which are known to
-    repeat and go to an arbitrary place.  So a code that fills the corpus sends
-    one row per task.  ``rebuilt``: the item is the code and left out of kinds 0
-    and 1.  Rows keep their order, in which neighbours compress well.
+    repeat and go to a place of their own, once per task however many copies of
+    the text it holds.  So neither a code nor a text that fills the corpus sends
+    more than one row per task and item.  ``rebuilt``: the item is the code and
+    left out of kinds 0 and 1.  Rows keep their order, in which neighbours
+    compress well.
     """
     if not keys:
         return
     key, item, code = np.concatenate(keys), np.concatenate(items), np.concatenate(codes)
     _, first, place, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
     twice = np.flatnonzero(n[place] > 1)
+    twice = twice[_first_of_each(key[twice], item[twice])]
     sent = np.concatenate((first, twice))
     kind = np.concatenate(((n > 1).astype(np.int8), np.full(len(twice), 2, dtype=np.int8)))
-    route = np.concatenate((code[first], mix(code[twice] + np.arange(len(twice), dtype=np.uint64))))
+    route = np.concatenate((code[first], mix(key[twice].view(np.uint64) ^ mix(item[twice].view(np.uint64)))))
     order = np.argsort(sent, kind="stable")
     sent, kind, route = sent[order], kind[order], route[order]
     item = np.where(kind < 2, 0, item[sent]) if rebuilt else item[sent]
@@ -146,6 +157,7 @@ def _met(rebuilt: bool):
         kept = np.flatnonzero((kind == 2) | ((kind == 0) & ((n > 1) | marked)[place]))
         if rebuilt:
             item = np.where(kind == 2, item, route)
+        kept = kept[_first_of_each(key[kept], item[kept])]
         for a in range(0, len(kept), 100_000):
             b = kept[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(key[b]), pa.array(item[b])], ["key", "item"])
