@@ -99,14 +99,18 @@ def _decisions(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _heads(evidence: DataFrame) -> DataFrame:
-    """Texts a target's catalog rows may have to borrow."""
-    def of(name: str, column: str) -> Column:
-        return F.when(F.col("_from") == name, F.col(column))
-
-    return evidence.where(F.col("_from") != "agent").groupBy(*KEY).agg(
-        F.max(of("parsed", "expression")).alias("parsed_expression"),
-        F.max(of("parsed", "sql_hash")).alias("parsed_hash"),
-        F.min(of("catalog", "sql_hash")).alias("catalog_hash"),
+    """Text and hash a target's catalog rows may have to borrow, each pair from one row: that of the smallest source."""
+    source = F.struct("_s", "_sc", "expression", "sql_hash")
+
+    def of(name: str) -> Column:
+        return F.min(F.when(F.col("_from") == name, source))
+
+    heads = evidence.where(F.col("_from") != "agent").groupBy(*KEY).agg(of("parsed").alias("_parsed"), of("catalog").alias("_catalog"))
+    return heads.select(
+        *KEY,
+        F.col("_parsed.expression").alias("parsed_expression"),
+        F.col("_parsed.sql_hash").alias("parsed_hash"),
+        F.col("_catalog.sql_hash").alias("catalog_hash"),
     )
 
 

@@ -348,7 +348,7 @@ def _(t):
 MERGE = f"""WITH {st.CATALOG.replace(' AS (', ' AS MATERIALIZED (')},
 cat AS MATERIALIZED (SELECT lower(target_table) t, lower(target_column) c, lower(source_table) s, lower(source_column) sc, * FROM lin WHERE review_state = 'ratified'),
 pp AS MATERIALIZED (SELECT lower(target_table) t, lower(target_column) c, lower(source_table) s, lower(source_column) sc, * FROM parsed),
-cset AS MATERIALIZED (SELECT t, c, list_sort(list(s || '.' || sc)) l, MIN(sql_hash) h FROM cat GROUP BY 1, 2),
+cset AS MATERIALIZED (SELECT t, c, list_sort(list(s || '.' || sc)) l, arg_min(sql_hash, (s, sc)) h FROM cat GROUP BY 1, 2),
 pset AS MATERIALIZED (SELECT t, c, list_sort(list(s || '.' || sc)) l, bool_or(ambiguous) amb, MAX(confidence) conf, MAX(sql_hash) h FROM pp GROUP BY 1, 2),
 aset AS (SELECT DISTINCT target_table t, target_column c FROM agent),
 decided AS MATERIALIZED (
@@ -392,6 +392,19 @@ def _(t):
     return C.divergences(st.catalog_lineage(t), st.parsed_maps(t), "now")
 
 
+@query(
+    "downgrade_diverged",
+    f"""{MERGE}, off AS (SELECT t, c FROM decided WHERE k = 'diverged')
+    SELECT target_column, source_table, source_column, CASE WHEN hit THEN 'pending_review' ELSE review_state END AS review_state,
+      CASE WHEN hit THEN '' ELSE ratified_by END AS ratified_by
+    FROM (SELECT *, (target_table, target_column) IN (SELECT (t, c) FROM off) hit FROM lin)""",
+)
+def _(t):
+    lineage = st.catalog_lineage(t)
+    actions = C.downgrade_diverged(C.divergences(lineage, st.parsed_maps(t), "now"), "now")
+    return C.set_review_state(lineage, actions)[0].select("target_column", "source_table", "source_column", "review_state", "ratified_by")
+
+
 def _emitted(t):
     """Passthrough edges emitted again, and one new edge per order."""
     again = st.catalog_lineage(t).where("transform_type = 'PASSTHROUGH'").selectExpr(
@@ -716,6 +729,24 @@ def _(t):
     return _ingested(t)[0]["column"].select("pk", "source", "review_state", "confidence")
 
 
+@query(
+    "ingest_column_maps",
+    st.with_catalog(
+        """SELECT 'stg_orders::' || target_column AS pk, arg_min(transform_type, (source_table, source_column)) AS transform_type, COUNT(*) AS n_edges
+        FROM lin GROUP BY target_column"""
+    ),
+)
+def _(t):
+    runs = st.processes(t).where("run_id = 'r0'").select(
+        "stage", "run_id", F.lit("now").alias("ts"), F.lit("stg_orders").alias("target_table"), F.array(F.lit("src_a")).alias("source_tables"),
+        F.array().cast("array<string>").alias("depends_on_stages"), "transform_type", "duration_ms", "output_row_count", F.lit("h").alias("sql_hash"),
+    )
+    maps = st.catalog_lineage(t).withColumns({"ambiguous": F.lit(False), "data_type": F.lit("text"), "ts": F.col("computed_at")})
+    graph = B.ingest_column_maps(B.empty_graph(t.spark), runs, maps)[0]
+    edges = graph["edge"].where("label = 'DERIVES_FROM'").groupBy(F.col("src_id").alias("pk")).agg(F.count(F.lit(1)).alias("n_edges"))
+    return graph["column"].where("dataset_name = 'stg_orders'").select("pk", "transform_type").join(edges, "pk")
+
+
 @query("idempotency_check", "SELECT 'column' AS part, TRUE AS same UNION ALL SELECT 'dataset', TRUE UNION ALL SELECT 'edge', TRUE UNION ALL SELECT 'process', TRUE")
 def _(t):
     once = _ingested(t)[0]
