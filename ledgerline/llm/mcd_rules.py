@@ -24,6 +24,8 @@ MIN_GROUP = 50
 #: Share of a group that the determinant is minimised over.
 CORE = 0.75
 STEPS = 4
+#: Parts that a group's rows are joined and first summed in.
+PARTS = 64
 #: Squared distance beyond which a document is rejected; for normal data one in two million passes it.
 CUT = 35.0
 #: Median of the chi-squared distribution with four degrees of freedom.
@@ -145,16 +147,23 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     A concentration step takes the ``CORE`` nearest rows of each group and
     estimates anew from them; it never raises the determinant.  ``scale`` makes
     the median squared distance that of normal data.  Every step is two
-    map-side combined aggregates, so no group is gathered anywhere.
+    map-side combined aggregates after a join by group and part, so no group is
+    gathered anywhere.  Other columns of ``rows`` only help to deal them out.
     """
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)))
+
+    def beside(table: DataFrame) -> DataFrame:
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+        return rows.join(table.select("*", F.explode(parts).alias("part")), ["grp", "part"])
+
     estimate = stored(_start(rows), "mcd")
     for _ in range(steps):
-        far = rows.join(estimate, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), CORE, 1000).alias("far"))
-        near = rows.join(estimate.join(far, "grp"), "grp").where(_distance() <= F.col("far"))
+        far = beside(estimate).groupBy("grp").agg(F.percentile_approx(_distance(), CORE, 1000).alias("far"))
+        near = beside(estimate.join(far, "grp")).where(_distance() <= F.col("far"))
         means = [F.avg(s).alias(f"m{i}") for i, s in zip(_D, STATS, strict=True)]
         spread = [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in _D for j in range(i + 1)]
         estimate = stored(_factored(near.groupBy("grp").agg(*means, *spread)), "mcd")
-    median = rows.join(estimate, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("mid"))
+    median = beside(estimate).groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("mid"))
     scale = F.greatest(F.lit(1.0), F.col("mid") / CHI2_MEDIAN)
     return stored(estimate.join(median.select("grp", scale.alias("scale")), "grp"), "mcd")
 
@@ -174,9 +183,9 @@ def apply_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
     counts = stored(base_counts(without(docs, [*made, "grp", *STATS])).drop("text"), "counts")
     rows = stored(_grouped(counts), "rules")
-    counted = rows.where("NOT base_failed").select("grp", *STATS)
+    counted = rows.where("NOT base_failed").select("grp", *STATS, "doc_id")
     enough = counted.groupBy("grp").count().where(F.col("count") >= MIN_GROUP).select("grp")
-    estimate = mcd_estimates(counted.join(enough, "grp"))
+    estimate = mcd_estimates(counted).join(enough, "grp")
     judged = rows.join(estimate, "grp", "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
     hidden = ["grp", "scale", *STATS, *[f"m{i}" for i in _D], *[f"l{i}{j}" for i in _D for j in range(i + 1)]]
