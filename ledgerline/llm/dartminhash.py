@@ -192,18 +192,28 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _star_pairs(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs of each larger bucket's members with one drawn head, where bucket and pair span several components."""
+def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of each larger bucket's members with its heads, where bucket and pair span several components.
+
+    One head is drawn anew each round; once links are ``known`` (key, root,
+    degree) the member with most of them is another, as edited copies are often
+    near their original but not near each other.
+    """
     members = members.where(F.col("n") > SMALL).select("bucket", "key")
-    if roots is not None:
-        members = members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    if known is None:
+        members = members.withColumns({"root": F.col("key"), "degree": F.lit(0).cast("long")})
     else:
-        members = members.withColumn("root", F.col("key"))
+        root, degree = F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")
+        members = members.join(known, "key", "left").select("bucket", "key", root, degree)
     lot = F.xxhash64("key", F.lit(turn), "bucket")
+    head = F.struct("key", "root")
     heads = members.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "root"), lot).alias("head")
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.min_by(head, lot).alias("drawn"),
+        F.max_by(head, F.struct("degree", lot)).alias("hub"),
     )
-    heads = heads.where("low <> high").select("bucket", "head")
+    heads = heads.where("low <> high").select("bucket", F.explode(F.array_distinct(F.array("drawn", "hub"))).alias("head"))
     pairs = members.join(heads, "bucket").where("root <> head.root")
     return pairs.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"))
 
@@ -216,10 +226,10 @@ def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weightin
     members = stored(members.join(shared, "bucket").select("bucket", "key", "n"), "buckets")
     sets = _sets(keyed, members)
     least = min(ESTIMATE, threshold - 0.15)
-    near = roots = tested = None
+    near = roots = known = tested = None
     turn = 0
     while True:
-        pairs = _star_pairs(members, roots, turn)
+        pairs = _star_pairs(members, known, turn)
         if turn == 0:
             pairs = pairs.union(_small_pairs(members)).distinct()
         else:
@@ -231,6 +241,8 @@ def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weightin
             break
         near = found if near is None else near.union(found)
         roots = components(near)
+        ends = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+        known = stored(roots.join(ends, "key"), "known")
         turn += 1
     return roots if roots is not None else members.select("key", F.col("key").alias("root")).limit(0)
 
@@ -257,9 +269,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
     replaced.
 
     Copies meet in their key before any pair is made.  Small buckets compare
-    all members; large ones compare each member with one drawn head a round,
-    and rounds go on, with new heads, among large buckets that still hold
-    several components, until a round finds nothing.  Only pairs with agreeing
+    all members; large ones compare each member with a drawn head a round, from
+    the second on also with the member that has most links, and rounds go on
+    among large buckets that still hold several components, until a round finds
+    nothing.  Only pairs with agreeing
     signatures fetch their shingle sets for the exact check.
     """
     docs = without(docs, ["class_key"])
