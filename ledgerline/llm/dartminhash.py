@@ -148,7 +148,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         def compute(left, right):
             out = []
             for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             return [out]
@@ -248,10 +248,10 @@ def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weightin
 
 
 def _sets(keyed: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, found): sorted distinct shingle hashes of the texts that share a bucket with another."""
+    """(key, found): sorted distinct shingle hashes, 32 bits each, of the texts that share a bucket with another."""
 
     def make():
-        return lambda texts: [[np.unique(shingles(t)).tobytes() for t in texts]]
+        return lambda texts: [[np.unique(shingles(t).astype(np.uint32)).tobytes() for t in texts]]
 
     wanted = keyed.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     return stored(append_columns(wanted, ["text"], [("found", T.BinaryType())], make).drop("text"), "shingle-sets")
