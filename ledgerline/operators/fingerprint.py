@@ -11,23 +11,18 @@ def row_digest(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",)):
     return F.md5(F.concat_ws("|", *cells).cast("binary"))
 
 
-def depth_for(rows: int, leaf_rows: int = 4096) -> int:
-    """Smallest even depth that keeps leaves at about ``leaf_rows`` digests."""
-    depth = 2
-    while rows > leaf_rows * 16**depth and depth < 16:
-        depth += 2
-    return depth
+#: Hexadecimal characters of a leaf's prefix, whatever the table's size: 16.7 million leaves.
+DEPTH = 6
 
 
-def table_fingerprint(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",), depth: int | None = None) -> DataFrame:
+def table_fingerprint(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",), depth: int = DEPTH) -> DataFrame:
     """One md5 over all rows, equal for equal bags of rows.
 
     Equal rows collapse to (digest, count) first.  Digests are then folded along
     their hex prefix, ``depth`` characters at the leaves and two fewer per level,
     so a fold covers at most 256 children and a leaf 1/16^depth of the rows.
-    Without a depth the row count picks one; equal tables pick the same.
+    The depth is part of the digest, so digests of one depth compare.
     """
-    depth = depth or depth_for(df.count())
     folded = (
         df.select(row_digest(df, exclude).alias("_h"))
         .groupBy("_h")

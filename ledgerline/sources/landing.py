@@ -213,11 +213,15 @@ def gate_all_or_nothing(checks: DataFrame) -> DataFrame:
     )
 
 
-def promote_full_refresh(raw: DataFrame, target_schema: T.StructType) -> DataFrame:
-    """Rows of the raw copy in the shape of the source table it refills."""
+def promote_full_refresh(raw: DataFrame, target_schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+    """Rows of the raw copy in the shape of the source table it refills.
+
+    A column that the raw copy lacks gets its value of ``defaults``, else NULL.
+    """
     from ledgerline.sources.tables import align_columns
 
-    return align_columns(raw, target_schema)
+    missing = {c: F.lit(v) for c, v in (defaults or {}).items() if c not in raw.columns}
+    return align_columns(raw.withColumns(missing) if missing else raw, target_schema)
 
 
 def ingest(
@@ -227,13 +231,17 @@ def ingest(
     target_root: str,
     expected: list[tuple[str, str, str]] | None = None,
     target_schemas: dict[str, T.StructType] | None = None,
+    defaults: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Validate every feed, then refill every source table, or change nothing.
 
     Returns the validation rows.  A feed that fails its manifest, checksum or row
-    count stops the promotion of all of them.
+    count stops the promotion of all of them.  All tables are written aside
+    first and then swapped in by renames, so a failing write changes no table.
+    ``target_schemas`` and ``defaults`` (column values) go by source table; a
+    table that exists keeps its own schema unless told otherwise.
     """
-    from ledgerline.sources.tables import replace_table
+    from ledgerline.sources.tables import path_exists, replace_table, swap_tables
 
     expected = expected or V.FEEDS
     checked = validate_manifest(spark, root, expected, as_of).cache()
@@ -254,10 +262,15 @@ def ingest(
         ).drop("expected", "actual").select(*checked.columns)
         rows = verdict.collect()
         if all(r["passed"] for r in rows):
+            swaps = {}
             for r in rows:
                 raw = scan_parquet_partition(spark, r["directory"])
-                schema = (target_schemas or {}).get(r["src_table"], raw.schema)
-                replace_table(promote_full_refresh(raw, schema), f"{target_root.rstrip('/')}/{r['src_table']}")
+                path = f"{target_root.rstrip('/')}/{r['src_table']}"
+                own = spark.read.parquet(path).schema if path_exists(spark, path) else raw.schema
+                schema = (target_schemas or {}).get(r["src_table"], own)
+                swaps[path] = f"{path}__new"
+                replace_table(promote_full_refresh(raw, schema, (defaults or {}).get(r["src_table"])), swaps[path])
+            swap_tables(spark, swaps)
         return spark.createDataFrame(rows, checked.schema)
     finally:
         checked.unpersist()

@@ -31,6 +31,40 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def swap_tables(spark: SparkSession, swaps: dict[str, str]) -> None:
+    """Put each written table (value) in the place of another (key) by renames.
+
+    Earlier tables stand aside until all new ones are in place, and come back if
+    a rename fails.
+    """
+    moved: list[tuple[str, str]] = []
+
+    def rename(source: str, target: str) -> None:
+        fs = spark._jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not path_exists(spark, source) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(source), spark._jvm.org.apache.hadoop.fs.Path(target)):
+            raise OSError(f"cannot rename {source} to {target}")
+        moved.append((source, target))
+
+    def remove(path: str) -> None:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+    for path in swaps:
+        remove(f"{path}__old")
+    try:
+        for path, new in swaps.items():
+            if path_exists(spark, path):
+                rename(path, f"{path}__old")
+            rename(new, path)
+    except Exception:
+        for source, target in moved[::-1]:
+            rename(target, source)
+        raise
+    for path in swaps:
+        remove(f"{path}__old")
+        spark.catalog.refreshByPath(path)
+
+
 def ensure_table_shape(spark: SparkSession, path: str, schema: T.StructType, required: str) -> str:
     """Make ``path`` a table with at least the ``required`` column.
 

@@ -10,6 +10,7 @@ from ledgerline.operators.runs import last_event_wins
 from ledgerline.operators.upsert import upsert
 from ledgerline.sources import eventlog as E
 from ledgerline.sources import landing as L
+from ledgerline.sources import tables as S
 
 
 def test_only_whole_json_objects_are_events(spark):
@@ -76,3 +77,19 @@ def test_a_repeated_key_of_a_batch_is_one_row(spark):
     old = spark.createDataFrame([("a", 1, "t0")], "k string, v int, computed_at string")
     new = spark.createDataFrame([("a", 9, "t1"), ("a", 2, "t2"), ("b", 3, "t1"), ("b", 3, "t1")], old.schema)
     assert sorted(tuple(r) for r in upsert(old, new, ["k"]).collect()) == [("a", 2, "t2"), ("b", 3, "t1")]
+
+
+def test_a_refill_fills_defaults_and_swaps_all_or_nothing(spark, tmp_path):
+    root, target = str(tmp_path / "landing"), str(tmp_path / "tables")
+    feeds = [("a", "x", "src_x"), ("a", "y", "src_y")]
+    shape = spark.createDataFrame([], "k long, state string, note string").schema
+    for n in (3, 5):
+        for _, entity, _ in feeds:
+            L.export_landing(spark.range(n).withColumnRenamed("id", "k"), root, "a", entity, override=f"2024-01-0{n}")
+        L.ingest(spark, root, f"2024-01-0{n}", target, feeds, {"src_x": shape}, {"src_x": {"state": "new"}})
+        rows = spark.read.parquet(f"{target}/src_x").collect()
+        assert len(rows) == n and {(r["state"], r["note"]) for r in rows} == {("new", None)}
+        assert spark.read.parquet(f"{target}/src_y").count() == n
+    with pytest.raises(OSError):
+        S.swap_tables(spark, {f"{target}/src_x": f"{target}/src_y", f"{target}/src_z": f"{target}/nothing"})
+    assert spark.read.parquet(f"{target}/src_x").columns == ["k", "state", "note"] and spark.read.parquet(f"{target}/src_y").count() == 5
