@@ -50,6 +50,22 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+class Packed:
+    """A table's columns in one struct, so that no name of theirs meets an operator's own.
+
+    ``columns`` are those left when ``made``, the results to come, are taken out.
+    """
+
+    def __init__(self, df: DataFrame, made):
+        taken = {n.lower() for n in made}
+        self.columns = [c for c in df.columns if c.lower() not in taken]
+        parts = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.columns)]
+        self.row = F.struct(F.lit(True).alias("row"), *parts).alias("_row")
+
+    def unpacked(self) -> list[Column]:
+        return [F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(self.columns)]
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, folded_words, without
+from ledgerline.llm.common import Packed, append_columns, folded_words
 
 WINDOW = 13
 #: Windows in one broadcast: about 60 MB in a worker at 13 words each.
@@ -121,7 +121,8 @@ def find_contamination(
     blocks = _blocks(benchmark, n, block_windows)
     sc = docs.sparkSession.sparkContext
     state = [("_spans", SPANS), ("_items", T.ArrayType(T.StringType())), ("_words", T.LongType())]
-    docs = without(docs, [k for k, _ in _RESULTS])
+    packed = Packed(docs, [k for k, _ in _RESULTS])
+    docs = docs.select(packed.row, "text")
     for number, block in enumerate(blocks):
         shipped = sc.broadcast(block)
 
@@ -153,8 +154,7 @@ def find_contamination(
         "items_sha256": F.sha2(F.concat_ws(",", items), 256),
         "hit_spans": spans,
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {k for k, _ in state}]
-    docs = docs.select(*kept, *[v.alias(k) for k, v in results.items()])
+    docs = docs.select(*packed.unpacked(), *[v.alias(k) for k, v in results.items()])
     return docs.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, folded, stored, without
+from ledgerline.llm.common import Packed, append_columns, folded, stored
 from ledgerline.llm.substring import word_hashes
 
 #: Order of kinds in results; ``term`` is what the corpus adds.
@@ -238,12 +238,13 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     the same spans; an empty table gives an empty result.  Columns named like a
     result are replaced.
     """
-    docs = _keyed(without(docs, ["key", "base", "near", "spans", "more"]))
+    packed = Packed(docs, ["text", "base", "spans"])
+    docs = _keyed(docs.select(packed.row, "text"))
     found = stored(_found(docs).drop("text"), "personal")
     more = _added(found, revealing_terms(found, docs, disclosure, support))
     joined = found.join(more, "key", "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPANS))))
-    return joined.withColumn("spans", every).drop("key", "near", "more")
+    return joined.select(*packed.unpacked(), "base", every.alias("spans"))
 
 
 def spans_text(spans: str):
@@ -265,7 +266,8 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``docs`` with their columns, personal data in text replaced; null texts stay null."""
     columns = docs.columns
-    keyed = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text"))
+    packed = Packed(docs, ["text"])
+    keyed = _keyed(docs.select(packed.row, "text"))
     found = stored(_found(keyed.select("key", "text")).drop("text"), "personal")
     more = _added(found, revealing_terms(found, keyed, disclosure, support))
     joined = keyed.join(more, "key", "left")
@@ -281,5 +283,5 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
 
         return compute
 
-    done = append_columns(joined.select("row", "text", "more"), ["text", "more"], [("clean", T.StringType())], make)
-    return done.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in columns])
+    done = append_columns(joined.select("_row", "text", "more"), ["text", "more"], [("clean", T.StringType())], make)
+    return done.select(*packed.unpacked(), F.col("clean").alias("text")).select(*[F.col(f"`{c}`") for c in columns])

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stored, without
+from ledgerline.llm.common import Packed, stored
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -181,12 +181,13 @@ def apply_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     result.  Columns named like a result are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
-    counts = stored(base_counts(without(docs, [*made, "grp", *STATS])).drop("text"), "counts")
+    packed = Packed(docs, ["text", *made])
+    narrow = docs.select(packed.row, "text", "lang", "source", F.xxhash64("doc_id").alias("mark"))
+    counts = stored(base_counts(narrow).drop("text"), "counts")
     rows = stored(_grouped(counts), "rules")
-    counted = rows.where("NOT base_failed").select("grp", *STATS, "doc_id")
+    counted = rows.where("NOT base_failed").select("grp", *STATS, "mark")
     enough = counted.groupBy("grp").count().where(F.col("count") >= MIN_GROUP).select("grp")
     estimate = mcd_estimates(counted).join(enough, "grp")
     judged = rows.join(estimate, "grp", "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
-    hidden = ["grp", "scale", *STATS, *[f"m{i}" for i in _D], *[f"l{i}{j}" for i in _D for j in range(i + 1)]]
-    return judged.withColumn("kept", kept).drop(*hidden)
+    return judged.withColumn("kept", kept).select(*packed.unpacked(), *made)

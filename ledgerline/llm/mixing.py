@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stored, without, word_count
+from ledgerline.llm.common import Packed, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -82,20 +82,19 @@ def mix_sources(
     ever in one task.
     """
     made = ["size", "source_size", "target", "copies"]
-    docs = without(docs, made).withColumn("size", word_count(F.col("text")))
-    if not keep_text:
-        docs = docs.drop("text")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    packed = Packed(docs, made if keep_text else [*made, "text"])
+    docs = docs.select(packed.row, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    names = [F.col("_row"), F.col("source"), F.col("size")]
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     line = ["source", "size", "_mark", "doc_id"]
     place = F.monotonically_increasing_id()
-    lined = docs.select(*names, mark.alias("_mark")).repartitionByRange(*line).sortWithinPartitions(*line)
+    lined = docs.select(*names, "doc_id", mark.alias("_mark")).repartitionByRange(*line).sortWithinPartitions(*line)
     lined = lined.withColumn("_place", place).select(
-        *names, F.shiftright("_place", 33).alias("_part"), F.col("_place").bitwiseAND(_ROW).alias("_row")
+        *names, F.shiftright("_place", 33).alias("_part"), F.col("_place").bitwiseAND(_ROW).alias("_at")
     )
     lined = stored(lined, "mix-line")
     parts = lined.groupBy("source", "_part").agg(
-        F.count("*").alias("_n"), F.min("_row").alias("_first"), F.sum("size").alias("size")
+        F.count("*").alias("_n"), F.min("_at").alias("_first"), F.sum("size").alias("size")
     )
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(parts, weights, share, limit)
@@ -104,7 +103,7 @@ def mix_sources(
     parts = parts.selectExpr("p.source _source", "p._part _p", "_before - _first _shift", "t.source_size", "t.target")
     joined = lined.join(parts, F.expr("source <=> _source AND _part = _p"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    upto = F.col("_row") + F.col("_shift")
+    upto = F.col("_at") + F.col("_shift")
     offset = _offset(F.col("source"), seed)
     copies = F.floor((upto + 1) * rate + offset) - F.floor(upto * rate + offset)
-    return joined.select(*names, "source_size", "target", copies.alias("copies"))
+    return joined.select(*packed.unpacked(), "size", "source_size", "target", copies.alias("copies"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, space_words, stored, without
+from ledgerline.llm.common import Packed, append_columns, space_words, stored
 
 LENGTH = 35
 
@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ("kept_sha256", T.StringType()),
         ("kept_text", T.StringType()),
     ]
-    docs = without(docs, [n for n, _ in results]).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    packed = Packed(docs, [n for n, _ in results])
+    docs = docs.select(packed.row, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
     spans = repeated_spans(docs, length)
     joined = docs.join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").drop("_key")
 
@@ -301,4 +302,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return cut
 
-    return append_columns(joined, ["text", "_spans"], results, make).drop("_spans")
+    cut = append_columns(joined, ["text", "_spans"], results, make)
+    return cut.select(*packed.unpacked(), *[n for n, _ in results])
