@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, `key` int, n_words string"
+#: Beside the given columns, names that operators make or use inside.
+CLASHES = ["score", "key", "n_words", "size", "scale", "grp", "part", "value", "n", "hash", "spans", "base", "near", "row", "root", "bands", "v9", "copies"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def words(rng: random.Random, n: int) -> list[str]:
@@ -41,8 +43,8 @@ def texts() -> list[str | None]:
 
 
 def rows() -> list[tuple]:
-    found = [(i, t, ["de", "fr", None][i % 3], ["s1", "s2", None, "s3"][i % 4], 1, "x", 7, "y") for i, t in enumerate(texts())]
-    found.append((None, "a row without an id " * 3, None, None, None, None, None, None))
+    found = [(i, t, ["de", "fr", None][i % 3], ["s1", "s2", None, "s3"][i % 4], 1, *CLASHES) for i, t in enumerate(texts())]
+    found.append((None, "a row without an id " * 3, None, None, None, *[None] * len(CLASHES)))
     found += [found[5], found[5]]  # repeated rows
     return found
 

@@ -496,7 +496,7 @@ def test_terms_that_reveal_are_found(spark):
 
 
 def test_personal_data_edges(spark, docs):
-    got = disclosure.find_personal_data(docs.drop("key")).toPandas()
+    got = disclosure.find_personal_data(docs).toPandas()
     assert len(got) == len(cases.rows())
     want = {i: brute_spans(t) for i, t in enumerate(cases.texts())}
     for i, base in zip(got.doc_id, got.base, strict=True):
