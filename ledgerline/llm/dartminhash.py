@@ -11,11 +11,10 @@ document, however many shingles it has.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,13 +113,12 @@ def _signatures(docs: DataFrame, weighting: str) -> DataFrame:
     return stored(made.dropDuplicates(["key"]), "signatures")
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with key: a digest of the folded words, so exact copies share it."""
-
-    def make():
-        return lambda texts: [[hashlib.md5(b" ".join(folded(t).split())).digest() for t in texts]]
-
-    return append_columns(docs, ["text"], [("key", T.BinaryType())], make)
+def _key(text: Column) -> Column:
+    """A digest of the folded words, in the engine: exact copies share it."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    folded_text = F.translate(F.coalesce(text, F.lit("")), upper, lower)
+    spaced = F.regexp_replace(folded_text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.unhex(F.md5(F.trim(spaced).cast("binary")))
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
@@ -282,7 +280,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
 def _classed(docs: DataFrame, kept: list[str], threshold: float, weighting: str = "set") -> DataFrame:
     """(row, class_key) per row of ``docs``; row holds the ``kept`` columns, whatever their names."""
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    keyed = _keys(docs.select(row, "text"))
+    keyed = docs.select(row, "text", _key(F.col("text")).alias("key"))
     roots = near_duplicate_keys(keyed.select("key", "text"), threshold, weighting)
     joined = keyed.select("row", "key").join(roots, "key", "left")
     return joined.select("row", F.hex(F.coalesce("root", "key")).alias("class_key"))
