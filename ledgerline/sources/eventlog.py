@@ -91,6 +91,7 @@ def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("run", F.col("run_id")).hint("rebalance", F.col("run")).write.mode("append").partitionBy("run").json(path)
 
 
+# Keys of a lineage manifest event.
 MANIFEST_KEYS = ["stage", "run_id", "ts", "target_table", "source_tables", "depends_on_stages", "transform_type", "derived_columns"]
 
 
