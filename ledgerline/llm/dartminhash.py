@@ -203,7 +203,8 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
     else:
         root, degree = F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")
         members = members.join(known, "key", "left").select("bucket", "key", root, degree)
-    lot = F.xxhash64("key", F.lit(turn), "bucket")
+    # The same order in all buckets of a round: a group's members meet few heads, not one per band.
+    lot = F.xxhash64("key", F.lit(turn))
     head = F.struct("key", "root")
     heads = members.groupBy("bucket").agg(
         F.min("root").alias("low"),
