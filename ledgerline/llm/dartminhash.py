@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree less are not compared; 160 coordinates put a true 0.8 below with probability < 1e-5.
 ESTIMATE = 0.65
-#: Buckets up to this size compare all their members, larger ones a few stars a round.
+#: Buckets up to this size compare all their members at once, larger ones a few stars a round and then what is left.
 SMALL = 8
+#: Members, and bytes of shingle sets, of about one block when the rest of a large bucket is compared.
+BLOCK, BLOCK_BYTES = 256, 4_000_000
 
 _U = np.uint64
 
@@ -204,6 +207,7 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
         root, degree = F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")
         members = members.join(known, "key", "left").select("bucket", "key", root, degree)
     # The same order in all buckets of a round: a group's members meet few heads, not one per band.
+    # What heads do not find is left to _rest_links.
     lot = F.xxhash64("key", F.lit(turn))
     head = F.struct("key", "root")
     heads = members.groupBy("bucket").agg(
@@ -217,6 +221,78 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
     return pairs.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"))
 
 
+def _rest_blocks(members: DataFrame, known: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """(bucket, key, root, x, y): the members of the larger buckets that span several components, once per pair of blocks.
+
+    A component that fills a block in its bucket has blocks of its own; the
+    others share blocks.  Every two members of different components meet in
+    exactly one pair (x, y) of blocks.  Buckets with the same members count
+    once.
+    """
+    members = members.where(F.col("n") > SMALL).select("bucket", "key", "n")
+    if known is None:
+        members = members.withColumn("root", F.col("key"))
+    else:
+        members = members.join(known.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    marks = [F.expr(f"bit_xor(xxhash64(key, {i}))").alias(f"mark{i}") for i in (1, 2)]
+    spread = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n"), *marks)
+    several = spread.where("low <> high").groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket"))
+    members = members.join(several.select("bucket"), "bucket", "left_semi")
+    size = sets.select("key", (F.lit(1 / BLOCK) + F.length("found") / BLOCK_BYTES).alias("size"))
+    members = stored(members.select("bucket", "key", "root").join(size, "key"), "rest")
+    parts = F.ceil("size").cast("int")
+    roots = members.groupBy("bucket", "root").agg(F.sum("size").alias("size"))
+    own = roots.where("size >= 1").select("bucket", "root", F.hex("root").alias("of"), parts.alias("parts"))
+    shared = roots.where("size < 1").groupBy("bucket").agg(F.sum("size").alias("size"))
+    shared = shared.select("bucket", F.lit("").alias("of"), parts.alias("parts"))
+    listed = own.drop("root").union(shared).select("bucket", "of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    listed = listed.groupBy("bucket").agg(F.collect_list(F.struct("of", "part")).alias("blocks"))
+    shared = shared.select("bucket", F.col("parts").alias("shared"))
+    placed = members.join(own, ["bucket", "root"], "left").join(shared, "bucket", "left").join(listed, "bucket")
+    part = F.when(F.col("of").isNull(), F.pmod(F.xxhash64("root"), "shared")).otherwise(F.pmod(F.xxhash64("key"), "parts"))
+    mine = F.named_struct(F.lit("of"), F.coalesce("of", F.lit("")), F.lit("part"), part.cast("int"))
+    placed = placed.select("bucket", "key", "root", mine.alias("mine"), F.explode("blocks").alias("other"))
+    placed = placed.where("mine.of <> other.of OR mine.of = ''")
+    return placed.select("bucket", "key", "root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+
+
+def _linked(least: float, threshold: float):
+    """Group function: links between the components of two blocks, of which each joins two that were apart."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n, out = len(group), []
+        keys = group["key"].tolist()
+        sigs = np.frombuffer(b"".join(group["sig"]), dtype=np.uint16).reshape(n, -1)
+        sets = [np.frombuffer(s, dtype=np.uint32) for s in group["found"]]
+        root = np.unique(np.array([r.hex() for r in group["root"]]), return_inverse=True)[1]
+        for i in range(n - 1):
+            apart = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            apart = apart[(sigs[apart] == sigs[i]).mean(axis=1) >= least]
+            for j in apart:
+                if root[i] == root[j]:
+                    continue
+                x, y = sets[i], sets[j]
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                    out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _rest_links(
+    members: DataFrame, known: DataFrame | None, signatures: DataFrame, sets: DataFrame, least: float, threshold: float
+) -> DataFrame:
+    """Links (a, b) that the stars of larger buckets have not found: all pairs across components are compared, block by block."""
+    rows = _rest_blocks(members, known, sets).join(signatures.select("key", "sig"), "key").join(sets, "key")
+    # Dealt by all keys, or a join's partitions would be taken as they are.
+    groups = rows.repartition("bucket", "x", "y").groupBy("bucket", "x", "y")
+    return groups.applyInPandas(_linked(least, threshold), "a binary, b binary").distinct()
+
+
 def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
     """(key, root) for the texts of ``keyed`` (key, text) that have a near-duplicate with another key."""
     signatures = _signatures(keyed, weighting)
@@ -243,6 +319,9 @@ def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weightin
         ends = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
         known = stored(roots.join(ends, "key"), "known")
         turn += 1
+    found = stored(_rest_links(members, known, signatures, sets, least, threshold), "near")
+    if found.limit(1).count():
+        roots = components(found if near is None else near.union(found))
     return roots if roots is not None else members.select("key", F.col("key").alias("root")).limit(0)
 
 
@@ -271,8 +350,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
     all members; large ones compare each member with a drawn head a round, from
     the second on also with the member that has most links, and rounds go on
     among large buckets that still hold several components, until a round finds
-    nothing.  Only pairs with agreeing
-    signatures fetch their shingle sets for the exact check.
+    nothing.  What members of different components such buckets then still hold
+    are compared with each other, all of them, in pairs of blocks of bounded
+    size.  Only pairs with agreeing signatures come to the exact check.
     """
     docs = without(docs, ["class_key"])
     return _classed(docs, docs.columns, threshold, weighting).select("row.*", "class_key")

@@ -361,6 +361,23 @@ def test_classes_against_brute_force(spark):
     assert [got[i] for i in range(len(texts_))] == brute_classes(texts_)
 
 
+def test_pairs_among_many_copies_of_an_absent_original(spark, monkeypatch):
+    monkeypatch.setattr(dartminhash, "BLOCK", 16)  # many pairs of blocks in a bucket
+    rng = np.random.default_rng(10)  # the one near pair shares buckets of 59 and more members only
+    original = [f"w{i}" for i in range(304)]
+    texts_ = []
+    for i in range(200):  # two copies with three edits each are near each other, no others are
+        copy = list(original)
+        for at in rng.choice(np.arange(1, 59), 3 if i in (7, 42) else 6, replace=False):
+            copy[at * 5] = f"c{i}x{at}"
+        texts_.append(" ".join(copy))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.class_ids(table).collect()}
+    want = brute_classes(texts_)
+    assert len(set(want)) == 199 and want[42] == 7
+    assert [got[i] for i in range(len(texts_))] == want
+
+
 def test_one_of_each_class_stays(spark, docs):
     kept = dartminhash.keep_one(docs).toPandas()
     assert sorted(kept.columns) == sorted(docs.columns)
