@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, disclosure, host_suffix, hyperdimensional, mcd_rules, mil_quality, mixing, piecewise, substring, warc
+from ledgerline.llm import dartminhash, decontaminate, disclosure, host_suffix, hyperdimensional, mcd_rules, mil_quality, mixing, piecewise, pivots, substring, warc
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     found = piecewise.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op12_pivotal_grams")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
