@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dartminhash, decontaminate, disclosure, host_suffix, hyperdimensional, mcd_rules, mil_quality, mixing, piecewise, pivots, substring, warc
+from ledgerline.llm import dartminhash, decontaminate, disclosure, host_suffix, hyperdimensional, mcd_rules, mil_quality, mixing, piecewise, pivots, substring, tokenizer_align, warc
 from ledgerline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_pivotal_grams")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokenizer_align.align_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
