@@ -206,7 +206,7 @@ class _Slice:
 def _aligned(docs: DataFrame, packed: Packed, folder: str, keep_groups: bool) -> DataFrame:
     """Rows of two kinds, by slice: documents with their link counts as places in the slice's list of pairs, and that list."""
     schema = T.StructType(
-        [T.StructField("slice", T.StringType()), *docs.schema.fields[:1]]
+        [T.StructField("slice", T.StringType()), T.StructField("_row", docs.schema["_row"].dataType)]
         + [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")]
         + [T.StructField("groups", T.StringType()), T.StructField("places", T.BinaryType()), T.StructField("times", T.BinaryType())]
         + [T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("n_docs", T.ArrayType(T.IntegerType()))]
@@ -319,7 +319,7 @@ def align_tokens(docs: DataFrame, folder: str = FOLDER, keep_groups: bool = Fals
     aligned = _aligned(docs.select(packed.row, "text"), packed, folder, keep_groups)
     counts = _pair_counts(aligned, _width(folder))
     listed = aligned.where("pairs IS NOT NULL").select("slice", F.posexplode("pairs").alias("place", "pair"))
-    known = listed.join(counts, "pair").select("slice", "place", "count", "is_best")
+    known = listed.join(counts, "pair").select(F.col("slice").alias("of"), "place", "count", "is_best")
     rows = aligned.where("pairs IS NULL").drop("pairs", "n_docs")
     columns = ["n_a", "n_b", "n_groups", "n_links", "groups"]
     schema = T.StructType([rows.schema["_row"], *[rows.schema[c] for c in columns], T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
@@ -338,5 +338,5 @@ def align_tokens(docs: DataFrame, folder: str = FOLDER, keep_groups: bool = Fals
         arrays = [left.column(c) for c in ["_row", *columns]] + [pa.array(s, pa.int64()) for s in sums]
         return pa.table(arrays, names=schema.names)
 
-    found = rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(summed, schema)
+    found = rows.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(summed, schema)
     return found.select(*packed.unpacked(), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias(name))
