@@ -96,7 +96,7 @@ def append_columns(
     return df.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends there.
 
     The table outlives a lost executor, is compressed, and later reads take
@@ -104,7 +104,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

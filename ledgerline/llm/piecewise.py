@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,18 +160,24 @@ def fingerprint_texts(docs: DataFrame) -> DataFrame:
     return append_columns(docs, ["text"], [("fingerprint", T.StringType())], lambda: lambda texts: [[fingerprint(t) for t in texts]])
 
 
+def _squeezed():
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return lambda texts: [[pack((t or "").encode("utf-8")) for t in texts]]
+
+
 def _with_next(df: DataFrame, fields: list[tuple[str, T.DataType]], compute: Callable[[list, list], list[list]]) -> DataFrame:
     """(row, *fields): ``compute`` of every row's text and that of the next row by descending id, the last row's next being the first.
 
-    ``df`` has _row, _id and text.  Rows move once, into ranges of ids.  A row's
-    next is the one below it in its range; only the last row of a range waits
+    ``df`` has _row, _id and text.  Rows move once, into ranges of ids, their
+    texts compressed.  A row's next is the one below it in its range; only the last row of a range waits
     for the first text of another, and which range that is is found among the
     ranges' numbers alone.
     """
     names = [n for n, _ in fields]
     kinds = [to_arrow_type(t) for _, t in fields]
-    order = [F.col("_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    dealt = df.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    order = [F.col("_id").desc_nulls_last(), F.col("mark"), F.col("packed")]
+    squeezed = append_columns(df.withColumn("mark", F.xxhash64("text")), ["text"], [("packed", T.BinaryType())], _squeezed).drop("text")
+    dealt = squeezed.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     schema = T.StructType(
         [dealt.schema["_row"], *[T.StructField(n, t) for n, t in fields]]
         + [T.StructField("range", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType())]
@@ -184,7 +191,7 @@ def _with_next(df: DataFrame, fields: list[tuple[str, T.DataType]], compute: Cal
         return pa.RecordBatch.from_arrays(arrays, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
+        number, unpack = TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress
         held_row, held, started = None, None, False
 
         def out(rows, texts, nexts, ends_range):
@@ -200,7 +207,7 @@ def _with_next(df: DataFrame, fields: list[tuple[str, T.DataType]], compute: Cal
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts, rows = batch.column("text").to_pylist(), batch.column("_row")
+                texts, rows = [unpack(t).decode("utf-8") for t in batch.column("packed").to_pylist()], batch.column("_row")
                 if held_row is not None:
                     yield out(held_row, [held], [texts[0]], False)
                 if len(texts) > 1:
@@ -209,7 +216,7 @@ def _with_next(df: DataFrame, fields: list[tuple[str, T.DataType]], compute: Cal
         if held_row is not None:
             yield out(held_row, [held], [None], True)
 
-    made = stored(dealt.select("_row", "text").mapInArrow(run, schema), "with-next")
+    made = stored(dealt.select("_row", "packed").mapInArrow(run, schema), "with-next", compression="zstd")
     firsts = made.where("is_first").select(F.col("range").alias("next_range"), F.col("first").alias("next"))
     line = Window.orderBy("next_range")
     ring = firsts.select("next_range").select(

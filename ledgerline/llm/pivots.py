@@ -33,25 +33,24 @@ PREFIX = Q * EDITS + 1
 #: One run in so many loses a code point.
 TYPO = 97
 LEAST_CHARS, LEAST_COUNT = 5, 3
+#: Letters that two words must have in common before they are compared without looking at the rest.
+SURE = 6
 #: Different words a task holds before it passes their counts on.
 HELD = 200_000
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def runs(doc_id, text: str | None, typo: int = TYPO) -> Counter:
-    """How often a text has each run of letters, A-Z lower-cased, a code point deleted where the run's checksum says so."""
-    counts = Counter(_RUN.findall(text.translate(_LOWER))) if text else Counter()
+def _long_runs(least: int) -> re.Pattern:
+    """Maximal runs of letters with at least so many; a deletion makes no run longer."""
+    return re.compile(f"[A-Za-zÀ-ÿ]{{{least},}}")
+
+
+def _changes(doc_id: str | None, found: list[str], typo: int) -> list[tuple[str, str]]:
+    """(run, run less a code point) of the different runs whose checksum says so."""
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    out: Counter = Counter()
-    for run, n in counts.items():
-        h = zlib.crc32(run.encode("utf-8"), start)
-        if h % typo == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] += n
-    return out
+    hashes = [(zlib.crc32(run.encode("utf-8"), start), run) for run in set(found)]
+    return [(run, run[: h % len(run)] + run[h % len(run) + 1 :]) for h, run in hashes if h % typo == 0]
 
 
 def count_words(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, typo: int = TYPO) -> DataFrame:
@@ -63,14 +62,20 @@ def count_words(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        pattern = _long_runs(least_chars)
 
         def passed_on() -> pa.RecordBatch:
-            words = [w for w in held if len(w) >= least_chars]
+            words = [w for w, n in held.items() if n and len(w) >= least_chars]
             return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([held[w] for w in words], pa.int64())})
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                held.update(runs(doc_id, text.as_py(), typo))
+                found = pattern.findall((text.as_py() or "").translate(_LOWER))
+                held.update(found)
+                for run, changed in _changes(doc_id, found, typo):
+                    n = found.count(run)
+                    held[run] -= n
+                    held[changed] += n
                 if len(held) >= HELD:
                     yield passed_on()
                     held.clear()
@@ -108,9 +113,21 @@ def prefix_and_pivots(word: str, rank: dict[str, int]) -> tuple[list[int], list[
     return [i for i, _ in prefix], list(history[-1][EDITS + 1][1]), last
 
 
-def _keys(word: str, at: int) -> tuple[str, str]:
-    """What stays the same around an untouched gram: all up to its end, or all from its start."""
-    return "<" + word[: at + Q], ">" + word[at:]
+def _keys(word: str, at: int, is_pivot: bool) -> Iterator[str]:
+    """What stays the same around an untouched gram: all up to its end, or all from its start.
+
+    Where that is only a few letters, the rest counts too: one edit leaves its
+    first or its second half as it is, halves being those of the pivot's word,
+    whose rest may be a letter shorter or longer.
+    """
+    for mark, same, rest in (("<", word[: at + Q], word[at + Q :]), (">", word[at:], word[:at])):
+        if len(same) >= SURE:
+            yield mark + same
+            continue
+        for n in (len(rest),) if is_pivot else range(max(0, len(rest) - EDITS), len(rest) + EDITS + 1):
+            half = n // 2
+            yield f"{mark}{same}[{n}[{rest[:half]}"
+            yield f"{mark}{same}]{n}]{rest[max(0, len(rest) - n + half) :]}"
 
 
 def _gram_ranks(words: DataFrame) -> dict[str, int]:
@@ -135,7 +152,7 @@ def near_words(words: DataFrame) -> DataFrame:
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 prefix, pivots, last = prefix_and_pivots(word, rank.value)
                 for is_pivot, places in ((True, pivots), (False, prefix)):
-                    keys = {key for at in places for key in _keys(word, at)}
+                    keys = {key for at in places for key in _keys(word, at, is_pivot)}
                     out["is_pivot"] += [is_pivot] * len(keys)
                     out["key"] += sorted(keys)
                     out["word"] += [word] * len(keys)

@@ -30,6 +30,8 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES = 4_000_000
 #: Links of one group that are listed one by one; beyond that its ids are counted first.
 LISTED = 4096
+#: Tokens of a one-to-one stretch that are compared singly before stretches are.
+PROBE = 8
 #: How a byte-level tokenizer splits text before merging: fixed value.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,6 +43,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+class _Spelling:
+    """The bytes of ids, from all pieces in one array."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        self._bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        sizes = self.lengths[ids]
+        shift = self._starts[ids] - (np.cumsum(sizes) - sizes)
+        return self._bytes[np.arange(sizes.sum()) + np.repeat(shift, sizes)].tobytes()
+
+
 class ByteTokenizer:
     """Byte-level BPE of a tokenizer file; ``pieces[id]`` are an id's bytes.
 
@@ -61,13 +77,11 @@ class ByteTokenizer:
         for piece, i in ranks.items():
             self.pieces[i] = piece
         self._coder = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.spell = _Spelling(self.pieces)
 
     def encode(self, text: str) -> np.ndarray:
         return self._coder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
-    def spell(self, ids: np.ndarray) -> bytes:
-        return self._coder.decode_bytes(ids.tolist())
-
 
 class PieceTokenizer:
     """Pieces of a model file that begins a text with a space; ``pieces[id]`` are an id's bytes."""
@@ -80,12 +94,11 @@ class PieceTokenizer:
         self.pieces = [
             bytes([int(name[3:5], 16)]) if self._coder.is_byte(i) else name.replace("▁", " ").encode("utf-8") for i, name in enumerate(names)
         ]
+        self.spell = _Spelling(self.pieces)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self._coder.encode(text, num_threads=1), dtype=np.int64)
-
-    def spell(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+        """Ids of a text that begins with the space the model adds."""
+        return np.array(self._coder.encode(text[1:], num_threads=1), dtype=np.int64)
 
 
 def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -102,16 +115,18 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     while i < n:
         x, y = a[i], b[j]
         if x == y:
-            # One-to-one at the shift j - i: stretches twice as long each time, then half as long.
-            start, shift, step = i, j - i, 1
-            i += 1
-            while a[i : i + 2 * step] == b[i + shift : i + shift + 2 * step]:
-                step *= 2
-                i += step
-            while step:
-                if a[i : i + step] == b[i + shift : i + shift + step]:
-                    i += step
-                step //= 2
+            # One-to-one at the shift j - i: one by one at first, then stretches twice as long each time, then half as long.
+            start, shift, step = i, j - i, PROBE
+            i, j = i + 1, j + 1
+            while a[i] == b[j] and i - start < PROBE:
+                i, j = i + 1, j + 1
+            if i - start == PROBE:
+                while a[i : i + step] == b[i + shift : i + shift + step]:
+                    i, step = i + step, 2 * step
+                while step > 1:
+                    step //= 2
+                    if a[i : i + step] == b[i + shift : i + shift + step]:
+                        i += step
             j = i + shift
             if i - start > 1:
                 out_a += range(start + 1, i + 1)
@@ -141,8 +156,9 @@ class Aligner:
     def __init__(self, first: ByteTokenizer, second: PieceTokenizer):
         self.sides = (first, second)
         self.width = len(second.pieces)
-        self._lengths = [np.array([len(p) for p in side.pieces], dtype=np.int64) for side in self.sides]
-        self._written = [[np.array([f"{i}{mark}" for i in range(len(side.pieces))], dtype=object) for mark in marks] for side, marks in zip(self.sides, ((",", "|"), (",", ";")), strict=True)]
+        # Each id twice, with the mark after it inside its side of a group and at that side's end.
+        marked = [[f"{i}{mark}".encode() for i in range(len(side.pieces)) for mark in marks] for side, marks in zip(self.sides, ((",", "|"), (",", ";")), strict=True)]
+        self._marked = _Spelling(marked[0] + marked[1])
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both tokenizers; None for texts whose bytes a tokenizer does not give back."""
@@ -150,37 +166,40 @@ class Aligner:
             return None
         spaced = " " + text
         want = spaced.encode("utf-8")
-        found = self.sides[0].encode(spaced), self.sides[1].encode(text)
+        found = self.sides[0].encode(spaced), self.sides[1].encode(spaced)
         return found if all(side.spell(ids) == want for side, ids in zip(self.sides, found, strict=True)) else None
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = [np.cumsum(lengths[ids]).tolist() for lengths, ids in zip(self._lengths, (a, b), strict=True)]
+        ends = [np.cumsum(side.spell.lengths[ids]).tolist() for side, ids in zip(self.sides, (a, b), strict=True)]
         found = group_ends(*ends)
         return np.array(found[0], dtype=np.int64), np.array(found[1], dtype=np.int64)
 
-    def written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-        out = np.empty(len(a) + len(b), dtype=object)
-        for k, (ids, ends, other) in enumerate(((a, ends_a, np.concatenate(([0], ends_b[:-1]))), (b, ends_b, ends_a))):
-            sizes = np.diff(ends, prepend=0)
-            text = self._written[k][0][ids]
-            text[ends - 1] = self._written[k][1][ids[ends - 1]]
-            out[np.arange(len(ids)) + np.repeat(other, sizes)] = text
-        return "".join(out.tolist())[:-1]
+    def written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group, in ASCII."""
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        first = 0
+        for side, ids, ends, other in zip(self.sides, (a, b), (ends_a, ends_b), (np.concatenate(([0], ends_b[:-1])), ends_a), strict=True):
+            codes = first + 2 * ids
+            codes[ends - 1] += 1
+            out[np.arange(len(ids)) + np.repeat(other, np.diff(ends, prepend=0))] = codes
+            first += 2 * len(side.pieces)
+        return self._marked(out)[:-1]
 
     def links(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes a * width + b of the linked id pairs, each once, and how many links each has."""
         from_a, from_b = np.concatenate(([0], ends_a[:-1])), np.concatenate(([0], ends_b[:-1]))
         sizes_a, sizes_b = ends_a - from_a, ends_b - from_b
         few = sizes_a * sizes_b <= LISTED
-        codes, counts = [], []
+        listed = np.empty(0, dtype=np.int64)
         if few.any():
             listed_a = np.flatnonzero(np.repeat(few, sizes_a))
             group = np.repeat(np.arange(len(few)), sizes_a)[listed_a]
             partners = sizes_b[group]
             place = np.arange(partners.sum()) - np.repeat(np.cumsum(partners) - partners, partners) + np.repeat(from_b[group], partners)
-            codes.append(np.repeat(a[listed_a], partners) * self.width + b[place])
-            counts.append(np.ones(len(place), dtype=np.int64))
+            listed = np.repeat(a[listed_a], partners) * self.width + b[place]
+        if few.all():
+            return np.unique(listed, return_counts=True)
+        codes, counts = [listed], [np.ones(len(listed), dtype=np.int64)]
         for g in np.flatnonzero(~few):
             ids_a, n_a = np.unique(a[from_a[g] : ends_a[g]], return_counts=True)
             ids_b, n_b = np.unique(b[from_b[g] : ends_b[g]], return_counts=True)
@@ -192,6 +211,16 @@ class Aligner:
         return found, total
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest takes; the first byte tells how many."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{data[0]}", offset=1).astype(np.int64)
+
+
 class _Slice:
     """Documents of one slice and their id pairs."""
 
@@ -217,13 +246,13 @@ def _aligned(docs: DataFrame, packed: Packed, folder: str, keep_groups: bool) ->
         sizes = [len(c) for c in held.codes]
         every = np.concatenate([*held.codes, np.empty(0, dtype=np.int64)])
         pairs, inverse, n_docs = np.unique(every, return_inverse=True, return_counts=True)
-        places = np.split(inverse.astype(np.uint32), np.cumsum(sizes)[:-1]) if sizes else []
+        places = np.split(inverse, np.cumsum(sizes)[:-1]) if sizes else []  # increasing, as a document's codes are
         at = 0
         for batch in held.batches:
             rows = slice(at, at + batch.num_rows)
             at += batch.num_rows
             made = [held.columns[k][rows] for k in held.columns]
-            made += [[p.tobytes() for p in places[rows]], [c.astype(np.uint32).tobytes() for c in held.counts[rows]]]
+            made += [[_packed(np.diff(p, prepend=0)) for p in places[rows]], [_packed(c) for c in held.counts[rows]]]
             made += [[None] * batch.num_rows] * 2
             arrays = [pa.array([held.number] * batch.num_rows, pa.string()), batch.column("_row")]
             arrays += [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
@@ -252,7 +281,7 @@ def _aligned(docs: DataFrame, packed: Packed, folder: str, keep_groups: bool) ->
                     ends = aligner.groups(*found)
                     string = aligner.written(*found, *ends)
                     links = aligner.links(*found, *ends)
-                    digest = string if keep_groups else hashlib.sha256(string.encode("ascii")).hexdigest()
+                    digest = string.decode("ascii") if keep_groups else hashlib.sha256(string).hexdigest()
                     values = (len(found[0]), len(found[1]), len(ends[0]), int(links[1].sum()), digest)
                 for column, value in zip(held.columns.values(), values, strict=True):
                     column.append(value)
@@ -332,7 +361,7 @@ def align_tokens(docs: DataFrame, folder: str = FOLDER, keep_groups: bool = Fals
         best[places] = right.column("is_best").to_numpy()
         sums: tuple[list, list] = ([], [])
         for at, times in zip(left.column("places").to_pylist(), left.column("times").to_pylist(), strict=True):
-            place, n = np.frombuffer(at, dtype=np.uint32), np.frombuffer(times, dtype=np.uint32).astype(np.int64)
+            place, n = np.cumsum(_unpacked(at)), _unpacked(times)
             sums[0].append(int((best[place] * n).sum()))
             sums[1].append(int((count[place] * n).sum()))
         arrays = [left.column(c) for c in ["_row", *columns]] + [pa.array(s, pa.int64()) for s in sums]
