@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from decimal import Decimal
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def row_digest(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",)):
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("_NULL_")) for c in df.columns if c not in exclude]
-    return F.md5(F.concat_ws("|", *cells).cast("binary"))
+#: Words of a row's digest, hexadecimal characters of one, and what sums of words are taken modulo.
+WORDS, HEX = 4, 16
+MODULUS = 1 << (4 * HEX)
 
 
-#: Hexadecimal characters of a leaf's prefix, whatever the table's size: 16.7 million leaves.
-DEPTH = 6
+def row_digest(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",)) -> Column:
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("_NULL_")) for c in df.columns if c not in exclude]
+    return F.sha2(F.concat_ws("|", *cells), 256)
 
 
-def table_fingerprint(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",), depth: int = DEPTH) -> DataFrame:
-    """One md5 over all rows, equal for equal bags of rows.
+def table_fingerprint(df: DataFrame, exclude: tuple[str, ...] = ("computed_at",)) -> DataFrame:
+    """One digest over all rows, equal for equal bags of rows.
 
-    Equal rows collapse to (digest, count) first.  Digests are then folded along
-    their hex prefix, ``depth`` characters at the leaves and two fewer per level,
-    so a fold covers at most 256 children and a leaf 1/16^depth of the rows.
-    The depth is part of the digest, so digests of one depth compare.
+    A multiset hash: the words of every row's digest are added up, each word
+    modulo 2**64.  Addition forgets the order and counts repeats, and it is
+    combined where the rows are: a task sends one row, whatever the table's size.
     """
-    folded = (
-        df.select(row_digest(df, exclude).alias("_h"))
-        .groupBy("_h")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.substring("_h", 1, depth).alias("_p"),
-            F.concat("_h", F.lit(":"), F.col("_n").cast("string")).alias("_x"),
-        )
-    )
-    level = depth
-    while True:
-        joined = F.array_join(F.array_sort(F.collect_list("_x")), "\n")
-        digest = F.md5(joined.cast("binary"))
-        if level <= 0:
-            return folded.agg(digest.alias("fingerprint"))
-        folded = folded.groupBy("_p").agg(digest.alias("_d"))
-        level -= 2
-        folded = folded.select(
-            F.substring("_p", 1, max(level, 0)).alias("_p"), F.concat("_p", F.lit(":"), F.col("_d")).alias("_x")
-        )
+    digests = df.select(row_digest(df, exclude).alias("_h"))
+    words = [F.conv(F.substring("_h", 1 + i * HEX, HEX), 16, 10).cast("decimal(20,0)") for i in range(WORDS)]
+    sums = digests.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    parts = [F.pmod(F.coalesce(F.col(f"_w{i}"), F.lit(Decimal(0))), F.lit(Decimal(MODULUS))).cast("decimal(20,0)").cast("string") for i in range(WORDS)]
+    return sums.select(F.sha2(F.concat_ws(":", F.col("_n").cast("string"), *parts), 256).alias("fingerprint"))

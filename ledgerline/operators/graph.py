@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
 from ledgerline.functions.text import infer_layer
-from ledgerline.operators.scale import lookup_left_join
+from ledgerline.operators.scale import lookup_left_join, semi_naive
 from ledgerline.session import pin
 
 
@@ -61,22 +61,16 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, reve
     """Every node reachable from ``starts`` (start) once, with its smallest hop count: start, node, hops.
 
     Only newly seen pairs are expanded, so the walk also ends on cycles; without
-    ``max_hops`` it runs until a level finds nothing new.  What was seen is one
-    pinned table, so a level reads it once however many levels it holds.
+    ``max_hops`` it runs until a level finds nothing new.
     """
     steps = _Steps(edges, reverse)
-    limit = None if max_hops is None else _hops(max_hops)
-    frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"))
-    seen, hop = None, 0
-    while limit is None or hop < limit:
-        hop += 1
-        found = steps.expand(frontier).withColumn("hops", F.lit(hop))
-        every = found if seen is None else seen.unionByName(found)
-        seen = pin(every.groupBy("start", "node").agg(F.min("hops").alias("hops")))
-        frontier = seen.where(F.col("hops") == hop).select("start", "node")
-        if frontier.isEmpty():
-            break
-    return seen
+    limit = None if max_hops is None else _hops(max_hops) - 1
+
+    def hop(frontier: DataFrame, hops: int) -> DataFrame:
+        return steps.expand(frontier.select("start", "node")).withColumn("hops", F.lit(hops))
+
+    own = starts.where("start IS NOT NULL").select("start").distinct().select("start", F.col("start").alias("node"))
+    return semi_naive(hop(own, 1), lambda found, level: hop(found, level + 1), ["start", "node"], limit)
 
 
 def column_ancestors(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
@@ -267,17 +261,53 @@ def graph_view(datasets: DataFrame, processes: DataFrame, edges: DataFrame) -> t
     return nodes, structural.select(from_id.alias("from_id"), to_id.alias("to_id"), "label")
 
 
+def scoped_references(projections: DataFrame, scope: DataFrame) -> DataFrame:
+    """References of projections with the tables in scope looked up, as ``resolve_to_base`` takes them.
+
+    ``scope``: node, ordinal, alias, table; the FROM and JOIN entries of each
+    node in order, a subquery's table being its own node.  ``projections``: node,
+    position, column, qualifier, ref_column; a row per column reference of a
+    projection.  A star has ``*`` as column, and as qualifier the alias before
+    it or NULL; a constant is a row without ref_column.
+
+    Tables and aliases compare in lower case, and a table may be named by its
+    alias or by itself; of equal names the later entry counts.  A qualified
+    reference goes to the one table of that name, or to the qualifier itself if
+    no entry has it.  An unqualified one goes to every distinct table in scope.
+    Of several projections of one name, and of several stars, only the first
+    counts; a bare star goes to every table in scope.
+    """
+    entry = scope.select("node", "ordinal", F.lower("alias").alias("_alias"), F.lower("table").alias("_table")).where("_table IS NOT NULL")
+    names = F.array(F.struct(F.col("_alias").alias("name"), F.lit(0).alias("turn")), F.struct(F.col("_table").alias("name"), F.lit(1).alias("turn")))
+    named = entry.select("node", "ordinal", "_table", F.explode(names).alias("n")).where("n.name IS NOT NULL")
+    visible = named.groupBy("node", F.col("n.name").alias("_name")).agg(F.max_by("_table", F.struct("ordinal", "n.turn")).alias("_table"))
+    visible = pin(visible)
+
+    first = projections.groupBy("node", "column").agg(F.min("position").alias("position"))
+    kept = projections.join(first, ["node", "column", "position"]).withColumn("_name", F.lower("qualifier"))
+    constant = (F.col("column") != "*") & F.col("ref_column").isNull()
+    target = F.when(F.col("column") == "*", F.lit("*")).otherwise(F.col("ref_column")).alias("ref_column")
+    known = kept.where(~constant & F.col("_name").isNotNull()).join(visible, ["node", "_name"], "left")
+    qualified = known.select("node", "column", F.coalesce("_table", "_name").alias("ref_node"), target)
+    every = kept.where(~constant & F.col("_name").isNull()).join(visible.select("node", "_table").distinct(), "node")
+    unqualified = every.select("node", "column", F.col("_table").alias("ref_node"), target)
+    none = F.lit(None).cast("string")
+    constants = kept.where(constant).select("node", "column", none.alias("ref_node"), none.alias("ref_column"))
+    return qualified.unionByName(unqualified).unionByName(constants).distinct()
+
+
 def resolve_to_base(
     refs: DataFrame, base_tables: DataFrame
 ) -> DataFrame:
     """Target columns resolved through intermediate names to base-table columns.
 
     ``refs``: node, column, ref_node, ref_column, one row per reference of a
-    projection (``column`` and ``ref_column`` are ``*`` for a star).  A node of
-    ``base_tables`` (name) ends the walk, a constant simply has no reference row,
-    and a node that is neither known nor a base table is returned as it is.  A
-    (start, node, column) seen before is not followed again, so the walk ends by
-    itself, however long the chain.
+    projection (``column`` and ``ref_column`` are ``*`` for a star), as
+    ``scoped_references`` gives them.  A node of ``base_tables`` (name) ends the
+    walk, a constant is a row without ref_node that leads nowhere, and a node
+    that is neither known nor a base table, or refers to itself, is returned as
+    it is.  A (start, node, column) seen before is not followed again, so the
+    walk ends by itself, however long the chain.
     """
     ends = (
         base_tables.select(F.col("name").alias("ref_node"), F.lit("base").alias("_kind"))
@@ -287,11 +317,14 @@ def resolve_to_base(
     )
     # Each reference knows whether it ends at a leaf, so a level is one join.
     marked = lookup_left_join(refs.distinct(), ends, ["ref_node"], ["_kind"])
-    steps = pin(marked.withColumn("leaf", F.coalesce(F.col("_kind") == "base", F.lit(True))).drop("_kind"))
-    named = steps.where(F.col("column") != "*")
+    leaf = F.coalesce(F.col("_kind") == "base", F.lit(True)) | (F.col("ref_node") == F.col("node"))
+    steps = pin(marked.withColumn("leaf", leaf).drop("_kind"))
+    has_name = steps.where(F.col("column") != "*").select("node", "column").distinct()
+    named = steps.where((F.col("column") != "*") & F.col("ref_node").isNotNull())
     star = steps.where(F.col("column") == "*").select("node", "ref_node", "leaf")
-    has_name = named.select("node", "column").distinct()
-    def expand(rows: DataFrame) -> DataFrame:
+
+    def expand(found: DataFrame, level: int) -> DataFrame:
+        rows = found.where("NOT leaf").drop("leaf")
         by_name = rows.join(named, ["node", "column"])
         by_star = rows.join(has_name, ["node", "column"], "left_anti").join(star, "node")
         start = ["target_node", "target_column"]
@@ -299,20 +332,11 @@ def resolve_to_base(
             *start, F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf"
         ).unionByName(by_star.select(*start, F.col("ref_node").alias("node"), "column", "leaf"))
 
-    place = ["target_node", "target_column", "node", "column", "leaf"]
     first = named.select(
         F.col("node").alias("target_node"), F.col("column").alias("target_column"),
         F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf",
     )
-    seen = pin(first.distinct().withColumn("level", F.lit(0)))
-    level = 0
-    while True:
-        reached = seen.where((F.col("level") == level) & ~F.col("leaf")).drop("leaf", "level")
-        level += 1
-        fresh = expand(reached).withColumn("level", F.lit(level))
-        seen = pin(seen.unionByName(fresh).groupBy(*place).agg(F.min("level").alias("level")))
-        if seen.where(F.col("level") == level).isEmpty():
-            break
+    seen = semi_naive(first, expand, ["target_node", "target_column", "node", "column", "leaf"])
     return seen.where("leaf").select(
         "target_node", "target_column", F.col("node").alias("source_table"), F.col("column").alias("source_column")
     )

@@ -1,7 +1,7 @@
 """Data-quality checks as result rows, and the gate over them.
 
-All counting checks of one table share a single aggregate: each check is one
-``count_if`` column, and the one-row result is unpivoted to check rows.
+All checks of one table share a single aggregate: a check is one or a few of its
+columns, and the one-row result is unpivoted to check rows.
 """
 
 from __future__ import annotations
@@ -45,87 +45,88 @@ def in_domain(name: str, column: str, allowed: list) -> Check:
     return Check(name, ~F.col(column).isin(allowed))
 
 
+@dataclass
+class Rows:
+    """A verdict on the table's row count, which ``source`` may be counted for."""
+
+    name: str
+    source: DataFrame
+    exact: bool  # else the table may also have more rows than its source
+
+
+@dataclass
+class Values:
+    """The column's distinct values must be exactly ``expected``."""
+
+    name: str
+    column: str
+    expected: list[str]
+
+
+def fused_checks(df: DataFrame, checks: list[Check | Rows | Values]) -> DataFrame:
+    """All ``checks`` on one table from a single aggregate, one row per check.
+
+    The table is read once whatever is asked of it; a source it is compared with
+    adds one count.  Of a checked column only the expected values are named, the
+    others are counted, so the result stays small for millions of values.
+    """
+    aggregates, rows = [F.count(F.lit(1)).alias("_n")], []
+    sources: dict[str, Column] = {}
+    total = F.col("_n")
+    for i, check in enumerate(checks):
+        if isinstance(check, Check):
+            bad = F.col(f"_c{i}")
+            aggregates.append(F.count_if(check.bad).alias(f"_c{i}"))
+            before, after = check.actual.split("{bad}")
+            actual = F.concat(F.lit(before), bad.cast("string"), F.lit(after))
+            rows.append((check.name, F.lit(check.expected), actual, total, bad, bad == 0))
+        elif isinstance(check, Rows):
+            sources[f"_s{i}"] = _count(check.source)
+            source = F.col(f"_s{i}")
+            failed = F.abs(source - total) if check.exact else F.greatest(F.lit(0).cast("bigint"), source - total)
+            expected = F.concat(F.lit("" if check.exact else ">= "), source.cast("string"))
+            rows.append((check.name, expected, total.cast("string"), source, failed, failed == 0))
+        else:
+            want = sorted(check.expected)
+            cell = F.col(check.column)
+            aggregates += [F.bool_or(cell == v).alias(f"_v{i}_{k}") for k, v in enumerate(want)]
+            # NULL is a value of its own among the others.
+            aggregates.append(F.count_distinct(F.when(~cell.isin(want), cell)).alias(f"_o{i}"))
+            aggregates.append(F.bool_or(cell.isNull()).alias(f"_z{i}"))
+            other = F.col(f"_o{i}") + F.when(F.col(f"_z{i}"), 1).otherwise(0)
+            found = F.array_compact(F.array(*[F.when(F.col(f"_v{i}_{k}"), F.lit(v)) for k, v in enumerate(want)]))
+            ok = (F.size(found) == len(want)) & (other == 0)
+            more = F.when(other > 0, F.concat(F.lit(" +"), other.cast("string"), F.lit(" other"))).otherwise("")
+            actual = F.concat(F.array_join(found, ","), more)
+            rows.append((check.name, F.lit(",".join(want)), actual, total, F.when(ok, 0).otherwise(1).cast("bigint"), ok))
+    # First the counts, then the rows: an expression is worked out where its inputs have names.
+    counted = df.agg(*aggregates).withColumns(sources)
+    listed = F.array(*[F.struct(*[v.alias(c) for v, c in zip((F.lit(r[0]), *r[1:]), RESULT_COLUMNS, strict=True)]) for r in rows])
+    return counted.select(F.explode(listed).alias("r")).select("r.*")
+
+
 def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """One scan, one row per check."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_if(c.bad).alias(f"_c{i}") for i, c in enumerate(checks)]
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c.name).alias("check_name"),
-                F.lit(c.expected).alias("expected"),
-                F.concat(
-                    F.lit(c.actual.split("{bad}")[0]), F.col(f"_c{i}").cast("string"), F.lit(c.actual.split("{bad}")[1])
-                ).alias("actual"),
-                F.col("_n").alias("rows_checked"),
-                F.col(f"_c{i}").alias("rows_failed"),
-                (F.col(f"_c{i}") == 0).alias("passed"),
-            )
-            for i, c in enumerate(checks)
-        ]
-    )
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
+    """Counting checks: one scan, one row per check."""
+    return fused_checks(df, checks)
 
 
 def _count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def _two_counts(staged: DataFrame, source: DataFrame) -> DataFrame:
-    return staged.agg(F.count(F.lit(1)).alias("_a")).withColumn("_s", _count(source))
-
-
 def no_silent_drops(staged: DataFrame, source: DataFrame, name: str) -> DataFrame:
     """The staged table must not have fewer rows than its source."""
-    a, s = F.col("_a"), F.col("_s")
-    return _two_counts(staged, source).select(
-        F.lit(name).alias("check_name"),
-        F.concat(F.lit(">= "), s.cast("string")).alias("expected"),
-        a.cast("string").alias("actual"),
-        s.alias("rows_checked"),
-        F.greatest(F.lit(0).cast("bigint"), s - a).alias("rows_failed"),
-        (a >= s).alias("passed"),
-    )
+    return fused_checks(staged, [Rows(name, source, exact=False)])
 
 
 def row_parity(staged: DataFrame, source: DataFrame, name: str) -> DataFrame:
     """Both tables must have the same number of rows."""
-    a, s = F.col("_a"), F.col("_s")
-    return _two_counts(staged, source).select(
-        F.lit(name).alias("check_name"),
-        s.cast("string").alias("expected"),
-        a.cast("string").alias("actual"),
-        s.alias("rows_checked"),
-        F.abs(s - a).alias("rows_failed"),
-        (a == s).alias("passed"),
-    )
+    return fused_checks(staged, [Rows(name, source, exact=True)])
 
 
 def value_set(df: DataFrame, column: str, expected: list[str], name: str) -> DataFrame:
-    """The column's distinct values must be exactly ``expected``.
-
-    Only expected values are named one by one, the rest are counted, so the
-    result stays small for a column with millions of values.
-    """
-    want = sorted(expected)
-    distinct = df.select(column).distinct()
-    verdict = distinct.agg(
-        F.array_sort(F.collect_list(F.when(F.col(column).isin(want), F.col(column)))).alias("_found"),
-        F.count_if(~F.coalesce(F.col(column).isin(want), F.lit(False))).alias("_other"),
-    ).withColumn("_n", _count(df))
-    ok = (F.size("_found") == len(want)) & (F.col("_other") == 0)
-    return verdict.select(
-        F.lit(name).alias("check_name"),
-        F.lit(",".join(want)).alias("expected"),
-        F.concat(
-            F.array_join("_found", ","),
-            F.when(F.col("_other") > 0, F.concat(F.lit(" +"), F.col("_other").cast("string"), F.lit(" other"))).otherwise(""),
-        ).alias("actual"),
-        F.col("_n").alias("rows_checked"),
-        F.when(ok, 0).otherwise(1).cast("bigint").alias("rows_failed"),
-        ok.alias("passed"),
-    )
+    """The column's distinct values must be exactly ``expected``."""
+    return fused_checks(df, [Values(name, column, expected)])
 
 
 def non_empty(df: DataFrame, name: str) -> DataFrame:
@@ -193,26 +194,26 @@ def gate(results: DataFrame) -> DataFrame:
 def staging_checks(stg_txn: DataFrame, src_txn: DataFrame, stg_cust: DataFrame, src_cust: DataFrame) -> DataFrame:
     """The ten checks on the staging tables."""
     return union_checks(
-        run_checks(
+        fused_checks(
             stg_txn,
             [
                 not_null("stg_txn_amount_usd_not_null", "amount_usd"),
                 not_null("stg_txn_net_amount_usd_not_null", "net_amount_usd"),
                 non_negative("stg_txn_amount_usd_nonneg", "amount_usd"),
                 zero_when("stg_txn_reversal_net_zero", "is_reversal", "net_amount_usd"),
+                Rows("stg_txn_no_silent_drops", src_txn, exact=False),
             ],
         ),
-        no_silent_drops(stg_txn, src_txn, "stg_txn_no_silent_drops"),
-        run_checks(
+        fused_checks(
             stg_cust,
             [
                 not_null("stg_cust_full_name_not_null", "full_name"),
                 not_null("stg_cust_age_not_null", "age"),
                 not_null("stg_cust_branch_region_not_null", "branch_region"),
                 in_range("stg_cust_age_18_120", "age", 18, 120),
+                Rows("stg_cust_one_to_one_with_src", src_cust, exact=True),
             ],
         ),
-        row_parity(stg_cust, src_cust, "stg_cust_one_to_one_with_src"),
     )
 
 
@@ -225,8 +226,6 @@ def fact_checks(fact: DataFrame, src_cust: DataFrame, as_of) -> DataFrame:
     nulls.expected, nulls.actual = "0 NULLs in (risk_score, risk_tier, volume_percentile)", "{bad} NULL rows"
     volume = non_negative("L2_DQ_05", "total_txn_volume_usd_90d")
     volume.expected, volume.actual = "total_txn_volume_usd_90d >= 0", "{bad} negative rows"
-    return union_checks(
-        run_checks(day, [score, nulls, volume]),
-        row_parity(day, src_cust, "L2_DQ_03"),
-        value_set(day, "risk_tier", ["HIGH", "LOW", "MEDIUM"], "L2_DQ_04"),
-    )
+    parity = Rows("L2_DQ_03", src_cust, exact=True)
+    tiers = Values("L2_DQ_04", "risk_tier", ["HIGH", "LOW", "MEDIUM"])
+    return fused_checks(day, [score, nulls, parity, tiers, volume])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerline.functions.values import PENDING
@@ -234,6 +236,43 @@ def _refs(t):
     return named.unionByName(stars), base
 
 
+SCOPED = """
+inside AS (SELECT p_partkey k, p_type ty FROM part WHERE p_partkey > 0),
+edges AS (
+  SELECT k, 'n' || unnest([k // 2, k // 3]) ref, 'v' col FROM inside WHERE ty IN ('ECONOMY', 'STANDARD') UNION SELECT k, 'n' || (k // 3), 'v' FROM inside WHERE ty IN ('PROMO', 'SMALL')
+  UNION SELECT k, 'n' || (k // 2), 'v' FROM inside WHERE ty = 'MEDIUM' AND k % 10 <> 0 UNION SELECT k, 'q', 'w' FROM inside WHERE ty = 'LARGE'),
+ends AS (SELECT 'n' || p_partkey node FROM part WHERE p_size > 25),
+w AS (SELECT 'n' || k target, ref node, col FROM edges JOIN inside USING (k) WHERE ty NOT IN ('PROMO', 'ECONOMY')
+  UNION SELECT w.target, e.ref, e.col FROM w JOIN edges e ON 'n' || e.k = w.node AND w.col = 'v' WHERE w.node NOT IN (SELECT node FROM ends))
+SELECT target AS target_node, 'v' AS target_column, node AS source_table, col AS source_column FROM w
+WHERE node IN (SELECT node FROM ends) OR node NOT IN (SELECT 'n' || k FROM inside)"""
+
+
+@query("resolve_scoped", f"WITH RECURSIVE {SCOPED}")
+def _(t):
+    """Each part's node has two tables in scope; its type decides how it names them: stars of which the first counts, bare names, aliases in capitals, an unknown alias, constants."""
+    inner = t.part.where("p_partkey > 0").selectExpr("p_partkey AS k", "p_type AS ty", "concat('n', p_partkey) AS node")
+    scope = inner.selectExpr(
+        "node", "inline(array(struct(1 AS ordinal, 'a' AS alias, concat('n', k div 2) AS table), struct(2 AS ordinal, 'B' AS alias, concat('N', k div 3) AS table)))"
+    )
+    star, name = "'*' AS column", "'v' AS column"
+    kinds = [
+        ("PROMO", [(star, "'b'", "'*'"), (star, "'a'", "'*'")]),
+        ("ECONOMY", [(star, "NULL", "'*'"), (star, "'a'", "'*'")]),
+        ("STANDARD", [(name, "NULL", "'v'")]),
+        ("MEDIUM", [(name, "'A'", "IF(k % 10 = 0, NULL, 'v')"), (name, "'b'", "'v'")]),
+        ("SMALL", [(name, "concat('N', k div 3)", "'v'")]),
+        ("LARGE", [(name, "'q'", "'w'")]),
+    ]
+    rows = [
+        inner.where(F.col("ty") == kind).selectExpr("node", f"{i} AS position", column, f"CAST({qualifier} AS STRING) AS qualifier", f"CAST({ref} AS STRING) AS ref_column")
+        for kind, listed in kinds
+        for i, (column, qualifier, ref) in enumerate(listed)
+    ]
+    base = t.part.where("p_size > 25").selectExpr("concat('n', p_partkey) AS name")
+    return G.resolve_to_base(G.scoped_references(reduce(lambda a, b: a.unionByName(b), rows), scope), base)
+
+
 @query("resolve_to_base", f"WITH RECURSIVE {REFS} SELECT target AS target_node, 'v' AS target_column, node AS source_table, 'v' AS source_column FROM leaves")
 def _(t):
     return G.resolve_to_base(*_refs(t))

@@ -194,6 +194,18 @@ def _(t):
     return st.written_log(t).select(*LOG_COLUMNS)
 
 
+@query("read_runs", st.with_log("SELECT run_id, event, stage, ts, duration_ms, passed, rows_failed FROM log WHERE run_id IN ('run_1', 'run_17', 'run_x')"))
+def _(t):
+    """Three runs of a log that was appended to twice and then packed."""
+    path, packed = scratch_path(t.spark, "log"), scratch_path(t.spark, "log")
+    events = st.log_events(t).select(*E.FIELDS)
+    early = F.col("ts") < "2024-01-15"
+    E.append_events(events.where(early), path)
+    E.append_events(events.where(~early), path)
+    E.compact_log(t.spark, path, packed)
+    return E.read_event_log(t.spark, packed, ["run_1", "run_17", "run_x"]).select(*LOG_COLUMNS)
+
+
 @query("latest_log", "SELECT 'run=b' AS log, COUNT(*) AS events FROM events WHERE event_type <> 'click'")
 def _(t):
     path = scratch_path(t.spark, "log")
@@ -201,8 +213,9 @@ def _(t):
     click = F.col("event") == "stage_complete"
     E.append_events(events.where(click).withColumn("run_id", F.lit("a")), path)
     E.append_events(events.where(~click).withColumn("run_id", F.lit("b")), path)
-    newest = E.latest_log(t.spark, path).select(F.regexp_extract("log_file", r"/(run=[^/]+)/", 1).alias("log"))
-    lines = E.read_event_log(t.spark, path).groupBy(F.regexp_extract("log_file", r"/(run=[^/]+)/", 1).alias("log")).agg(F.count(F.lit(1)).alias("events"))
+    name = F.concat(F.lit("run="), F.regexp_extract("log_file", r"/run_from=r-([^/]+)/", 1)).alias("log")
+    newest = E.latest_log(t.spark, path).select(name)
+    lines = E.read_event_log(t.spark, path).groupBy(name).agg(F.count(F.lit(1)).alias("events"))
     return lines.join(newest, "log")
 
 

@@ -245,14 +245,13 @@ def _(t):
 
 @query(
     "table_fingerprint",
-    """WITH h AS (SELECT md5(concat_ws('|', COALESCE(CAST(c_custkey AS VARCHAR), '_NULL_'), COALESCE(c_name, '_NULL_'),
+    """WITH h AS (SELECT sha256(concat_ws('|', COALESCE(CAST(c_custkey AS VARCHAR), '_NULL_'), COALESCE(c_name, '_NULL_'),
         COALESCE(CAST(c_nationkey AS VARCHAR), '_NULL_'), COALESCE(CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR), '_NULL_'),
         COALESCE(c_mktsegment, '_NULL_'))) h FROM customer),
-      n AS (SELECT h, h || ':' || COUNT(*) x FROM h GROUP BY h),
-      l6 AS (SELECT substr(h, 1, 6) p, md5(string_agg(x, chr(10) ORDER BY x)) d FROM n GROUP BY 1),
-      l4 AS (SELECT substr(p, 1, 4) p, md5(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) d FROM l6 GROUP BY 1),
-      l2 AS (SELECT substr(p, 1, 2) p, md5(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) d FROM l4 GROUP BY 1)
-    SELECT md5(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS fingerprint FROM l2""",
+      w AS (SELECT ('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT a, ('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT b,
+        ('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT c, ('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT d FROM h)
+    SELECT sha256(COUNT(*) || ':' || SUM(a) % 18446744073709551616 || ':' || SUM(b) % 18446744073709551616 || ':'
+      || SUM(c) % 18446744073709551616 || ':' || SUM(d) % 18446744073709551616) AS fingerprint FROM w""",
 )
 def _(t):
     return table_fingerprint(t.customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)")), exclude=())

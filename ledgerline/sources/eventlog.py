@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import pin
+
 # Every field is read as text first, so one odd value cannot void its line.
 FIELDS = [
     "ts", "level", "event", "stage", "stage_name", "run_id", "status", "duration_ms", "output_row_count", "output_table",
@@ -46,25 +50,29 @@ def typed_field(name: str) -> Column:
     return text
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+def read_event_log(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
     """Events of one or many log files.
 
     ``log_file`` names the file; ``pos`` orders lines by time, then file, then place
     in the file (start of the split, then the row within it), so it does not
-    depend on how files are packed into tasks.
+    depend on how files are packed into tasks.  ``runs`` reads the named runs
+    only: of a log made by ``append_events``, just the folders whose range of
+    runs can hold one of them.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("log_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
+    if runs is None:
+        files = spark.read.option("recursiveFileLookup", "true").text(path)
+    else:
+        files = spark.read.text(path).where(
+            reduce(lambda x, y: x | y, [(F.col(FIRST_RUN) <= _bound(r)) & (F.col(LAST_RUN) >= _bound(r)) for r in runs], F.lit(False))
         )
+    lines = files.select(
+        "value",
+        F.col("_metadata.file_path").alias("log_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    events = parse_lines(lines)
-    return events.withColumn("pos", F.struct("ts", "log_file", "_block", "_row")).drop("_block", "_row")
+    events = parse_lines(lines).withColumn("pos", F.struct("ts", "log_file", "_block", "_row")).drop("_block", "_row")
+    return events if runs is None else events.where(F.col("run_id").isin(runs))
 
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -82,13 +90,35 @@ def latest_log(spark: SparkSession, path: str) -> DataFrame:
     return log_files(spark, path).agg(F.max_by("log_file", F.struct("modified_at", "log_file")).alias("log_file"))
 
 
+#: Folder levels of a log: the range of runs of the files below.  The mark keeps a run's name text, whatever it looks like.
+FIRST_RUN, LAST_RUN = "run_from", "run_to"
+
+
+def _bound(run) -> Column:
+    return F.concat(F.lit("r-"), run if isinstance(run, Column) else F.lit(run))
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    """Append event rows as JSON lines, one folder per run; NULL fields are left out.
+    """Append event rows as JSON lines, many runs a file; NULL fields are left out.
 
-    Rows meet by run before they are written, in partitions that adaptive
-    execution cuts to size, so a run gets few files and a large one no single task.
+    Rows are dealt by ranges of run and time, in partitions that adaptive
+    execution packs to size: a small append is one file, and a hot run is cut
+    over several.  Each file lies in a folder named by the first and the last run
+    in it, so reading one run opens only the files that can hold it.  Rows
+    without a run come first.
     """
-    events.withColumn("run", F.col("run_id")).hint("rebalance", F.col("run")).write.mode("append").partitionBy("run").json(path)
+    dealt = events.repartitionByRange("run_id", "ts").sortWithinPartitions("run_id", "ts")
+    # Pinned: the ranges are read off the rows that are then written.
+    dealt = pin(dealt.withColumn("_part", F.spark_partition_id()))
+    run = _bound(F.coalesce("run_id", F.lit("")))
+    ranges = dealt.groupBy("_part").agg(F.min(run).alias(FIRST_RUN), F.max(run).alias(LAST_RUN))
+    placed = dealt.join(F.broadcast(ranges), "_part").drop("_part")  # a row a partition
+    placed.write.mode("append").partitionBy(FIRST_RUN, LAST_RUN).json(path)
+
+
+def compact_log(spark: SparkSession, path: str, target: str) -> None:
+    """Write the events of a log of many small appends anew, packed to size, into the empty folder ``target``."""
+    append_events(read_event_log(spark, path).select(*FIELDS), target)
 
 
 # Keys of a lineage manifest event.
