@@ -88,32 +88,36 @@ def _weighted(found: np.ndarray, weighting: str) -> tuple[np.ndarray, np.ndarray
     return elements, counts.astype(np.float64) if weighting == "count" else np.ones(len(elements))
 
 
-def _signatures(docs: DataFrame, weighting: str) -> DataFrame:
-    """(key, sig, bands) per distinct text with words; sig holds 16 bits a coordinate."""
+def _prints(keyed: DataFrame, weighting: str) -> DataFrame:
+    """``keyed`` (key, text, ...) less its text, with sig, bands and found; null for texts without words.
+
+    sig holds 16 bits a coordinate, found the sorted distinct shingle hashes of
+    32 bits.  The texts are read here only.
+    """
 
     def make():
         def compute(texts):
-            out: list[list] = [[], []]
+            out: list[list] = [[], [], []]
             for text in texts:
-                found = shingles(text)
-                if not len(found):
-                    out[0].append(None)
-                    out[1].append(None)
+                windows = shingles(text)
+                if not len(windows):
+                    for column in out:
+                        column.append(None)
                     continue
-                sig = signature(*_weighted(found, weighting))
+                sig = signature(*_weighted(windows, weighting))
                 rows = sig.reshape(BANDS, ROWS)
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     band = mix(band * _U(0xD1342543DE82EF95) + rows[:, r])
                 out[0].append((sig & _U(0xFFFF)).astype(np.uint16).tobytes())
                 out[1].append(band.view(np.int64).tolist())
+                out[2].append(np.unique(windows.astype(np.uint32)).tobytes())
             return out
 
         return compute
 
-    fields = [("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
-    made = append_columns(docs, ["text"], fields, make).drop("text").where("sig IS NOT NULL")
-    return stored(made.dropDuplicates(["key"]), "signatures")
+    fields = [("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("found", T.BinaryType())]
+    return stored(append_columns(keyed, ["text"], fields, make).drop("text"), "prints")
 
 
 def _key(text: Column) -> Column:
@@ -216,7 +220,8 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
         F.min_by(head, lot).alias("drawn"),
         F.max_by(head, F.struct("degree", lot)).alias("hub"),
     )
-    heads = heads.where("low <> high").select("bucket", F.explode(F.array_distinct(F.array("drawn", "hub"))).alias("head"))
+    chosen = F.array("drawn") if known is None else F.array_distinct(F.array("drawn", "hub"))
+    heads = heads.where("low <> high").select("bucket", F.explode(chosen).alias("head"))
     pairs = members.join(heads, "bucket").where("root <> head.root")
     return pairs.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"))
 
@@ -226,18 +231,15 @@ def _rest_blocks(members: DataFrame, known: DataFrame | None, sets: DataFrame) -
 
     A component that fills a block in its bucket has blocks of its own; the
     others share blocks.  Every two members of different components meet in
-    exactly one pair (x, y) of blocks.  Buckets with the same members count
-    once.
+    exactly one pair (x, y) of blocks.
     """
     members = members.where(F.col("n") > SMALL).select("bucket", "key", "n")
     if known is None:
         members = members.withColumn("root", F.col("key"))
     else:
         members = members.join(known.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    marks = [F.expr(f"bit_xor(xxhash64(key, {i}))").alias(f"mark{i}") for i in (1, 2)]
-    spread = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n"), *marks)
-    several = spread.where("low <> high").groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket"))
-    members = members.join(several.select("bucket"), "bucket", "left_semi")
+    spread = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    members = members.join(spread.where("low <> high").select("bucket"), "bucket", "left_semi")
     size = sets.select("key", (F.lit(1 / BLOCK) + F.length("found") / BLOCK_BYTES).alias("size"))
     members = stored(members.select("bucket", "key", "root").join(size, "key"), "rest")
     parts = F.ceil("size").cast("int")
@@ -293,13 +295,22 @@ def _rest_links(
     return groups.applyInPandas(_linked(least, threshold), "a binary, b binary").distinct()
 
 
-def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
-    """(key, root) for the texts of ``keyed`` (key, text) that have a near-duplicate with another key."""
-    signatures = _signatures(keyed, weighting)
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """(bucket, key, n): texts that share a band, n of them; of buckets with the same members one stands for all."""
     members = signatures.select("key", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "key", "n"), "buckets")
-    sets = _sets(keyed, members)
+    marks = [F.expr(f"bit_xor(xxhash64(key, {i}))").alias(f"mark{i}") for i in (1, 2)]
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    different = shared.groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket"))
+    return stored(members.join(different.select("bucket", "n"), "bucket").select("bucket", "key", "n"), "buckets")
+
+
+def near_duplicate_keys(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, root) for the texts of ``prints`` (key, sig, bands, found) that have a near-duplicate with another key."""
+    own = prints.where("sig IS NOT NULL")
+    signatures = stored(own.select("key", "sig", "bands").dropDuplicates(["key"]), "signatures")
+    members = _buckets(signatures)
+    wanted = own.select("key", "found").join(members.select("key").distinct(), "key", "left_semi")
+    sets = stored(wanted.dropDuplicates(["key"]), "shingle-sets")
     least = min(ESTIMATE, threshold - 0.15)
     near = roots = known = tested = None
     turn = 0
@@ -325,16 +336,6 @@ def near_duplicate_keys(keyed: DataFrame, threshold: float = THRESHOLD, weightin
     return roots if roots is not None else members.select("key", F.col("key").alias("root")).limit(0)
 
 
-def _sets(keyed: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, found): sorted distinct shingle hashes, 32 bits each, of the texts that share a bucket with another."""
-
-    def make():
-        return lambda texts: [[np.unique(shingles(t).astype(np.uint32)).tobytes() for t in texts]]
-
-    wanted = keyed.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    return stored(append_columns(wanted, ["text"], [("found", T.BinaryType())], make).drop("text"), "shingle-sets")
-
-
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
     """``docs`` with class_key: rows of one class have it in common.
 
@@ -362,8 +363,12 @@ def _classed(docs: DataFrame, kept: list[str], threshold: float, weighting: str
     """(row, class_key) per row of ``docs``; row holds the ``kept`` columns, whatever their names."""
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     keyed = docs.select(row, "text", _key(F.col("text")).alias("key"))
-    roots = near_duplicate_keys(keyed.select("key", "text"), threshold, weighting)
-    joined = keyed.select("row", "key").join(roots, "key", "left")
+    if "text" in kept:
+        prints, rows = _prints(keyed.select("key", "text"), weighting), keyed
+    else:
+        prints = rows = _prints(keyed, weighting)
+    roots = near_duplicate_keys(prints, threshold)
+    joined = rows.select("row", "key").join(roots, "key", "left")
     return joined.select("row", F.hex(F.coalesce("root", "key")).alias("class_key"))
 
 
