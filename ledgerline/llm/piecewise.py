@@ -229,7 +229,7 @@ def _with_next(df: DataFrame, fields: list[tuple[str, T.DataType]], compute: Cal
     return made.where("NOT is_last").select("_row", *names).union(late.select("_row", *names))
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
+def compare_with_next(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, ...) with fingerprints of its text and of its edited text, and how like they are.
 
     The edited text has its last third replaced by the beginning of the next
@@ -237,7 +237,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     last.  Adds n_chars (code points), edited_sha256, fingerprint,
     edited_fingerprint, near_edited (likeness of the text's and the edited
     text's fingerprint) and near_next (of the text's and the next document's);
-    columns of these names are replaced, others stay as they are.
+    columns of these names are replaced, others stay as they are.  Without
+    ``keep_text`` the texts are left out, and travel once instead of twice.
 
     Null is the empty text.  Texts under three code points are not changed by
     the edit.  Rows without doc_id come last, rows of one doc_id are in the
@@ -252,7 +253,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         ("near_edited", T.DoubleType()),
         ("near_next", T.DoubleType()),
     ]
-    packed = Packed(docs, [n for n, _ in fields])
+    packed = Packed(docs, [*(n for n, _ in fields), *([] if keep_text else ["text"])])
 
     def compute(texts: list, nexts: list) -> list[list]:
         texts = [t or "" for t in texts]

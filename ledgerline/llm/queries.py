@@ -172,7 +172,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op11_piecewise_hash")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
-    found = piecewise.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+    found = piecewise.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
