@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import os
 import re
 from collections import Counter
@@ -512,6 +513,74 @@ def test_terms_that_reveal_are_found(spark):
     assert clean[30] == rows[30][1]
 
 
+def test_terms_anywhere_in_a_text_are_found_and_masked_everywhere(spark):
+    rng = cases.random.Random(5)
+    common = cases.words(rng, 40)
+    rows = [(i, " ".join(rng.choice(common) for _ in range(30))) for i in range(80)]
+    for i in range(6):
+        rows[i] = (i, f"{rows[i][1]} please write to joe@x.org in one of these cases, then ask for {rng.choice(common)} Zorblax. {rng.choice(common)} 李明 {rng.choice(common)} Zorblax.")
+    rows.append((80, "nothing here but zorblax himself"))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = disclosure.sanitise(table).toPandas().set_index("doc_id").text
+    for i in range(6):
+        assert "zorblax" not in clean[i].lower() and "李明" not in clean[i]
+        assert "please write to [EMAIL] in one of these cases, then ask for" in clean[i]
+    assert clean[80] == "nothing here but [TERM] himself"
+    assert all(clean[i] == rows[i][1] for i in range(6, 80))
+
+
+def brute_revealing(texts, threshold, support):
+    """Revealing words of a corpus, from the definition."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    holds, words, around, named = {}, {}, {}, set()
+    for d, text in enumerate(texts):
+        spans = brute_spans(text)
+        for s, k, e in spans:
+            holds.setdefault((k, text[s:e]), set()).add(d)
+        found = list(word.finditer(text or ""))
+        low = ["", *["".join(c.lower() if c.isascii() else c for c in m.group()) for m in found], ""]
+        for i, m in enumerate(found):
+            words.setdefault(low[i + 1], set()).add(d)
+            covered = any(s < m.end() and m.start() < e for s, _, e in spans)
+            if not covered and (len(m.group()) >= 3 or not m.group().isascii()):
+                around.setdefault((d, low[i + 1]), (low[i], low[i + 2]))
+                if m.group() != m.group().lower() or any(c.isdigit() or c.lower() == c.upper() for c in m.group()):
+                    named.add((d, low[i + 1]))
+    out = set()
+    for rows in holds.values():
+        for w, seen in words.items():
+            both = [d for d in rows if (d, w) in around]
+            if len({texts[d] for d in both}) < support or len(rows) == len(texts):
+                continue
+            own = math.log(len(texts) / len(rows))
+            sides = [{around[d, w][x] for d in both} for x in (0, 1)]
+            free = any((d, w) in named for d in both) or min(map(len, sides)) > 1
+            if free and math.log(len(texts) * len(both) / (len(seen) * len(rows))) >= threshold * own:
+                out.add(w)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_revealing_terms_against_the_definition(spark, seed):
+    rng = cases.random.Random(seed)
+    pool = [*cases.words(rng, 60), *(f"Name{chr(97 + i)}" for i in range(20)), "\u674e", "q7"]
+    mails = [f"m{i}@x.org" for i in range(6)]
+    texts = []
+    for _ in range(60):
+        text = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        if rng.random() < 0.6:
+            mail = rng.randrange(6)
+            text += [mails[mail], f"Name{chr(97 + mail)}", f"w{mail}ord", rng.choice(pool)]
+        texts.append(" ".join(text))
+    texts += texts[:10]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set()
+    for row in disclosure.find_personal_data(table).collect():
+        got |= {texts[row.doc_id][x.s : x.e].lower() for x in row.spans if x.k == 4}
+    want = brute_revealing(texts, disclosure.DISCLOSURE, disclosure.SUPPORT)
+    assert got == want and want
+
+
 def test_personal_data_edges(spark, docs):
     got = disclosure.find_personal_data(docs).toPandas()
     assert len(got) == len(cases.rows())
