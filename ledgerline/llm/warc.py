@@ -24,7 +24,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import stored
@@ -33,6 +33,8 @@ from ledgerline.session import scratch_path
 #: Payloads of fewer bytes are never made revisits.
 MIN_REVISIT = 0
 LEVEL = 4
+#: Bytes of an archive beyond which its task goes on with another.
+ARCHIVE_BYTES = 256 << 20
 _CHUNK = 1 << 20
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -84,21 +86,32 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _inflated(stream: BinaryIO) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, a bounded piece at a time."""
-    inflate = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, a bounded piece at a time.
+
+    Zero bytes after a member are padding.  A member that ends before its
+    checksum, or does not match it, is an error.
+    """
+    inflate = None
     data = stream.read(_CHUNK)
     while data:
+        if inflate is None:
+            data = data.lstrip(b"\0") or stream.read(_CHUNK)
+            if not data or data[0] == 0:
+                continue
+            inflate = zlib.decompressobj(31)
         piece = inflate.decompress(data, _CHUNK)
         if piece:
             yield piece
         if inflate.eof:
-            data = inflate.unused_data or stream.read(_CHUNK)
-            inflate = zlib.decompressobj(31)
+            data, inflate = inflate.unused_data or stream.read(_CHUNK), None
         else:
             data = inflate.unconsumed_tail or stream.read(_CHUNK)
-    tail = inflate.flush()
-    if tail:
-        yield tail
+    if inflate is not None:
+        # What is left inside goes out a piece at a time, too: only the end may need no more input.
+        while piece := inflate.decompress(b"", _CHUNK):
+            yield piece
+        if not inflate.eof:
+            raise ValueError("gzip stream ends early")
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -163,27 +176,45 @@ def record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write ``records`` (page_id, url, payload, refers_to) as whole-file gzip streams; (path, records) per file."""
+    """Write ``records`` (page_id, url, payload, refers_to) as whole-file gzip streams; (path, records) per file.
+
+    A task writes one file after the other, each of about ``ARCHIVE_BYTES`` at most.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n, out, deflate = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        out = None
+
+        def closed():
+            out.write(deflate.flush())
+            out.close()
+            return pa.RecordBatch.from_pylist([{"path": path, "records": n}])
+
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "refers_to")]
             for row in zip(*columns, strict=True):
                 if out is None:
+                    path, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     files, name = _open(path)
                     files.create_dir(name.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(name, compression=None)
-                out.write(deflate.compress(record(*row)))
-                n += 1
+                data = deflate.compress(record(*row))
+                out.write(data)
+                n, size = n + 1, size + len(data)
+                if size >= ARCHIVE_BYTES:
+                    yield closed()
+                    out = None
         if out is not None:
-            out.write(deflate.flush())
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "records": n}])
+            yield closed()
 
     return stored(records.mapInArrow(write, "path string, records long"), "archives")
 
 
+def one_file_a_task(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, ...) in as many partitions as files, in ranges of path; the number is given, so few bytes stay in many tasks."""
+    return rows.repartitionByRange(max(1, rows.select("path").distinct().count()), "path")
+
+
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Normalise each file of ``archives`` (path): (path, offset, length) of every record in the new files."""
 
@@ -200,8 +231,7 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                         {"path": [target] * len(part), "offset": [o for o, _ in part], "length": [n for _, n in part]}
                     )
 
-    spread = archives.select("path").repartition("path")
-    return stored(spread.mapInArrow(run, "path string, offset long, length long"), "warc-index")
+    return stored(one_file_a_task(archives.select("path")).mapInArrow(run, "path string, offset long, length long"), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -235,7 +265,8 @@ def read_records(index: DataFrame) -> DataFrame:
                     rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, _READ)
 
-    return index.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    ordered = one_file_a_task(index.select("path", "offset", "length")).sortWithinPartitions("path", "offset")
+    return ordered.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 _READ = pa.schema(
@@ -251,6 +282,16 @@ _READ = pa.schema(
 )
 
 
+def _with_scheme(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark resolves it by, so that tasks write where Spark would."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    written = stored(spark.range(1), "warc-root").inputFiles()[0]
+    scheme, _, rest = written.partition(":")
+    host = rest[2:].partition("/")[0] if rest.startswith("//") else ""
+    return f"{scheme}://{host}/{folder.lstrip('/')}"
+
+
 def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Write ``pages`` as archives, normalise them and read them back: one row per page, see ``read_records``.
 
@@ -258,8 +299,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     null page_id never is the smallest.  Rows that repeat the smallest page_id
     and its payload are all responses.  An empty table writes no file and gives
     an empty result.  Other columns are ignored.  ``folder`` is the shared
-    scratch folder unless named; it gets ``raw`` and ``records``.
+    scratch folder unless named; it gets ``raw`` and ``records``.  Without a scheme
+    it lies in the file system where Spark writes its scratch tables.
     """
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = _with_scheme(pages.sparkSession, folder or scratch_path(pages.sparkSession, "warc"))
     written = write_archives(record_types(pages, min_bytes), f"{folder}/raw")
     return read_records(normalise_archives(written, f"{folder}/records"))

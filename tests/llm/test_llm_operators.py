@@ -200,6 +200,36 @@ def test_normaliser_takes_one_stream_or_many_members(tmp_path):
         warc.normalise_file(str(tmp_path / "cut.gz"), str(tmp_path / "cut.out"))
 
 
+def test_normaliser_wants_whole_members_and_skips_padding(tmp_path):
+    data = b"".join(warc.record(i, "u", bytes([i]) * 300_000, None) for i in range(5))
+    whole = gzip.compress(data)
+    for cut in (whole[:-8], whole[:-1], gzip.compress(data[: len(data) // 2]) + whole[:20]):
+        (tmp_path / "cut.gz").write_bytes(cut)
+        with pytest.raises(ValueError):
+            warc.normalise_file(str(tmp_path / "cut.gz"), str(tmp_path / "cut.out"))
+    wrong = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    (tmp_path / "wrong.gz").write_bytes(wrong)
+    with pytest.raises(Exception, match="check"):
+        warc.normalise_file(str(tmp_path / "wrong.gz"), str(tmp_path / "wrong.out"))
+    for padded in (whole + bytes(3_000_000), whole + bytes(7) + whole + bytes(1)):
+        (tmp_path / "padded.gz").write_bytes(padded)
+        assert len(warc.normalise_file(str(tmp_path / "padded.gz"), str(tmp_path / "padded.out"))) in (5, 10)
+
+
+def test_archives_are_rewritten_and_read_one_a_task(spark, tmp_path):
+    pages = spark.range(0, 60, 1, 6).selectExpr("id AS page_id", "'u' AS url", "encode(concat('p', id), 'UTF-8') AS payload", "CAST(NULL AS BIGINT) AS refers_to")
+    written = warc.write_archives(pages, str(tmp_path / "raw"))
+    assert written.count() == len(os.listdir(tmp_path / "raw")) == 6
+    spread = warc.one_file_a_task(written)
+    sizes = [len(part) for part in spread.select("path").rdd.glom().collect()]
+    assert len(sizes) == 6 and max(sizes) <= 2
+    index = warc.normalise_archives(written, str(tmp_path / "records"))
+    read = warc.read_records(index)
+    assert read.rdd.getNumPartitions() == 6
+    assert sorted(r.page_id for r in read.select("page_id").collect()) == list(range(60))
+    assert warc._with_scheme(spark, str(tmp_path)).startswith("file:///")
+
+
 # --- decontamination -------------------------------------------------------
 
 
