@@ -188,6 +188,20 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _joined_up(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (key, root) with new ``links`` (a, b): only the roots at their ends are joined anew."""
+    if roots is None:
+        return components(links)
+    for side in ("a", "b"):
+        ends = roots.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}"))
+        links = links.join(ends, side, "left").withColumn(side, F.coalesce(f"root_{side}", side)).drop(f"root_{side}")
+    merged = components(links.where("a <> b").distinct())
+    changed = merged.select(F.col("key").alias("root"), F.col("root").alias("new"))
+    moved = roots.join(changed, "root", "left").select("key", F.coalesce("new", "root").alias("root"))
+    # A key that was alone stands for itself among the ends and is not yet among the roots.
+    return stored(moved.union(merged.join(roots, "key", "left_anti").select("key", "root")), "roots")
+
+
 def _small_pairs(members: DataFrame) -> DataFrame:
     """All pairs inside the buckets of at most ``SMALL`` members."""
     listed = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("key").alias("ks"))
@@ -326,13 +340,13 @@ def near_duplicate_keys(prints: DataFrame, threshold: float = THRESHOLD) -> Data
         if not found.limit(1).count():
             break
         near = found if near is None else near.union(found)
-        roots = components(near)
+        roots = _joined_up(roots, found)
         ends = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
         known = stored(roots.join(ends, "key"), "known")
         turn += 1
     found = stored(_rest_links(members, known, signatures, sets, least, threshold), "near")
     if found.limit(1).count():
-        roots = components(found if near is None else near.union(found))
+        roots = _joined_up(roots, found)
     return roots if roots is not None else members.select("key", F.col("key").alias("root")).limit(0)
 
 
@@ -374,9 +388,16 @@ def _classed(docs: DataFrame, kept: list[str], threshold: float, weighting: str
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document with the smallest id of each near-duplicate class; one row a class, with the columns of ``docs``."""
-    classed = _classed(docs, docs.columns, threshold)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("text").alias("text"), _key(F.col("text")).alias("key"))
+    prints = _prints(keyed.select("key", "text", F.col("row.doc_id").alias("doc_id")), "set")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    # Who stays is found without the texts, and a class's row has one key: texts travel once, by it.
+    classed = prints.select("key", "doc_id").join(near_duplicate_keys(prints, threshold), "key", "left")
+    chosen = classed.groupBy(F.coalesce("root", "key").alias("class")).agg(F.min(F.struct(first.alias("first"), "key")).alias("of"))
+    rows = keyed.select("row", "key").join(chosen.select("of.key"), "key", "left_semi")
     rank = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"))
-    return classed.groupBy("class_key").agg(F.min_by("row", rank).alias("row")).select("row.*")
+    return rows.groupBy("key").agg(F.min_by("row", rank).alias("row")).select("row.*")
 
 
 def class_ids(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
