@@ -486,6 +486,25 @@ def test_language_edges(spark, docs):
     assert hyperdimensional.predict_language(empty(docs), prototypes).count() == 0
 
 
+# --- components joined round by round --------------------------------------
+
+
+def test_roots_joined_round_by_round_are_the_components(spark):
+    rng = cases.random.Random(11)
+    links = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(45)) if a != b]
+    root = list(range(60))
+    for a, b in links:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    roots = None
+    for part in (links[:15], links[15:20], links[20:]):
+        new = spark.createDataFrame([(bytes([min(p)]), bytes([max(p)])) for p in part], "a binary, b binary")
+        roots = dartminhash._joined_up(roots, new)
+    got = [(r.key[0], r.root[0]) for r in roots.collect()]
+    ends = {i for p in links for i in p}
+    assert len(got) == len(ends) and dict(got) == {i: root[i] for i in ends}
+
+
 # --- personal data ---------------------------------------------------------
 
 PATTERNS = {
