@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 5
 ESTIMATE = 0.65
 #: Buckets up to this size compare all their members at once, larger ones a few stars a round and then what is left.
 SMALL = 8
+#: Heads of larger buckets that a member is compared with a round, those with most bands in common; others follow in later rounds or with the rest.
+HEADS = 2
 #: Members, and bytes of shingle sets, of about one block when the rest of a large bucket is compared.
 BLOCK, BLOCK_BYTES = 256, 4_000_000
 
@@ -224,8 +226,6 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
     else:
         root, degree = F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")
         members = members.join(known, "key", "left").select("bucket", "key", root, degree)
-    # The same order in all buckets of a round: a group's members meet few heads, not one per band.
-    # What heads do not find is left to _rest_links.
     lot = F.xxhash64("key", F.lit(turn))
     head = F.struct("key", "root")
     heads = members.groupBy("bucket").agg(
@@ -236,8 +236,12 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
     )
     chosen = F.array("drawn") if known is None else F.array_distinct(F.array("drawn", "hub"))
     heads = heads.where("low <> high").select("bucket", F.explode(chosen).alias("head"))
-    pairs = members.join(heads, "bucket").where("root <> head.root")
-    return pairs.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"))
+    met = members.join(heads, "bucket").where("root <> head.root").select("key", F.col("head.key").alias("head"))
+    # Most bands in common first: a member meets HEADS heads a round, not one per band.  A key has two heads a band at most.
+    shared = met.repartition("key").groupBy("key", "head").agg(F.count("*").alias("bands"))
+    best = F.sort_array(F.collect_list(F.struct("bands", F.xxhash64("head", F.lit(turn)).alias("lot"), "head")), False)
+    pairs = shared.groupBy("key").agg(best.alias("best")).select("key", F.explode(F.slice("best", 1, HEADS)).alias("of"))
+    return pairs.select(F.least("key", "of.head").alias("a"), F.greatest("key", "of.head").alias("b"))
 
 
 def _rest_blocks(members: DataFrame, known: DataFrame | None, sets: DataFrame) -> DataFrame:
