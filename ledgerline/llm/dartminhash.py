@@ -32,6 +32,8 @@ ESTIMATE = 0.65
 SMALL = 8
 #: Heads of larger buckets that a member is compared with a round, those with most bands in common; others follow in later rounds or with the rest.
 HEADS = 2
+#: Links a pair below which a round with heads is the last one; it changes what finds a link, not which links there are.
+YIELD = 0.1
 #: Members, and bytes of shingle sets, of about one block when the rest of a large bucket is compared.
 BLOCK, BLOCK_BYTES = 256, 4_000_000
 
@@ -338,16 +340,21 @@ def near_duplicate_keys(prints: DataFrame, threshold: float = THRESHOLD) -> Data
             pairs = pairs.union(_small_pairs(members)).distinct()
         else:
             pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(_agreeing(pairs, signatures, least), "agreeing")
+        pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_similar(pairs, sets, threshold), "near")
-        if not found.limit(1).count():
+        agreeing = stored(_agreeing(pairs, signatures, least), "agreeing")
+        found = stored(_similar(agreeing, sets, threshold), "near")
+        links = found.count()
+        if not links:
             break
         near = found if near is None else near.union(found)
         roots = _joined_up(roots, found)
         ends = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
         known = stored(roots.join(ends, "key"), "known")
         turn += 1
+        # Both ways are exact; the rest is cheaper once heads seldom link.
+        if turn > 1 and links < YIELD * pairs.count():
+            break
     found = stored(_rest_links(members, known, signatures, sets, least, threshold), "near")
     if found.limit(1).count():
         roots = _joined_up(roots, found)
@@ -366,10 +373,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
     replaced.
 
     Copies meet in their key before any pair is made.  Small buckets compare
-    all members; large ones compare each member with a drawn head a round, from
-    the second on also with the member that has most links, and rounds go on
-    among large buckets that still hold several components, until a round finds
-    nothing.  What members of different components such buckets then still hold
+    all members; large ones draw a head a round, from the second on also the
+    member that has most links, and compare each member with the two heads it
+    has most bands in common with.  Rounds go on among large buckets that still
+    hold several components, until a round links few of its pairs.  What members of different components such buckets then still hold
     are compared with each other, all of them, in pairs of blocks of bounded
     size.  Only pairs with agreeing signatures come to the exact check.
     """
