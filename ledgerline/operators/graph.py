@@ -26,8 +26,11 @@ class _Steps:
         self.steps = pin(steps.distinct())
 
     def expand(self, frontier: DataFrame) -> DataFrame:
-        """Frontier rows moved one hop; adaptive execution cuts a node that is hot on either side."""
-        return frontier.join(self.steps, "node").drop("node").withColumnRenamed("next", "node")
+        """Frontier rows moved one hop; adaptive execution cuts a node that is hot on either side.
+
+        Merged, as a broadcast a level would take all that a long walk finds through the driver.
+        """
+        return frontier.join(self.steps.hint("merge"), "node").drop("node").withColumnRenamed("next", "node")
 
 
 def _hops(max_hops: int) -> int:
@@ -107,7 +110,7 @@ def trace_path(edges: DataFrame, roots: DataFrame) -> DataFrame:
     DEPENDS_ON edges are no flow.  A root that lies on a cycle is its own ancestor
     and descendant besides.
     """
-    flow = edges.where(F.col("label") != "DEPENDS_ON").select("src_id", "dst_id").distinct()
+    flow = pin(edges.where(F.col("label") != "DEPENDS_ON").select("src_id", "dst_id").distinct())
     up = reach(flow, roots, reverse=True).select("start", "node", F.lit("up").alias("direction"))
     down = reach(flow, roots).select("start", "node", F.lit("down").alias("direction"))
     own = roots.select("start").distinct().select("start", F.col("start").alias("node"), F.lit("root").alias("direction"))
@@ -325,8 +328,9 @@ def resolve_to_base(
 
     def expand(found: DataFrame, level: int) -> DataFrame:
         rows = found.where("NOT leaf").drop("leaf")
-        by_name = rows.join(named, ["node", "column"])
-        by_star = rows.join(has_name, ["node", "column"], "left_anti").join(star, "node")
+        # Merged as in ``_Steps``: no level passes through the driver.
+        by_name = rows.join(named.hint("merge"), ["node", "column"])
+        by_star = rows.join(has_name.hint("merge"), ["node", "column"], "left_anti").join(star.hint("merge"), "node")
         start = ["target_node", "target_column"]
         return by_name.select(
             *start, F.col("ref_node").alias("node"), F.col("ref_column").alias("column"), "leaf"

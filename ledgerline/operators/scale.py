@@ -95,7 +95,8 @@ def semi_naive(
     ``levels`` it ends there.
 
     Every level is a table of its own, bucketed by ``key``: a new one is compared
-    with those before by anti joins that move only the new rows, and what was
+    with those before by anti joins that move only the new rows (merges, never
+    broadcasts: nothing that was found goes to the driver), and what was
     seen is not written again, but for joining small parts to larger ones, where
     a row's part at least grows by half each time.  Bytes written thus grow with
     the rows found, not with levels times rows.  Keys must not be NULL.
@@ -108,7 +109,7 @@ def semi_naive(
     def unseen(rows: DataFrame) -> tuple[DataFrame, int]:
         rows = rows.repartition(spread, *key).dropDuplicates(key)
         for part, _ in parts:
-            rows = rows.join(part.select(*key), key, "left_anti")
+            rows = rows.join(part.select(*key).hint("merge"), key, "left_anti")
         return bucketed(rows.select(*first.columns), key, spread)
 
     found, n = unseen(first)

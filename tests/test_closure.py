@@ -75,6 +75,18 @@ def test_levels_move_only_new_rows(spark, monkeypatch):
     assert plans[-1].count("LeftAnti") >= 3 and plans[-1].count("Exchange") == 1
 
 
+def test_no_level_of_a_walk_goes_through_the_driver(spark, monkeypatch):
+    """Small levels would be broadcast, which in a long walk takes all that it finds to the driver."""
+    from ledgerline.operators import scale
+
+    plans, real = [], scale.bucketed
+    monkeypatch.setattr(scale, "bucketed", lambda df, *dealt: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *dealt))
+    edges = spark.createDataFrame([("D", f"{i:05d}", f"{i + 1:05d}") for i in range(5)], "label string, src_id string, dst_id string")
+    found = reach(edges, spark.createDataFrame([("00000",), ("00003",)], "start string")).collect()
+    assert {(r["start"], r["node"], r["hops"]) for r in found} == {("00000", f"{i:05d}", i) for i in range(1, 6)} | {("00003", "00004", 1), ("00003", "00005", 2)}
+    assert len(plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 SCOPE = [
     ("out", 1, "C", "cte"), ("out", 2, "o", "Orders"), ("cte", 1, "x", "users"), ("cte", 2, "y", "orders"),
     ("dup", 1, "a", "users"), ("dup", 2, "a", "orders"), ("self", 1, None, "self"), ("stars", 1, "x", "users"), ("stars", 2, "y", "cte"),
