@@ -115,13 +115,20 @@ def upsert_column_stub(
     texts = (curated if curated is not None else none).select("dataset_name", "column_name", F.col("description").alias("_text"))
     on = ["dataset_name", "column_name"]
     src = F.col("dataset_name").startswith("src_")
+    # Rows are dealt by their key while they are narrow; what follows from the one that ``upsert`` would take is filled in then.
+    pk = F.concat_ws("::", "dataset_name", "column_name")
+    first = F.max(F.struct("computed_at", "column_name", "dataset_name", _blank(F.col("_text")).alias("_text"), _blank(F.col("_type")).alias("_type")))
     new = (
         stubs.groupBy(*on)
         .agg(F.min("computed_at").alias("computed_at"))
         .join(types, on, "left")
         .join(texts, on, "left")
+        .repartition(pk)
+        .groupBy(pk.alias("pk"))
+        .agg(first.alias("_r"))
+        .select("pk", "_r.*")
         .select(
-            F.concat_ws("::", "dataset_name", "column_name").alias("pk"),
+            "pk",
             "column_name",
             "dataset_name",
             F.lit("").alias("derivation"),
@@ -244,15 +251,16 @@ def ingest_manifests(
     return _attach_columns(out, targets, links, data_types, curated), missing
 
 
-def transform_type_of_target(maps: DataFrame) -> DataFrame:
-    """One row per target: its first source's type, else AMBIGUOUS or CONSTANT."""
+def transform_type_of_target(maps: DataFrame, *more: Column) -> DataFrame:
+    """One row per target: its first source's type, else AMBIGUOUS or CONSTANT; ``more`` aggregates are found in the same pass."""
     real = F.coalesce(F.col("source_table"), F.lit("")) != ""
     order = F.struct("source_table", "source_column")
     return maps.groupBy("target_table", "target_column").agg(
         F.coalesce(
             F.min_by(F.when(real, F.col("transform_type")), F.when(real, order)),
             F.when(F.bool_or("ambiguous"), "AMBIGUOUS").otherwise("CONSTANT"),
-        ).alias("transform_type")
+        ).alias("transform_type"),
+        *more,
     )
 
 
@@ -270,13 +278,13 @@ def ingest_column_maps(
         "duration_ms", "output_row_count", F.col("ts").alias("computed_at"), "sql_hash",
     )
     out, missing = _structure(graph, runs, processes)
-    types = transform_type_of_target(maps)
     on = ["target_table", "target_column"]
-    heads = maps.groupBy(*on).agg(
+    heads = transform_type_of_target(
+        maps,
         F.max_by(F.struct("expression", "confidence", "data_type", "sql_hash", "source", "review_state"), "ts").alias("h"),
         F.min("ts").alias("ts"),
     )
-    targets = heads.join(types, on).select(
+    targets = heads.select(
         column_pk(F.col("target_table"), F.col("target_column")).alias("pk"), F.col("target_column").alias("column_name"),
         F.col("target_table").alias("dataset_name"), F.col("h.expression").alias("derivation"), F.col("ts").alias("computed_at"),
         F.col("h.expression").alias("expression"), F.lit(None).cast("string").alias("semantic_description"),

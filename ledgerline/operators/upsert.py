@@ -39,8 +39,8 @@ def upsert(
     rules, on_insert = rules or {}, on_insert or {}
     rest = [c for c in old.columns if c not in keys]
     o = old.select(*keys, F.struct(*rest).alias("o"), F.lit(True).alias("_in_old"))
-    order = F.struct(*[c for c in ("computed_at",) if c in rest], *rest)
-    n = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("n")).withColumn("_in_new", F.lit(True))
+    ranked = sorted(rest, key=lambda c: c != "computed_at")  # computed_at first, and every column once
+    n = new.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("n")).withColumn("_in_new", F.lit(True))
     joined = o.join(n, keys, "full_outer")
 
     def value(name: str) -> Column:

@@ -432,7 +432,7 @@ certs AS (
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a table: the catalog's tables are stored ones, read more than once."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

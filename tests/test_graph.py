@@ -205,3 +205,36 @@ def test_column_maps_ingest(spark):
     types = {r["pk"]: r["transform_type"] for r in graph["column"].collect()}
     assert types == {"stg_b::x": "RENAME", "stg_b::one": "CONSTANT", "src_a::k": "PASSTHROUGH"}
     assert graph["edge"].where("label = 'DERIVES_FROM'").count() == 1
+
+
+def test_column_maps_are_dealt_once_per_key(spark):
+    """One pass over the targets, and stub rows that are dealt by their key before their constants are filled in."""
+    runs = spark.createDataFrame(
+        [("02_b", "r1", "t", "stg_b", ["src_a"], [], "FILTER", 3, 9, "h")],
+        "stage string, run_id string, ts string, target_table string, source_tables array<string>, depends_on_stages array<string>, "
+        "transform_type string, duration_ms bigint, output_row_count bigint, sql_hash string",
+    )
+    maps = spark.createDataFrame(
+        [("stg_b", "x", "src_a", "k", "e", "RENAME", 1.0, "sqlglot", "ratified", "h", False, "int", "t1"),
+         ("stg_b", "x", "src_a::k", "v", "f", "TRANSFORM", 0.5, "sqlglot", "ratified", "h", True, "int", "t2"),
+         ("stg_b", "y", "src_a", "k::v", "g", "RENAME", 1.0, "sqlglot", "ratified", "h", False, "int", "t3")],
+        "target_table string, target_column string, source_table string, source_column string, expression string, transform_type string, "
+        "confidence double, source string, review_state string, sql_hash string, ambiguous boolean, data_type string, ts string",
+    )
+    column = B.ingest_column_maps(B.empty_graph(spark), runs, maps)[0]["column"]
+    rows = {r["pk"]: r for r in column.collect()}
+    assert set(rows) == {"stg_b::x", "stg_b::y", "src_a::k", "src_a::k::v"}
+    assert (rows["stg_b::x"]["transform_type"], rows["stg_b::x"]["expression"], rows["stg_b::x"]["computed_at"]) == ("RENAME", "f", "t1")
+    # Two sources have one key: the later row is taken whole.
+    assert (rows["src_a::k::v"]["dataset_name"], rows["src_a::k::v"]["column_name"], rows["src_a::k::v"]["computed_at"]) == ("src_a", "k::v", "t3")
+    assert (rows["src_a::k"]["source"], rows["src_a::k"]["confidence"], rows["src_a::k"]["data_type"]) == ("catalog", 1.0, "")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        column = B.ingest_column_maps(B.empty_graph(spark), runs, maps)[0]["column"]
+        plan = column._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("hashpartitioning(target_table" in line for line in exchanges) == 1
+    # The stubs are dealt by their key before they have their constants.
+    assert sum("concat_ws(::, dataset_name" in line for line in exchanges) == 1
