@@ -1,12 +1,13 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
 A page is a row of blocks.  The token streams of a host's pages are
-concatenated and sorted by suffix; a long substring that stands on distinct
-pages is boilerplate, and the blocks it covers are removed, so unique runs
-stay.  Markup then has the last word where repetition cannot decide: text in
-the page's article is kept although copies of the article repeat it, and
-menus, headers, footers, forms and the like go although they stand on one page
-only.
+concatenated and sorted by suffix; a long substring that stands on pages with
+distinct contents is boilerplate, and the blocks it covers are removed, so
+unique runs stay.  That decides on every block that markup leaves open, beside
+an article or without one.  Markup has the last word where repetition cannot
+decide: text in the page's article is kept although copies of the article
+repeat it, and menus, headers, footers, forms and the like go although they
+stand on one page only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import append_columns, stored
-from ledgerline.llm.substring import Windows, word_hashes
+from ledgerline.llm.substring import mix, word_hashes
 
 #: Tokens that a repeated substring has at least.
 LONG = 6
@@ -156,11 +157,18 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, long: int = LONG) -> np.ndarray:
-    """Which tokens lie in a substring of ``long`` or more tokens that also stands on another page.
+def _whole(parts: np.ndarray, long: int) -> np.ndarray:
+    """Starts of the windows of ``long`` tokens that lie in one part."""
+    n = len(parts) - long + 1
+    return np.flatnonzero(parts[:n] == parts[long - 1 :]) if n > 0 else np.empty(0, dtype=np.int64)
+
+
+def repeated_starts(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, parts: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the substrings of ``long`` tokens that also stand on another page, in suffix order.
 
-    ``tokens`` are the concatenated streams, ``pages`` the page of each.  The
-    suffix array is built by prefix doubling up to ``long`` tokens: suffixes
+    ``tokens`` are the concatenated streams, ``pages`` the page of each, and
+    ``parts`` the stretch of it that no substring leaves, the page if not given.
+    The suffix array is built by prefix doubling up to ``long`` tokens: suffixes
     whose first ``long`` tokens are equal are neighbours in it.
     """
     n = len(tokens)
@@ -176,22 +184,30 @@ def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, long: int = LONG) ->
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
         span += step
-    whole = np.zeros(n, dtype=bool)
-    whole[: max(0, n - long + 1)] = pages[: max(0, n - long + 1)] == pages[long - 1 :]
-    starts = np.flatnonzero(whole)
+    starts = _whole(pages if parts is None else parts, long)
     if not len(starts):
-        return np.zeros(n, dtype=bool)
+        return starts
     suffixes = starts[np.argsort(rank[starts], kind="stable")]
     classes = np.concatenate(([0], np.cumsum(np.diff(rank[suffixes]) != 0)))
-    least = np.minimum.reduceat(pages[suffixes], np.flatnonzero(np.concatenate(([True], np.diff(classes) != 0))))
-    most = np.maximum.reduceat(pages[suffixes], np.flatnonzero(np.concatenate(([True], np.diff(classes) != 0))))
-    hits = suffixes[(least < most)[classes]]
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(classes) != 0)))
+    least = np.minimum.reduceat(pages[suffixes], firsts)
+    most = np.maximum.reduceat(pages[suffixes], firsts)
+    return suffixes[(least < most)[classes]]
+
+
+def _covered(n: int, starts: np.ndarray, long: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in a window from one of ``starts``."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + long, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + long, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Which tokens lie in a substring of ``long`` or more tokens that also stands on another page."""
+    return _covered(len(tokens), repeated_starts(tokens, pages, long), long)
+
+
 _BLOCK = T.ArrayType(
     T.StructType([T.StructField("place", T.IntegerType()), T.StructField("text", T.StringType())])
 )
@@ -218,85 +234,125 @@ def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _judged(long: int, share: float):
-    """Group function: per page without an article, the repeated blocks and all window hashes."""
+def _stretches(found: list[dict]) -> list[int]:
+    """A number per block; adjacent ones of one place share it, so that no window joins text to a menu or over an article."""
+    out: list[int] = []
+    for b, last in zip(found, [None, *found[:-1]], strict=True):
+        joined = last is not None and (last["place"], last["number"] + 1) == (b["place"], b["number"])
+        out.append(out[-1] + (not joined) if out else 0)
+    return out
+
+
+def _judged(long: int):
+    """Group function: per content, its open blocks, the windows that repeat in the group, and of dealt hosts all windows' codes."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_row")
-        streams = [[word_hashes(b["text"]) for b in found] for found in group["blocks"]]
-        sizes = [sum(map(len, s)) for s in streams]
-        tokens = np.concatenate([np.empty(0, np.uint64), *(t for s in streams for t in s)])
-        covered = repeated_tokens(tokens, np.repeat(np.arange(len(sizes)), sizes), long)
-        at, out = 0, []
-        for row, found, stream, whole in zip(group["_row"], group["blocks"], streams, group["whole"], strict=True):
-            drop, block, codes = [], [], []
-            for i, (b, t) in enumerate(zip(found, stream, strict=True)):
-                hit = covered[at : at + len(t)]
-                at += len(t)
-                if whole and b["place"] == OPEN and len(t):
-                    if hit.mean() >= share:
-                        drop.append(b["number"])
-                    windows = Windows(b["text"])
-                    windows = windows.hashes(min(long, windows.n)).view(np.int64)
-                    codes += windows.tolist()
-                    block += [b["number"]] * len(windows)
-            if whole:
-                out.append((row, drop, block, codes))
-        return pd.DataFrame(out, columns=["_row", "drop", "block", "code"])
+        tokens, pages, parts, rows, n, part = [], [], [], [], 0, 0
+        for page, found in enumerate(group["blocks"]):
+            stream = [word_hashes(b["text"]) for b in found]
+            sizes = [len(t) for t in stream]
+            numbers = np.array(_stretches(found), dtype=np.int64) + part
+            rows.append((n, sum(sizes), found, sizes))
+            tokens += stream
+            pages.append(np.full(sum(sizes), page))
+            parts.append(np.repeat(numbers, sizes))
+            n, part = n + sum(sizes), int(numbers[-1]) + 1
+        tokens, pages, parts = np.concatenate(tokens), np.concatenate(pages), np.concatenate(parts)
+        hits = np.sort(repeated_starts(tokens, pages, long, parts))
+        codes = np.empty(0, dtype=np.uint64)
+        starts = _whole(parts, long) if group["pieces"].iloc[0] > 1 else codes.astype(np.int64)
+        if len(starts):
+            codes = np.zeros(len(starts), dtype=np.uint64)
+            for k in range(long):
+                codes = mix(codes * np.uint64(0xD1342543DE82EF95) + tokens[starts + k])
+        out = []
+        for (at, size, found, sizes), host, content in zip(rows, group["host"], group["content"], strict=True):
+            begins = np.cumsum([0, *sizes[:-1]])
+            mine = [i for i, b in enumerate(found) if b["place"] == OPEN and sizes[i]]
+            own = slice(*np.searchsorted(starts, (at, at + size)))
+            if mine or own.start < own.stop:
+                hit = hits[slice(*np.searchsorted(hits, (at, at + size)))] - at if mine else hits[:0]
+                open_blocks = [(found[i]["number"], int(begins[i]), sizes[i]) for i in mine]
+                columns = [list(c) for c in zip(*open_blocks, strict=True)] if mine else [[], [], []]
+                out.append((host, content, *columns, hit.tolist(), (starts[own] - at).tolist(), codes[own].view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["host", "content", "number", "begin", "size", "hits", "at", "code"])
 
     return run
 
 
+def _dropped(verdict: DataFrame, long: int, share: float) -> DataFrame:
+    """``verdict`` with drop: the open blocks of which repeats, those of the array and ``more``, cover ``share`` of the tokens."""
+
+    def make():
+        def compute(*columns):
+            out = []
+            for number, begin, size, hits, more in zip(*columns, strict=True):
+                starts = np.array([*hits, *(more or [])], dtype=np.int64)
+                n = max([b + s for b, s in zip(begin, size, strict=True)] + [int(starts.max()) + long if len(starts) else 0])
+                covered = _covered(n, starts, long)
+                out.append([k for k, b, s in zip(number, begin, size, strict=True) if covered[b : b + s].mean() >= share])
+            return [out]
+
+        return compute
+
+    inputs = ["number", "begin", "size", "hits", "more"]
+    return append_columns(verdict, inputs, [("drop", T.ArrayType(T.IntegerType()))], make)
+
+
 def extract_text(
     pages: DataFrame, long: int = LONG, share: float = COVERED, piece_tokens: int = PIECE_TOKENS
 ) -> DataFrame:
     """page_id, url, text and n_chars per row of ``pages`` (page_id, url, html).
 
     ``text`` joins the kept blocks by one newline; white space inside a block,
-    line breaks included, is one space.  A page with an article (``article`` or
-    ``main``) keeps the article's blocks less what is marked as chrome inside; a
-    page without one keeps the blocks outside chrome that repeats do not cover.
-    Null, empty and textless pages give an empty text.  Pages without a host
-    form a host of their own.  Repeated rows are distinct pages.  An empty table
+    line breaks included, is one space.  Kept are the blocks of the article
+    (``article`` or ``main``) less what is marked as chrome inside, and of those
+    outside article and chrome the ones that repeats do not cover, whether the
+    page has an article or not.  A repeat has at least ``long`` tokens and
+    stands on pages of the host with different html; repeated rows are one
+    content and do not erase each other.  Null, empty and textless pages give an
+    empty text.  Pages without a host form a host of their own.  An empty table
     gives an empty result.  Other columns are ignored.
 
     Only token streams outside articles go to the suffix arrays, so a host's
     group is small; a host with more than ``piece_tokens`` is dealt to several
-    arrays, and the runs of pages without an article are compared once more over
-    the whole host by their hashes, so that dealing loses no repeat.
+    arrays, and all windows of its pages meet once more by their hashes, so that
+    the result does not depend on how pages are dealt.
     """
-    row = F.monotonically_increasing_id()
-    parsed = _parsed(pages.select("page_id", "url", "html")).drop("html")
-    parsed = stored(parsed.withColumns({"_row": row, "host": _host(F.col("url"))}), "pages")
-    parsed = parsed.withColumn("whole", ~F.exists("blocks", lambda b: b["place"] == ARTICLE))
-    sizes = parsed.groupBy("host").agg(F.sum("n_tokens").alias("n"))
+    content = F.unhex(F.md5(F.coalesce("html", F.lit("")).cast("binary")))
+    parsed = _parsed(pages.select("page_id", "url", "html"))
+    parsed = stored(parsed.withColumns({"host": _host(F.col("url")), "content": content}).drop("html"), "pages")
+    sizes = parsed.groupBy("host", "content").agg(F.max("n_tokens").alias("n")).groupBy("host").agg(F.sum("n").alias("n"))
+    sizes = sizes.select("host", ((F.col("n") / piece_tokens).cast("int") + 1).alias("pieces"))
     numbered = F.transform(
         "blocks", lambda b, i: F.struct(b["place"].alias("place"), b["text"].alias("text"), i.alias("number"))
     )
     streams = parsed.where("n_tokens > 0").select(
-        "host", "_row", "whole", F.filter(numbered, lambda b: b["place"] != ARTICLE).alias("blocks")
+        "host", "content", F.filter(numbered, lambda b: b["place"] != ARTICLE).alias("blocks")
     )
-    pieces = (F.col("n") / piece_tokens).cast("int") + 1
-    dealt = streams.join(sizes, "host").withColumn("piece", F.pmod(F.xxhash64("_row"), pieces))
+    dealt = streams.dropDuplicates(["host", "content"]).join(sizes, "host")
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("content"), "pieces"))
     # Dealt by both keys, or the join's partitions by host would be taken as they are.
     verdict = dealt.repartition("host", "piece").groupBy("host", "piece").applyInPandas(
-        _judged(long, share), "_row long, drop array<int>, block array<int>, code array<long>"
+        _judged(long),
+        "host string, content binary, number array<int>, begin array<int>, size array<int>, hits array<int>, at array<int>, code array<long>",
     )
     verdict = stored(verdict, "blocks")
-    codes = verdict.select("_row", F.explode(F.arrays_zip("block", "code")).alias("x")).select("_row", "x.block", "x.code")
-    codes = codes.join(parsed.select("_row", "host"), "_row")
-    met = codes.groupBy("host", "code").agg(F.min("_row").alias("a"), F.max("_row").alias("b")).where("a < b")
-    again = codes.join(met.select("host", "code", F.lit(1).alias("hit")), ["host", "code"], "left")
-    again = again.groupBy("_row", "block").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("part")).where(F.col("part") >= share)
-    again = again.groupBy("_row").agg(F.collect_list("block").alias("more"))
-    drop = verdict.select("_row", "drop").join(again, "_row", "left")
-    drop = drop.select("_row", F.concat("drop", F.coalesce("more", F.array().cast("array<int>"))).alias("drop"))
-    articles = parsed.where("NOT whole").select("page_id", "url", F.expr(f"filter(blocks, b -> b.place = {ARTICLE})").alias("kept"))
-    others = parsed.where("whole").join(drop, "_row", "left").select(
+    asks = F.size("number") > 0
+    codes = verdict.select("host", "content", asks.alias("asks"), F.explode(F.arrays_zip("at", "code")).alias("x"))
+    codes = codes.select("host", "content", "asks", "x.at", "x.code")
+    met = codes.groupBy("host", "code").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a < b")
+    more = codes.where("asks").join(met, ["host", "code"], "left_semi").groupBy("host", "content").agg(F.collect_list("at").alias("more"))
+    drop = _dropped(verdict.where(asks).drop("at", "code").join(more, ["host", "content"], "left"), long, share)
+    undecided = F.exists("blocks", lambda b: b["place"] == OPEN)
+    plain = parsed.where(~undecided).select("page_id", "url", F.expr(f"filter(blocks, b -> b.place = {ARTICLE})").alias("kept"))
+    others = parsed.where(undecided).join(drop.select("host", "content", "drop"), ["host", "content"], "left").select(
         "page_id",
         "url",
-        F.expr(f"filter(blocks, (b, i) -> b.place = {OPEN} AND NOT array_contains(coalesce(drop, array()), i))").alias("kept"),
+        F.expr(
+            f"filter(blocks, (b, i) -> b.place = {ARTICLE} OR b.place = {OPEN} AND NOT array_contains(coalesce(drop, array()), i))"
+        ).alias("kept"),
     )
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    found = articles.unionByName(others).select("page_id", "url", text.alias("text"))
+    found = plain.unionByName(others).select("page_id", "url", text.alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

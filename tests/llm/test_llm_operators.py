@@ -152,6 +152,24 @@ def test_pages_without_an_article_lose_what_repeats(spark):
     assert host_suffix.extract_text(pages.limit(0)).count() == 0
 
 
+def test_repeats_decide_on_open_blocks_of_every_page(spark):
+    """Beside an article too; copies of a page and short common blocks are no evidence, and the pieces make no difference."""
+    rng = cases.random.Random(11)
+    own = [" ".join(cases.words(rng, 30)) for _ in range(8)]
+    rule = "all rights are kept by the owner of this site"
+    teaser = "<article>Next story</article>"
+    rows = [(i, f"https://h.example/{i}", f"<nav>one two three four five six</nav><h2>Introduction</h2><p>{t}</p>{teaser}<div>{rule}</div>") for i, t in enumerate(own[:4])]
+    rows += [(i, f"https://h.example/{i}", f"<p>{own[i]}</p><footer>{rule}</footer>") for i in (4, 5)]
+    rows += [(i, "https://h.example/copy", f"<p>{own[6]}</p><div>{rule}</div>") for i in (6, 7)]
+    rows += [(8, "https://other.example/", f"<p>{own[7]}</p><div>{rule}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Introduction\n{t}\nNext story" for i, t in enumerate(own[:4])}
+    want |= {4: own[4], 5: own[5], 6: own[6], 7: own[6], 8: f"{own[7]}\n{rule}"}
+    for piece in (host_suffix.PIECE_TOKENS, 60, 5):
+        got = {r["page_id"]: r["text"] for r in host_suffix.extract_text(pages, piece_tokens=piece).collect()}
+        assert got == want, piece
+
+
 # --- archives --------------------------------------------------------------
 
 
