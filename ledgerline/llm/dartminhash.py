@@ -246,8 +246,17 @@ def _star_pairs(members: DataFrame, known: DataFrame | None, turn: int) -> DataF
     return pairs.select(F.least("key", "of.head").alias("a"), F.greatest("key", "of.head").alias("b"))
 
 
-def _rest_blocks(members: DataFrame, known: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """(bucket, key, root, x, y): the members of the larger buckets that span several components, once per pair of blocks.
+def _once_per_key(members: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``members`` (key, ...) with the columns of ``tables``, joined once a key and not once a bucket it is in."""
+    rest = [c for c in members.columns if c != "key"]
+    held = members.groupBy("key").agg(F.collect_list(F.struct(*rest)).alias("at"))  # a key is in BANDS buckets at most
+    for found in tables:
+        held = held.join(found, "key")
+    return held.withColumn("at", F.explode("at")).select(*[c for c in held.columns if c != "at"], "at.*")
+
+
+def _rest_blocks(members: DataFrame, known: DataFrame | None, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, key, sig, found, root, x, y): the members of the larger buckets that span several components, once per pair of blocks.
 
     A component that fills a block in its bucket has blocks of its own; the
     others share blocks.  Every two members of different components meet in
@@ -261,7 +270,7 @@ def _rest_blocks(members: DataFrame, known: DataFrame | None, sets: DataFrame) -
     spread = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     members = members.join(spread.where("low <> high").select("bucket"), "bucket", "left_semi")
     size = sets.select("key", (F.lit(1 / BLOCK) + F.length("found") / BLOCK_BYTES).alias("size"))
-    members = stored(members.select("bucket", "key", "root").join(size, "key"), "rest")
+    members = stored(_once_per_key(members.select("bucket", "key", "root"), size), "rest")
     parts = F.ceil("size").cast("int")
     roots = members.groupBy("bucket", "root").agg(F.sum("size").alias("size"))
     own = roots.where("size >= 1").select("bucket", "root", F.hex("root").alias("of"), parts.alias("parts"))
@@ -270,12 +279,13 @@ def _rest_blocks(members: DataFrame, known: DataFrame | None, sets: DataFrame) -
     listed = own.drop("root").union(shared).select("bucket", "of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     listed = listed.groupBy("bucket").agg(F.collect_list(F.struct("of", "part")).alias("blocks"))
     shared = shared.select("bucket", F.col("parts").alias("shared"))
-    placed = members.join(own, ["bucket", "root"], "left").join(shared, "bucket", "left").join(listed, "bucket")
+    placed = members.join(own, ["bucket", "root"], "left").join(shared, "bucket", "left")
     part = F.when(F.col("of").isNull(), F.pmod(F.xxhash64("root"), "shared")).otherwise(F.pmod(F.xxhash64("key"), "parts"))
     mine = F.named_struct(F.lit("of"), F.coalesce("of", F.lit("")), F.lit("part"), part.cast("int"))
-    placed = placed.select("bucket", "key", "root", mine.alias("mine"), F.explode("blocks").alias("other"))
-    placed = placed.where("mine.of <> other.of OR mine.of = ''")
-    return placed.select("bucket", "key", "root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    placed = _once_per_key(placed.select("bucket", "key", "root", mine.alias("mine")), signatures.select("key", "sig"), sets)
+    placed = placed.join(listed, "bucket").withColumn("other", F.explode("blocks")).where("mine.of <> other.of OR mine.of = ''")
+    x, y = F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")
+    return placed.select("bucket", "key", "sig", "found", "root", x, y)
 
 
 def _linked(least: float, threshold: float):
@@ -309,7 +319,7 @@ def _rest_links(
     members: DataFrame, known: DataFrame | None, signatures: DataFrame, sets: DataFrame, least: float, threshold: float
 ) -> DataFrame:
     """Links (a, b) that the stars of larger buckets have not found: all pairs across components are compared, block by block."""
-    rows = _rest_blocks(members, known, sets).join(signatures.select("key", "sig"), "key").join(sets, "key")
+    rows = _rest_blocks(members, known, signatures, sets)
     # Dealt by all keys, or a join's partitions would be taken as they are.
     groups = rows.repartition("bucket", "x", "y").groupBy("bucket", "x", "y")
     return groups.applyInPandas(_linked(least, threshold), "a binary, b binary").distinct()

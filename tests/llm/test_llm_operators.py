@@ -427,6 +427,18 @@ def test_pairs_among_many_copies_of_an_absent_original(spark, monkeypatch):
     assert [got[i] for i in range(len(texts_))] == want
 
 
+def test_the_rest_is_joined_once_per_key(spark):
+    """A member of several buckets meets its signature and its shingles in one joined row."""
+    members = spark.createDataFrame([(f"b{b}", f"k{k}", b * k) for k in range(4) for b in range(k, 6)], "bucket string, key string, root int")
+    sigs = spark.createDataFrame([(f"k{k}", f"s{k}") for k in range(5)], "key string, sig string")
+    sets = spark.createDataFrame([(f"k{k}", f"f{k}") for k in range(4)], "key string, found string")
+    rows = dartminhash._once_per_key(members, sigs, sets)
+    want = sorted((r["key"], f"s{r['key'][1:]}", f"f{r['key'][1:]}", r["bucket"], r["root"]) for r in members.collect())
+    assert sorted(tuple(r) for r in rows.collect()) == want and rows.columns == ["key", "sig", "found", "bucket", "root"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner") < plan.index("Aggregate [key")
+
+
 def test_one_of_each_class_stays(spark, docs):
     kept = dartminhash.keep_one(docs).toPandas()
     assert sorted(kept.columns) == sorted(docs.columns)
