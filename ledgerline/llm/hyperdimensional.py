@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns
+from ledgerline.llm.common import SLICE, append_columns
 
 DIMENSIONS = 1024
 #: Letter slots: 0 is any run of other characters, 1-26 are a-z, other letters share the rest by code point.
 SLOTS = 256
-#: Characters bundled at once; bounds the memory of one matrix product.
+#: N-grams held at once, counted and not yet bundled.
 CHUNK = 400_000
+#: Distinct n-grams whose vectors are made at once; bounds the memory of one matrix product, however varied the texts.
+VECTORS = 2000
 UNKNOWN = "und"
 
 _GRAM = 3
@@ -72,11 +74,20 @@ class Profiler:
         """Bundle of each (codes, counts) pair, one row each."""
         if not counts:
             return np.empty((0, self.rotated[0].shape[1]), dtype=np.float32)
-        seen, place = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
-        table = np.zeros((len(counts), len(seen)), dtype=np.float32)
+        codes, n = (np.concatenate(parts) for parts in zip(*counts, strict=True))
         row = np.repeat(np.arange(len(counts)), [len(c) for c, _ in counts])
-        table[row, place] = np.concatenate([n for _, n in counts])
-        return table @ self.vectors(seen)
+        order = np.argsort(codes, kind="stable")
+        codes, n, row = codes[order], n[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(codes) != 0)))
+        ends = np.append(first, len(codes))
+        out = np.zeros((len(counts), self.rotated[0].shape[1]), dtype=np.float32)
+        for a in range(0, len(first), VECTORS):
+            b = min(a + VECTORS, len(first))
+            part = slice(ends[a], ends[b])
+            table = np.zeros((len(counts), b - a), dtype=np.float32)
+            table[row[part], np.searchsorted(codes[first[a:b]], codes[part])] = n[part]
+            out += table @ self.vectors(codes[first[a:b]])
+        return out
 
     def chunks(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
         """(positions, bundles) of the texts that have letters, a bounded number of n-grams at a time."""
@@ -113,7 +124,7 @@ def train_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str,
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = profiler_of(dimensions)
         seen: dict[str, dict[str, np.ndarray]] = {}
-        for batch in batches:
+        for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
             for text, lang in zip(*(batch.column(k).to_pylist() for k in ("text", "lang")), strict=True):
                 codes = profiler.codes(text)
                 if len(codes):
@@ -122,8 +133,8 @@ def train_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str,
         for lang, held in seen.items():
             held.fold()
             total = np.zeros(dimensions)
-            for a in range(0, len(held.codes), 20_000):
-                part = slice(a, a + 20_000)
+            for a in range(0, len(held.codes), VECTORS):
+                part = slice(a, a + VECTORS)
                 total += held.n[part].astype(np.float64) @ profiler.vectors(held.codes[part])
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tolist()])], ["lang", "bundle"])
 
@@ -152,7 +163,7 @@ class _Counts:
     def add(self, codes: np.ndarray) -> None:
         self.new.append(codes)
         self.waiting += len(codes)
-        if self.waiting >= CHUNK * 4:
+        if self.waiting >= CHUNK:
             self.fold()
 
     def fold(self) -> None:
