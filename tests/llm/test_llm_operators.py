@@ -8,6 +8,7 @@ import io
 import math
 import os
 import re
+import tracemalloc
 from collections import Counter
 
 import cases
@@ -490,6 +491,22 @@ def test_languages_are_told_apart(spark):
     assert (got.lang_pred == got.lang).all() and got.score.between(0, 1).all()
 
 
+def test_bundles_of_many_different_grams_take_little_memory():
+    profiler = hyperdimensional.profiler_of(hyperdimensional.DIMENSIONS)
+    rng = np.random.default_rng(5)
+    counts = [(np.unique(rng.integers(0, hyperdimensional.SLOTS**3, 9000)), 2) for _ in range(5)]
+    counts = [(codes, np.full(len(codes), n)) for codes, n in counts]
+    tracemalloc.start()
+    try:
+        bundles = profiler.bundles(counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6  # one product over all 45,000 vectors takes 184 MB and more
+    codes, n = counts[3]
+    assert (bundles[3] == sum(n[a : a + 500] @ profiler.vectors(codes[a : a + 500]) for a in range(0, len(codes), 500))).all()
+
+
 def test_cosines_are_those_of_whole_bundles():
     profiler = hyperdimensional.Profiler(256)
     text = "Ab, cab!  bac"
