@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,15 +71,18 @@ def append_columns(
     inputs: list[str],
     fields: list[tuple[str, T.DataType]],
     make: Callable[[], Callable[..., list[list]]],
+    spent: Sequence[str] = (),
 ) -> DataFrame:
-    """Every column of ``df`` and the computed ``fields``, one Arrow batch at a time.
+    """Every column of ``df`` but the ``spent`` ones and the computed ``fields``, one Arrow batch at a time.
 
     ``make()`` is called once per task and returns a function from the lists of
     input values to the lists of result values.  The rows stay where they are.
-    Input columns named like a result are replaced by it.
+    Input columns named like a result are replaced by it; spent ones are read
+    and never sent back from Python, which no later drop could save.
     """
     names = [n for n, _ in fields]
-    carried = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    gone = {n.lower() for n in [*names, *spent]}
+    carried = [c for c in df.columns if c.lower() not in gone]
     read = list(dict.fromkeys([*carried, *inputs]))
     df = df.select(*[F.col(f"`{c}`") for c in read])
     schema = T.StructType([df.schema[c] for c in carried] + [T.StructField(n, t) for n, t in fields])

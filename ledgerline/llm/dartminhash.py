@@ -121,7 +121,7 @@ def _prints(keyed: DataFrame, weighting: str) -> DataFrame:
         return compute
 
     fields = [("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("found", T.BinaryType())]
-    return stored(append_columns(keyed, ["text"], fields, make).drop("text"), "prints")
+    return stored(append_columns(keyed, ["text"], fields, make, spent=["text"]), "prints")
 
 
 def _key(text: Column) -> Column:
@@ -146,7 +146,8 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFram
 
     for side in ("a", "b"):
         pairs = pairs.join(signatures.select(F.col("key").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    found = append_columns(pairs, ["sig_a", "sig_b"], [("agree", T.DoubleType())], make)
+    sigs = ["sig_a", "sig_b"]
+    found = append_columns(pairs, sigs, [("agree", T.DoubleType())], make, spent=sigs)
     return found.where(F.col("agree") >= least).select("a", "b")
 
 
@@ -166,7 +167,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("found").alias(f"set_{side}")), side)
-    return append_columns(pairs, ["set_a", "set_b"], [("near", T.BooleanType())], make).where("near").select("a", "b")
+    both = ["set_a", "set_b"]
+    return append_columns(pairs, both, [("near", T.BooleanType())], make, spent=both).where("near").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

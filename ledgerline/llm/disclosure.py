@@ -150,7 +150,7 @@ _SPANS = T.ArrayType(
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``docs`` with base (spans) and entities (hashes)."""
+    """``docs`` less its text, with base (spans) and entities (hashes)."""
 
     def make():
         def compute(texts):
@@ -160,7 +160,8 @@ def _found(docs: DataFrame) -> DataFrame:
 
         return compute
 
-    return append_columns(docs, ["text"], [("base", _SPANS), ("entities", T.ArrayType(T.LongType()))], make)
+    fields = [("base", _SPANS), ("entities", T.ArrayType(T.LongType()))]
+    return append_columns(docs, ["text"], fields, make, spent=["text"])
 
 
 def _hash_set(values: DataFrame, column: str) -> np.ndarray:
@@ -322,7 +323,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     """
     packed = Packed(docs, ["text", "base", "spans"])
     docs = _keyed(docs.select(packed.row, "text"))
-    found = stored(_found(docs).drop("text"), "personal")
+    found = stored(_found(docs), "personal")
     joined = _with_more(found, _added(docs, revealing_terms(found, docs, disclosure, support)))
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPANS))))
     return joined.select(*packed.unpacked(), "base", every.alias("spans"))
@@ -349,7 +350,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     columns = docs.columns
     packed = Packed(docs, ["text"])
     keyed = _keyed(docs.select(packed.row, "text"))
-    found = stored(_found(keyed.select("key", "text")).drop("text"), "personal")
+    found = stored(_found(keyed.select("key", "text")), "personal")
     joined = _with_more(keyed, _added(keyed, revealing_terms(found, keyed, disclosure, support)))
 
     def make():
@@ -363,5 +364,6 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
 
         return compute
 
-    done = append_columns(joined.select("_row", "text", "more"), ["text", "more"], [("clean", T.StringType())], make)
+    inputs = ["text", "more"]
+    done = append_columns(joined.select("_row", *inputs), inputs, [("clean", T.StringType())], make, spent=inputs)
     return done.select(*packed.unpacked(), F.col("clean").alias("text")).select(*[F.col(f"`{c}`") for c in columns])

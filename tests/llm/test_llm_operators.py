@@ -440,6 +440,31 @@ def test_the_rest_is_joined_once_per_key(spark):
     assert plan.index("Generate explode") < plan.index("Join Inner") < plan.index("Aggregate [key")
 
 
+def sent_back(df):
+    """Column names that the Python steps of a frame's plan return."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return [re.findall(r"(\w+)#\d+", found) for found in re.findall(r"MapInArrow \w+\(.*?\)#\d+, \[(.*?)\]", plan)]
+
+
+def test_what_a_step_has_used_up_stays_out_of_its_result(spark, docs, monkeypatch):
+    """Texts, signatures and shingle sets go to Python, but not back."""
+    monkeypatch.setattr(dartminhash, "stored", lambda df, label: df)
+    keyed = docs.select(dartminhash._key(F.col("text")).alias("key"), "text")
+    prints = dartminhash._prints(keyed, "set")
+    assert sent_back(prints) == [["key", "sig", "bands", "found"]]
+    assert prints.columns == ["key", "sig", "bands", "found"]
+    a, b = (prints.select(F.col("key").alias(c)).where("key IS NOT NULL").distinct() for c in "ab")
+    pairs = spark.createDataFrame(a.crossJoin(b.limit(3)).collect(), "a binary, b binary")
+    table = spark.createDataFrame(prints.where("sig IS NOT NULL").dropDuplicates(["key"]).collect(), prints.schema)
+    agreeing = dartminhash._agreeing(pairs, table, 0.65)
+    assert sent_back(agreeing) == [["b", "a", "agree"]] and agreeing.columns == ["a", "b"]
+    similar = dartminhash._similar(pairs, table, 0.8)
+    assert sent_back(similar) == [["b", "a", "near"]] and similar.columns == ["a", "b"]
+    assert {r["a"] for r in similar.collect()} >= {r["b"] for r in agreeing.collect() if r["a"] == r["b"]}
+    assert sent_back(disclosure._found(keyed)) == [["key", "base", "entities"]]
+    assert sent_back(disclosure.sanitise(docs)) == [["_row", "clean"]]
+
+
 def test_one_of_each_class_stays(spark, docs):
     kept = dartminhash.keep_one(docs).toPandas()
     assert sorted(kept.columns) == sorted(docs.columns)
